@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_format, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +20,38 @@ def _query(f):
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: A conversation whose texts look like other templates' control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@_query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chat_format.chat_report(rows.unionByName(probe))
+
+
+ORACLES["op4_chat_format"] = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'
+), made as (
+  select conv_id, turn, role, text,
+    26 - 3 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'))
+      + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')) as size
+  from rows
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size) as bigint) as formatted_chars
+from made group by conv_id
+"""
