@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, secret_scan
+from . import chat_format, packing, quality_rules, secret_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,19 @@ select conv_id, count(*) as n_turns,
   cast(sum(size) as bigint) as formatted_chars
 from made group by conv_id
 """
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+
+
+@_query
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
