@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, quality_rules, secret_scan, token_store
+from . import chat_format, decontaminate, license_scan, packing, quality_rules, secret_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+
+
+@_query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return decontaminate.leaks(read("documents"), read("benchmark"))
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
