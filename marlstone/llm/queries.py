@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, packing, quality_rules, secret_scan, token_store
+from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
