@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_store
+from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op7_warc"] = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages
+), f as (select digest, min(page_id) as first from p where n >= 100 group by digest)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
+  case when p.n >= 100 and p.page_id <> f.first then 'revisit' else 'response' end as record_type,
+  case when p.n >= 100 and p.page_id <> f.first then f.first end as refers_to
+from p left join f on p.digest = f.digest
+"""
