@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_store, warc
+from . import chat_format, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_dige
   case when p.n >= 100 and p.page_id <> f.first then f.first end as refers_to
 from p left join f on p.digest = f.digest
 """
+
+
+@_query
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
