@@ -64,7 +64,7 @@ def _minhashes(s: np.ndarray) -> list[int]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, mins) for each document; node and mins are null for the empty set."""
+    """(doc_id, said, n, node, mins) for each document; said is a hash of the text, node and mins are null for the empty set."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -74,14 +74,16 @@ def nodes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([_minhashes(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "node", "mins"],
+                ["doc_id", "said", "n", "node", "mins"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n long, node long, mins array<long>")
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
+    return held.mapInArrow(sign, "doc_id long, said long, n long, node long, mins array<long>")
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -345,8 +347,8 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def group_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, said, n_shingles, label, component_id) for each document; label is null for the empty set."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -381,6 +383,26 @@ def group_documents(docs: DataFrame) -> DataFrame:
     l = labels.select(F.col("node").alias("__n"), "label")
     held = reps.join(l, F.col("node") == F.col("__n"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = store.materialise(held.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least").withColumnRenamed("label", "__l")
-    ids = store.materialise(held.join(least, F.col("label") == F.col("__l")).select(F.col("node").alias("__n"), "component_id"), "ids")
+    ids = held.join(least, F.col("label") == F.col("__l")).select(F.col("node").alias("__n"), "label", "component_id")
+    ids = store.materialise(ids, "ids")
     joined = signed.join(ids, F.col("node") == F.col("__n"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "said", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def group_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document."""
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that with the smallest (doc_id, hash of the text). Documents with an empty set all stay."""
+    rows = store.materialise(_grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "said", "label"), "grouped")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "said")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = store.materialise(first.select(F.col("label").alias("__l"), "first"), "firsts")
+    grouped = rows.join(first, F.col("label") == F.col("__l"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("said").eqNullSafe(F.col("first.said")))
+    gone = store.materialise(grouped.where(other).select(F.col("doc_id").alias("__id"), F.col("said").alias("__said")).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__said"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = grouped.where(~other).groupBy("label").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -57,7 +57,7 @@ from made group by conv_id
 """
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -65,12 +65,12 @@ def _tokenizer() -> str:
 
 @_query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
 @_query
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+    return token_store.store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
 @_query

@@ -41,6 +41,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_kept(df: DataFrame, name: str) -> DataFrame:
+    """As materialise, in a folder that no later scope removes."""
+    path = posixpath.join(shared_dir(df.sparkSession), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
