@@ -70,7 +70,7 @@ def json_turns(column: str) -> F.Column:
         test = f"sha2({found}, 256) = '{sha256(','.join(top).encode()).hexdigest()}'"
         if "[]" in named[0]:
             fields = ", ".join(f"`{p.split('[].')[1]}`: string" for p in named)
-            made = LAYOUTS[name][1].format(f"from_json({q}, '{top[0]}: array<struct<{fields}>>').{top[0]}")
+            made = LAYOUTS[name][1].format(f"from_json({q}, '{top[0]} array<struct<{fields}>>').{top[0]}")
         else:
             made = LAYOUTS[name][1]
             for t in sorted(top, key=len, reverse=True):
