@@ -236,7 +236,7 @@ def _(read):
 def _(read):
     p = read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("created"))
     h = read("lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("heat7d"))
-    return catalog.search(p, h, "part 1")
+    return catalog.search(p, h, "red widget")
 
 
 @query("catalog_dto", f"with {ITEMS} select id, 'magnet:?xt=urn:btih:' || info_hash as magnet, created * 1000 as first_seen from items")
