@@ -25,19 +25,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .words import windows, word_hashes, words
+from .words import _finish, windows, word_hashes, words
 
 WORDS = 5
-MINHASHES = 4
+MINHASHES = 6
 #: Shingles put last in the prefix order. Any order gives the same links; this bounds what is sent, not what is found.
 FREQUENT = 50_000
 _FREQUENT_IN_TASK = 8
 _BLOCK = 64
 
 
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Windows are hashed over many texts at once."""
+    out: list[np.ndarray] = []
+    held: list[list[bytes]] = []
+    size = 0
+
+    def flush():
+        h = word_hashes([w for x in held for w in x])
+        over = windows(h, WORDS) if len(h) >= WORDS else h[:0]
+        at = 0
+        for x in held:
+            n = len(x)
+            own = over[at : at + n - WORDS + 1] if n >= WORDS else windows(h[at : at + n], WORDS)
+            own = np.sort(own)
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+            at += n
+
+    for t in texts:
+        held.append(words(t))
+        size += len(held[-1])
+        if size > 200_000:
+            flush()
+            held, size = [], 0
+    flush()
+    return out
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(windows(word_hashes(words(text)), WORDS))
+    return shingle_sets([text])[0]
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -55,64 +81,57 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
-_SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(MINHASHES)]
+_BOUNDS = np.arange(2 * MINHASHES, dtype=np.uint64) * np.uint64((1 << 64) // (2 * MINHASHES))
 
 
 def _minhashes(s: np.ndarray) -> list[int]:
+    """One-permutation min-hashes: hashes are random and sorted, so each range's least is the first at or after its start. Two
+    make one value, which sets of small overlap hardly ever share."""
+    least = s[np.searchsorted(s, _BOUNDS) % len(s)]
     with np.errstate(over="ignore"):
-        return [int((((s ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).min()) for salt in _SALTS]
+        return _finish(least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]).view(np.int64).tolist()
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, said, n, node, mins) for each document; said is a hash of the text, node and mins are null for the empty set."""
+def sign(docs: DataFrame) -> DataFrame:
+    """(doc_id, said, n, node, mins, often) for each document: said is a hash of the text, node and mins are null for the
+    empty set. Rows with often count how many documents of a task have the shingle in node."""
+    names = ["doc_id", "said", "n", "node", "mins", "often"]
 
-    def sign(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([_minhashes(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "said", "n", "node", "mins"],
-            )
-
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
-    return held.mapInArrow(sign, "doc_id long, said long, n long, node long, mins array<long>")
-
-
-def frequent(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles, sorted by hash: at most FREQUENT, for the prefix order only."""
-
-    def count(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held, size = [], 0
-        names = ["shingle", "count"]
 
-        def flush():
+        def counted():
             token, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= _FREQUENT_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names)
+            k = times >= _FREQUENT_IN_TASK
+            empty = pa.nulls(int(k.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(token[k].view(np.int64)), pa.nulls(int(k.sum()), pa.list_(pa.int64())), pa.array(times[k].astype(np.int64))], names)
 
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                held.append(shingle_set(t))
-                size += len(held[-1])
+            sets = shingle_sets(batch.column(1).to_pylist())
+            node = [_node(s) if len(s) else None for s in sets]
+            mins = [_minhashes(s) if len(s) else None for s in sets]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64())], names)
+            for s in sets:
+                held.append(s)
+                size += len(s)
                 if size > 4_000_000:
-                    yield flush()
+                    yield counted()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield counted()
+
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
+    return held.mapInArrow(run, "doc_id long, said long, n long, node long, mins array<long>, often long")
 
-    found = docs.mapInArrow(count, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
-    top = found.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
-    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+
+def frequent(signed: DataFrame) -> np.ndarray:
+    """The most frequent shingles, sorted by hash: at most FREQUENT, for the prefix order only."""
+    total = signed.where(F.col("often").isNotNull()).groupBy("node").agg(F.sum("often").alias("c"))
+    top = total.orderBy(F.desc("c"), "node").limit(FREQUENT).collect()
+    return np.sort(np.array([r["node"] for r in top], np.int64).view(np.uint64))
 
 
 _ENTRY = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<u4"), ("p", "<u4")])
@@ -124,21 +143,24 @@ def postings(docs: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
         last, held, size, seen = sent.value, [], 0, set()
 
+        squeeze = zstandard.ZstdCompressor(level=1)
+
         def flush():
             e = np.concatenate(held)
-            e = e[np.argsort(e["t"] % np.uint64(parts), kind="stable")]
-            cuts = np.searchsorted(e["t"] % np.uint64(parts), np.arange(parts + 1))
+            part = (e["t"] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            e, cuts = e[order], np.searchsorted(part[order], np.arange(parts + 1))
             some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([e[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "block"]
-            )
+            # Column by column: a node's entries follow each other, so all but the hash shrinks to little.
+            blocks = [squeeze.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _ENTRY.names)) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t)
+            for s in shingle_sets(batch.column(1).to_pylist()):
                 n = len(s)
                 if not n or (v := _node(s)) in seen:
                     continue
@@ -160,6 +182,16 @@ def postings(docs: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield flush()
 
+    def opened(raw: bytes) -> np.ndarray:
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+        e, at = np.empty(len(raw) // _ENTRY.itemsize, _ENTRY), 0
+        for f in _ENTRY.names:
+            e[f] = np.frombuffer(raw, _ENTRY[f], len(e), at)
+            at += len(e) * _ENTRY[f].itemsize
+        return e
+
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -168,7 +200,7 @@ def postings(docs: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
             for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(p, []).append(b)
         for blocks in held.values():
-            e = np.frombuffer(b"".join(blocks), _ENTRY)
+            e = np.concatenate(list(map(opened, blocks)))
             e = e[np.lexsort((e["v"], e["t"]))]
             new = np.ones(len(e), bool)
             new[1:] = (e["t"][1:] != e["t"][:-1]) | (e["v"][1:] != e["v"][:-1])
@@ -265,20 +297,56 @@ def overlaps(probe: np.ndarray, partners: list[tuple[int, np.ndarray]]) -> Itera
         yield found
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each range of hashes that a set has an element in; about two ranges for each element, a power of two in all."""
+    bits = max(6, (2 * max(1, len(s)) - 1).bit_length())
+    flags = np.zeros(1 << bits, np.uint8)
+    flags[(s >> np.uint64(64 - bits)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def most_overlap(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """An upper bound of the overlap: each range that only one set has holds an element that the other lacks."""
+    x, y = (np.unpackbits(np.frombuffer(r, np.uint8)) for r in (a, b))
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).max(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).max(axis=1)
+    return min(n_a - int(np.count_nonzero(x > y)), n_b - int(np.count_nonzero(y > x)))
+
+
+def prune(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges (a, b, label) without those whose bitmaps rule a link out. Bitmaps take a thirtieth of the sets."""
+    names = ["a", "b", "label"]
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b"))
+            ok = [most_overlap(x, n, y, m) >= least_overlap(n, m) for x, n, y, m in zip(*cols)]
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda t: sets.select(F.col("node").alias(f"__{t}"), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+    joined = edges.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b"))
+    return joined.select(*names, "n_a", "bits_a", "n_b", "bits_b").mapInArrow(keep, "a long, b long, label long")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted (node, doc_id)."""
+    """(node, n, bits, set) of the wanted (node, doc_id)."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            made = ((v, shingle_set(t)) for v, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            kept = [(v, s.tobytes()) for v, s in made if _node(s) == v]  # rows may repeat an id with another text
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["node", "set"])
+            made = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()))
+            kept = [(v, len(s), bitmap(s), s.tobytes()) for v, s in made if _node(s) == v]  # rows may repeat an id with another text
+            columns = zip(*kept) if kept else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "bits", "set"])
 
     w = wanted.select("node", F.col("doc_id").alias("__id"))
     joined = docs.join(w, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    return joined.mapInArrow(build, "node long, set binary")
+    return joined.mapInArrow(build, "node long, n long, bits binary, set binary")
 
 
 def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256) -> DataFrame:
@@ -317,6 +385,7 @@ def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256)
             settle()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    edges = store.materialise(prune(edges, sets), "pruned")
     salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_probe).cast("int").alias("salts"))
     salts = store.materialise(salts, "salts").select(F.col("a").alias("__a"), "salts")
     dealt = edges.join(salts, F.col("a") == F.col("__a")).select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), "b", "label")
@@ -352,7 +421,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = store.materialise(nodes(slim), "nodes")
+    everything = store.materialise(sign(slim), "nodes")
+    signed = everything.where(F.col("often").isNull())
     full = signed.where(F.col("node").isNotNull())
     reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "reps")
 
@@ -363,13 +433,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     star = keyed.join(leaders, (F.col("k") == F.col("__k")) & (F.col("m") == F.col("__m"))).where("node <> leader")
     star = store.materialise(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("label")).distinct(), "stars")
     involved = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().withColumnRenamed("node", "__n")
-    wanted = reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id")
+    wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
     sets = store.materialise(sets_of(slim, wanted), "sets")
     first = store.materialise(verify(star, sets, parts), "links")
     labels = components(first)
 
     # Lists.
-    lists = store.materialise(postings(slim, frequent(slim), parts), "lists")
+    lists = store.materialise(postings(slim, frequent(everything), parts), "lists")
     l = labels.select(F.col("node").alias("__n"), "label")
     labelled = lists.join(l, F.col("node") == F.col("__n"), "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     more = store.materialise(pairs(labelled, parts), "pairs")
