@@ -8,15 +8,23 @@ ids in turn: the same ids as encoding the whole text, at a fraction of the work.
 
 from __future__ import annotations
 
-import re
 from itertools import filterfalse
 
 import numpy as np
 
 #: Pieces kept per worker; beyond it the cache is emptied. Bounds memory, not results.
 CACHE_PIECES = 600_000
-_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
-_IRREGULAR = re.compile(r"\s[^\S\n ]|[^\S\n ]\s|[ \n][ \n]|^\s|\s$|[^\S\n ]")
+#: Marks that may end a word; the pre-tokenizer parts them from its letters.
+_MARKS = frozenset(".,!?;:")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest for letters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -31,6 +39,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         if len(self.line_end) != 1:
@@ -42,8 +52,7 @@ class Encoder:
     @staticmethod
     def _pieces(text: str) -> list[str] | None:
         """Keys of the pieces: words after a space as they are, others marked; None if the text has other white space."""
-        if _IRREGULAR.search(text):
-            return None
+        n = len(text.split())
         lines = text.split("\n")
         pieces = []
         for i, line in enumerate(lines):
@@ -51,15 +60,32 @@ class Encoder:
             # A word that no space precedes has a key of its own.
             words[0] = ("\n" if i else "\r") + words[0]
             pieces += words
-        return pieces
+        # As many words as cuts, none empty: every white space is one space or line end between two words.
+        return pieces if len(pieces) == n else None
+
+    def _letters(self, text: str) -> bytes:
+        """Ids of letters with or without a space before, which are one piece to the pre-tokenizer."""
+        found = self.words.get(text)
+        if found is None:
+            raw = text.encode().decode("latin-1").translate(self.letters)
+            found = self.words[text] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(raw))
+        return found
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        spaced = [x for x in missing if x[0] not in "\n\r"]
+            self.words.clear()
+        spaced = []
+        for x in missing:
+            if x.isalpha():
+                self.cache[x] = self._letters(" " + x)
+            elif x[-1] in _MARKS and x[:-1].isalpha():
+                self.cache[x] = self._letters(" " + x[:-1]) + self._letters(x[-1])
+            elif x[0] not in "\n\r":
+                spaced.append(x)
         end = self.line_end[0]
-        for at in range(0, len(spaced), 4096):
-            some = spaced[at : at + 4096]
+        for at in range(0, len(spaced), 128):
+            some = spaced[at : at + 128]
             ids = np.array(self.tokenizer.encode(" " + "\n ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == end)
             if len(cuts) != len(some) - 1:  # a piece that has the line end's id in it: one by one
@@ -69,7 +95,13 @@ class Encoder:
             self.cache.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, starts, stops))
         for x in missing:
             if x[0] in "\n\r":
-                self.cache[x] = self._whole(x if x[0] == "\n" else x[1:])
+                word, begin = x[1:], self._letters("\n") if x[0] == "\n" else b""
+                if word.isalpha():
+                    self.cache[x] = begin + self._letters(word)
+                elif word[-1] in _MARKS and word[:-1].isalpha():
+                    self.cache[x] = begin + self._letters(word[:-1]) + self._letters(word[-1])
+                else:
+                    self.cache[x] = begin + self._whole(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []

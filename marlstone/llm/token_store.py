@@ -34,7 +34,7 @@ END = 2
 _SHARD, _INDEX = b"MRLT0001", b"MRLH0001"
 _PER_BUCKET = 4
 #: Keys of one index file, on average.
-PER_INDEX = 200_000
+PER_INDEX = 50_000
 _M = (1 << 64) - 1
 
 
@@ -55,24 +55,30 @@ def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     order = np.argsort(of, kind="stable")
     sizes = np.bincount(of, minlength=buckets)
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    sizes_left = sizes.tolist()
     taken, shift, slot = bytearray(n), np.zeros(buckets, "<u4"), np.zeros(n, np.int64)
-    for b in np.argsort(-sizes, kind="stable").tolist():
-        if not sizes[b]:
-            break
-        mine = order[starts[b] : starts[b + 1]]
-        own = keys[mine]
-        d = 0
-        while True:
-            seeds = np.arange(d, d + 64, dtype=np.uint64) + np.uint64(2)
-            tried = (_mix(np.broadcast_to(own, (64, len(own))), seeds[:, None]) % np.uint64(n)).tolist()
-            hit = next((k for k, t in enumerate(tried) if len(set(t)) == len(t) and not any(map(taken.__getitem__, t))), None)
-            if hit is not None:
-                break
-            d += 64
-        shift[b] = d + hit
-        slot[mine] = tried[hit]
-        for t in tried[hit]:
-            taken[t] = 1
+    for size in range(int(sizes.max(initial=0)), 0, -1):  # larger buckets first, while slots are free
+        todo, d = np.flatnonzero(sizes == size).tolist(), 0
+        while todo:
+            # Many buckets try one displacement each round; the last few try many at once.
+            width = 1 if len(todo) > 64 else 512
+            for at in range(0, len(todo), len(todo) if width == 1 else 1):
+                some = todo[at:] if width == 1 else todo[at : at + 1]
+                own = keys[np.concatenate([order[starts[b] : starts[b + 1]] for b in some])]
+                seeds = np.arange(d, d + width, dtype=np.uint64) + np.uint64(2)
+                tried = (_mix(np.broadcast_to(own, (width, len(own))), seeds[:, None]) % np.uint64(n)).reshape(-1, size).tolist()
+                for k, t in enumerate(tried):
+                    b = some[k] if width == 1 else some[0]
+                    if not any(map(taken.__getitem__, t)) and len(set(t)) == size:
+                        shift[b] = d + (0 if width == 1 else k)
+                        slot[order[starts[b] : starts[b + 1]]] = t
+                        sizes_left[b] = 0
+                        for x in t:
+                            taken[x] = 1
+                        if width > 1:
+                            break
+            todo = [b for b in todo if sizes_left[b]]
+            d += width
     return buckets, shift, slot
 
 
