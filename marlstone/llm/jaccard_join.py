@@ -350,7 +350,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256) -> DataFrame:
-    """The (a, b) of edges (a, b, label of b) whose sets link. Sets travel to their probes; a probe with many partners is split."""
+    """A table of the (a, b) of edges (a, b, label of b) whose sets link. Sets travel to their probes; a probe with many partners is split."""
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -387,14 +387,17 @@ def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256)
 
     edges = store.materialise(prune(edges, sets), "pruned")
     salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_probe).cast("int").alias("salts"))
-    salts = store.materialise(salts, "salts").select(F.col("a").alias("__a"), "salts")
+    counted = store.materialise(salts, "salts")
+    salts = counted.select(F.col("a").alias("__a"), "salts")
     dealt = edges.join(salts, F.col("a") == F.col("__a")).select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), "b", "label")
     s = sets.select(F.col("node").alias("__node"), "set")
     partners = dealt.join(s, F.col("b") == F.col("__node")).select("a", "salt", "b", "label", "set")
     probes = salts.select(F.col("__a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     probes = probes.join(s, F.col("a") == F.col("__node")).select("a", "salt", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("label"), "set")
     both = partners.unionByName(probes).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return both.mapInArrow(check, "a long, b long").distinct()
+    found = store.materialise(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    store.drop(edges, counted)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -409,10 +412,12 @@ def components(links: DataFrame) -> DataFrame:
         hook = both(edges).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
         hook = store.materialise(hook, "hooks")
         h = lambda c, t: hook.select(F.col("a").alias(c), F.col("to").alias(t))
+        old = hook, labels, edges
         labels = labels.join(h("ha", "ta"), F.col("label") == F.col("ha"), "left").select("node", F.coalesce("ta", "label").alias("label"))
         labels = store.materialise(labels, "labels")
         moved = edges.join(h("ha", "ta"), F.col("a") == F.col("ha")).select("ta", "b").join(h("hb", "tb"), F.col("b") == F.col("hb"))
         edges = store.materialise(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        store.drop(*old)
     return labels
 
 
@@ -429,13 +434,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     # Stars.
     keyed = reps.select("node", F.posexplode("mins").alias("k", "m"))
     leaders = keyed.groupBy("k", "m").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = store.materialise(leaders, "leaders").select(F.col("k").alias("__k"), F.col("m").alias("__m"), "leader")
+    led = store.materialise(leaders, "leaders")
+    leaders = led.select(F.col("k").alias("__k"), F.col("m").alias("__m"), "leader")
     star = keyed.join(leaders, (F.col("k") == F.col("__k")) & (F.col("m") == F.col("__m"))).where("node <> leader")
     star = store.materialise(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("label")).distinct(), "stars")
     involved = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().withColumnRenamed("node", "__n")
     wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
     sets = store.materialise(sets_of(slim, wanted), "sets")
-    first = store.materialise(verify(star, sets, parts), "links")
+    first = verify(star, sets, parts)
+    store.drop(led, star, wanted, sets)
     labels = components(first)
 
     # Lists.
@@ -443,11 +450,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     l = labels.select(F.col("node").alias("__n"), "label")
     labelled = lists.join(l, F.col("node") == F.col("__n"), "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     more = store.materialise(pairs(labelled, parts), "pairs")
+    store.drop(lists)
     edges = more.join(l, F.col("b") == F.col("__n"), "left").select("a", "b", F.coalesce("label", "b").alias("label"))
     involved = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().withColumnRenamed("node", "__n")
     wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
-    second = store.materialise(verify(edges, store.materialise(sets_of(slim, wanted), "sets"), parts), "links")
+    sets = store.materialise(sets_of(slim, wanted), "sets")
+    second = verify(edges, sets, parts)
+    store.drop(more, labels, wanted, sets)
     labels = components(first.unionByName(second))
+    store.drop(first, second)
 
     # Component ids.
     l = labels.select(F.col("node").alias("__n"), "label")

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _UNSET = ""
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders made for each scope of this process, for release().
 _MADE: dict[str, list[str]] = {}
 _scope = "query"
@@ -34,18 +35,34 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write df and read it again. The write's shuffle files go when it is done, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_dir(df.sparkSession, name))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what materialise wrote for tables; nothing may read them afterwards."""
+    for df in tables:
+        for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
 
 
 def materialise_kept(df: DataFrame, name: str) -> DataFrame:
     """As materialise, in a folder that no later scope removes."""
     path = posixpath.join(shared_dir(df.sparkSession), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
