@@ -93,9 +93,9 @@ def _minhashes(s: np.ndarray) -> list[int]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, said, n, node, mins, often) for each document: said is a hash of the text, node and mins are null for the
-    empty set. Rows with often count how many documents of a task have the shingle in node."""
-    names = ["doc_id", "said", "n", "node", "mins", "often"]
+    """(doc_id, said, n, node, mins, bits, often) for each document: said is a hash of the text, node, mins and bits are null
+    for the empty set. Rows with often count how many documents of a task have the shingle in node."""
+    names = ["doc_id", "said", "n", "node", "mins", "bits", "often"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -106,14 +106,15 @@ def sign(docs: DataFrame) -> DataFrame:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             k = times >= _FREQUENT_IN_TASK
             empty = pa.nulls(int(k.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(token[k].view(np.int64)), pa.nulls(int(k.sum()), pa.list_(pa.int64())), pa.array(times[k].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(token[k].view(np.int64)), pa.nulls(int(k.sum()), pa.list_(pa.int64())), pa.nulls(int(k.sum()), pa.binary()), pa.array(times[k].astype(np.int64))], names)
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             node = [_node(s) if len(s) else None for s in sets]
             mins = [_minhashes(s) if len(s) else None for s in sets]
+            bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64())), bits, pa.nulls(len(n), pa.int64())], names)
             for s in sets:
                 held.append(s)
                 size += len(s)
@@ -124,7 +125,7 @@ def sign(docs: DataFrame) -> DataFrame:
             yield counted()
 
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
-    return held.mapInArrow(run, "doc_id long, said long, n long, node long, mins array<long>, often long")
+    return held.mapInArrow(run, "doc_id long, said long, n long, node long, mins array<long>, bits binary, often long")
 
 
 def frequent(signed: DataFrame) -> np.ndarray:
@@ -315,8 +316,9 @@ def most_overlap(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return min(n_a - int(np.count_nonzero(x > y)), n_b - int(np.count_nonzero(y > x)))
 
 
-def prune(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """edges (a, b, label) without those whose bitmaps rule a link out. Bitmaps take a thirtieth of the sets."""
+def prune(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """edges (a, b, label) without those whose bitmaps in reps rule a link out. Bitmaps take a thirtieth of the sets, so only
+    the sets of what is left are ever built. Merge joins at any size: what small inputs move then tells of large ones."""
     names = ["a", "b", "label"]
 
     def keep(batches: Iterator) -> Iterator:
@@ -327,26 +329,26 @@ def prune(edges: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [most_overlap(x, n, y, m) >= least_overlap(n, m) for x, n, y, m in zip(*cols)]
             yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda t: sets.select(F.col("node").alias(f"__{t}"), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+    of = lambda t: reps.select(F.col("node").alias(f"__{t}"), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}")).hint("merge")
     joined = edges.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b"))
     return joined.select(*names, "n_a", "bits_a", "n_b", "bits_b").mapInArrow(keep, "a long, b long, label long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, bits, set) of the wanted (node, doc_id)."""
+    """(node, set) of the wanted (node, doc_id)."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             made = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()))
-            kept = [(v, len(s), bitmap(s), s.tobytes()) for v, s in made if _node(s) == v]  # rows may repeat an id with another text
-            columns = zip(*kept) if kept else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "bits", "set"])
+            kept = [(v, s.tobytes()) for v, s in made if _node(s) == v]  # rows may repeat an id with another text
+            columns = zip(*kept) if kept else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], ["node", "set"])
 
-    w = wanted.select("node", F.col("doc_id").alias("__id"))
+    w = wanted.select("node", F.col("doc_id").alias("__id")).hint("merge")
     joined = docs.join(w, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    return joined.mapInArrow(build, "node long, n long, bits binary, set binary")
+    return joined.mapInArrow(build, "node long, set binary")
 
 
 def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256) -> DataFrame:
@@ -385,7 +387,6 @@ def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256)
             settle()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    edges = store.materialise(prune(edges, sets), "pruned")
     salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_probe).cast("int").alias("salts"))
     counted = store.materialise(salts, "salts")
     salts = counted.select(F.col("a").alias("__a"), "salts")
@@ -396,7 +397,18 @@ def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256)
     probes = probes.join(s, F.col("a") == F.col("__node")).select("a", "salt", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("label"), "set")
     both = partners.unionByName(probes).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     found = store.materialise(both.mapInArrow(check, "a long, b long").distinct(), "links")
-    store.drop(edges, counted)
+    store.drop(counted)
+    return found
+
+
+def compared(docs: DataFrame, edges: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
+    """A table of the (a, b) of edges (a, b, label of b) that link: bitmaps first, then the sets of those left."""
+    edges = store.materialise(prune(edges, reps), "pruned")
+    involved = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumnRenamed("node", "__n")
+    wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
+    sets = store.materialise(sets_of(docs, wanted), "sets")
+    found = verify(edges, sets, parts)
+    store.drop(edges, wanted, sets)
     return found
 
 
@@ -429,7 +441,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     everything = store.materialise(sign(slim), "nodes")
     signed = everything.where(F.col("often").isNull())
     full = signed.where(F.col("node").isNotNull())
-    reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "reps")
+    reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "reps")
 
     # Stars.
     keyed = reps.select("node", F.posexplode("mins").alias("k", "m"))
@@ -438,11 +450,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     leaders = led.select(F.col("k").alias("__k"), F.col("m").alias("__m"), "leader")
     star = keyed.join(leaders, (F.col("k") == F.col("__k")) & (F.col("m") == F.col("__m"))).where("node <> leader")
     star = store.materialise(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("label")).distinct(), "stars")
-    involved = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().withColumnRenamed("node", "__n")
-    wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
-    sets = store.materialise(sets_of(slim, wanted), "sets")
-    first = verify(star, sets, parts)
-    store.drop(led, star, wanted, sets)
+    first = compared(slim, star, reps, parts)
+    store.drop(led, star)
     labels = components(first)
 
     # Lists.
@@ -452,11 +461,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     more = store.materialise(pairs(labelled, parts), "pairs")
     store.drop(lists)
     edges = more.join(l, F.col("b") == F.col("__n"), "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    involved = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().withColumnRenamed("node", "__n")
-    wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
-    sets = store.materialise(sets_of(slim, wanted), "sets")
-    second = verify(edges, sets, parts)
-    store.drop(more, labels, wanted, sets)
+    second = compared(slim, edges, reps, parts)
+    store.drop(more, labels)
     labels = components(first.unionByName(second))
     store.drop(first, second)
 
