@@ -93,10 +93,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 def pack(held: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PER_PACKER) -> DataFrame:
     """held (written, with doc_id, piece, length) with sequence_id and offset.
 
-    Pieces are dealt evenly by hash; each packer takes its own in order of length, longest first, so a
+    Pieces are dealt evenly by hash. Each packer takes its own in rounds of about open_bins pieces, also dealt by
+    hash, and in a round the longest first: so long pieces do not close the open bins before short ones arrive, and a
     re-run of a lost task gives the same sequences. Sequence ids of different packers do not meet.
     """
-    packers = max(1, math.ceil(held.count() / per_packer))
+    n = held.count()
+    packers = max(1, math.ceil(n / per_packer))
+    rounds = max(1, math.ceil(n / packers / open_bins))
     names = held.columns
 
     def place(batches: Iterator) -> Iterator:
@@ -112,7 +115,8 @@ def pack(held: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
             )
 
     dealt = held.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32")) if packers > 1 else held.coalesce(1)
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    turn = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "piece", "ids_crc32"), F.lit(rounds))
+    ordered = dealt.sortWithinPartitions(turn, F.desc("length"), "doc_id", "piece", "ids_crc32")
     schema = held.schema.add("sequence_id", "long").add("offset", "long")
     return ordered.mapInArrow(place, schema)
 

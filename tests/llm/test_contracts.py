@@ -222,6 +222,23 @@ def test_packing(spark, k):
     assert len(by) <= math.ceil(sum(r.length for r in rows) / 2048 * 1.02) + 1
 
 
+@pytest.mark.parametrize("per_packer", [100_000, 8_000])
+def test_packing_of_more_long_pieces_than_open_bins(spark, per_packer):
+    rng = np.random.default_rng(11)
+    long, short = rng.integers(1025, 2048, 8_000), rng.integers(1, 1025, 16_000)
+    lengths = [int(x) for x in np.concatenate([long, short])]
+    held = spark.createDataFrame([(d, 0, 0, n, d) for d, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(held, per_packer=per_packer).select("doc_id", "length", "sequence_id", "offset").collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 2048
+    assert len(by) <= math.ceil(sum(lengths) / 2048) * 1.02
+
+
 def test_fullest_bin_closes_first():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
