@@ -52,7 +52,9 @@ class Encoder:
     @staticmethod
     def _pieces(text: str) -> list[str] | None:
         """Keys of the pieces: words after a space as they are, others marked; None if the text has other white space."""
-        n = len(text.split())
+        # Every white space must be one space or line end between two words: no piece empty, none with white space in it.
+        if text.replace("\n", " ").split(" ") != text.split():
+            return None
         lines = text.split("\n")
         pieces = []
         for i, line in enumerate(lines):
@@ -60,8 +62,7 @@ class Encoder:
             # A word that no space precedes has a key of its own.
             words[0] = ("\n" if i else "\r") + words[0]
             pieces += words
-        # As many words as cuts, none empty: every white space is one space or line end between two words.
-        return pieces if len(pieces) == n else None
+        return pieces
 
     def _letters(self, text: str) -> bytes:
         """Ids of letters with or without a space before, which are one piece to the pre-tokenizer."""

@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("marlstone.llm")
 
 from marlstone.llm import (  # noqa: E402
-    chat_format, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, queries, secret_scan, token_store, warc,
+    chat_format, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, queries, secret_scan, token_ids, token_store, warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -222,6 +222,12 @@ def test_packing(spark, k):
     assert len(by) <= math.ceil(sum(r.length for r in rows) / 2048 * 1.02) + 1
 
 
+@pytest.mark.parametrize("text", ["a b\tc\n", "a b\tc", "a\n\nb\u00a0c", "a \t b\tc", " a\tb", "a  b\u3000c d", "a\nb c", "x, y\nz."])
+def test_ids_of_mixed_white_space(text):
+    whole = np.array(tokenised(text), "<u4").tobytes()
+    assert token_ids.encoder(queries.tokenizer_path()).encode([text, "a b", text]) == [whole, np.array(tokenised("a b"), "<u4").tobytes(), whole]
+
+
 @pytest.mark.parametrize("per_packer", [100_000, 8_000])
 def test_packing_of_more_long_pieces_than_open_bins(spark, per_packer):
     rng = np.random.default_rng(11)
