@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-import statistics
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,10 +95,32 @@ def histogram_p95(df: DataFrame, by: str, value: str) -> DataFrame:
     return reached.groupBy(by).agg(F.element_at(F.array(*map(F.lit, BUCKETS)), F.min("bucket") + 1).alias("p95"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, ranges: int = 1024) -> DataFrame:
+    """rows with n, their number from 0 in each group of by in order of a unique number.
+
+    Ranges of order are numbered each and moved by the rows in the ranges before, so a large group is spread over many tasks.
+    """
+    ends = F.broadcast(rows.agg(F.min(order).cast("double").alias("__low"), F.max(order).cast("double").alias("__high")))
+    share = (F.col(order).cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * ranges
+    cut = rows.crossJoin(ends).withColumn("__range", F.coalesce(F.floor(share), F.lit(-1))).drop("__low", "__high")
+    counts = cut.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__c")
+    names = [*by, "__range"]
+    counts = counts.select(*[F.col(c).alias(f"__of_{k}") for k, c in enumerate(names)], before.alias("__before"))
+    own = cut.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy(order)) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{k}")) for k, c in enumerate(names)]
+    return own.join(counts, same).select(*rows.columns, (F.col("n") + F.col("__before")).alias("n"))
+
+
+def arm_plan(runs: DataFrame) -> DataFrame:
+    """(id, arm): runs (id) in order of id dealt to two arms as A, B, B, A."""
+    n = F.col("n")
+    return numbered(runs.select("id"), [], "id").select("id", F.when(F.floor(n / 2) % 2 == n % 2, "A").otherwise("B").alias("arm"))
+
+
 def pair_runs(runs: DataFrame) -> DataFrame:
     """runs (cohort, seq, arm, rate) paired with the next in blocks of two: delta, percent, log ratio, control if the arms agree."""
-    nth = F.row_number().over(Window.partitionBy("cohort").orderBy("seq"))
-    block = runs.withColumn("n", nth).withColumn("block", F.floor((F.col("n") - 1) / 2)).withColumn("place", (F.col("n") - 1) % 2)
+    block = numbered(runs, ["cohort"], "seq").withColumn("block", F.floor(F.col("n") / 2)).withColumn("place", F.col("n") % 2)
     left = block.where("place = 0").select("cohort", "block", F.col("arm").alias("arm_a"), F.col("rate").alias("rate_a"))
     right = block.where("place = 1").select("cohort", "block", F.col("arm").alias("arm_b"), F.col("rate").alias("rate_b"))
     swap = F.col("arm_a") > F.col("arm_b")
@@ -115,8 +136,21 @@ def bootstrap_ci(values: list[float], samples: int = 5000, seed: int = 0xC0FFEE)
     """2.5 and 97.5 percentiles of the medians of resamples."""
     if not values:
         return None
-    draw = random.Random(seed)
-    medians = sorted(statistics.median(draw.choices(values, k=len(values))) for _ in range(samples))
+    import numpy as np
+
+    # The draws of random.Random(seed).choices: the same generator, many samples at once.
+    state = random.Random(seed).getstate()[1]
+    draw = np.random.RandomState()
+    draw.set_state(("MT19937", state[:-1], state[-1]))
+    n, held = len(values), np.sort(np.asarray(values, float))
+    rank = np.argsort(np.argsort(values, kind="stable"), kind="stable")
+    low, high = (n - 1) // 2, n // 2
+    medians, each = [], max(1, 1_000_000 // n)
+    for first in range(0, samples, each):
+        took = rank[(draw.random_sample((min(each, samples - first), n)) * n).astype(np.int64)]
+        took.partition((low, high), axis=1)
+        medians += ((held[took[:, low]] + held[took[:, high]]) / 2 if low < high else held[took[:, low]]).tolist()
+    medians.sort()
 
     def at(p: float) -> float:
         place = (len(medians) - 1) * p
@@ -136,10 +170,22 @@ def sign_test(positive: Column, negative: Column) -> dict[str, Column]:
     return {"two_sided_p": F.when(small & (n > 0), two), "improvement_p": F.when(small & (n > 0), tail(positive, n))}
 
 
+def sign_tails(positive: int, negative: int) -> tuple[float, float] | None:
+    """(two-sided, improvement) binomial tails of any number of signs, by logarithms of the factorials."""
+    import numpy as np
+
+    n = positive + negative
+    if n == 0:
+        return None
+    k = np.arange(1, n + 1)
+    share = np.exp(np.concatenate([[0.0], np.cumsum(np.log((n - k + 1) / k))]) - n * math.log(2.0))
+    return min(1.0, 2 * float(share[: min(positive, negative) + 1].sum())), min(1.0, float(share[positive:].sum()))
+
+
 def effect(pairs: DataFrame) -> DataFrame:
     """Per cohort: pairs, mean and median delta, bootstrap interval and the effect of the median log ratio in percent.
 
-    A cohort's pairs are the few runs of one experiment, so each goes to one function call.
+    A cohort's resamples follow one generator's draws, so its deltas go to one function call.
     """
 
     import pyarrow as pa
@@ -147,15 +193,19 @@ def effect(pairs: DataFrame) -> DataFrame:
     def whole(key, table):
         d = sorted(x for x in table.column("delta").to_pylist() if x is not None)
         ci = bootstrap_ci(d) or (None, None)
-        return pa.table({"c": [key[0].as_py()], "low": pa.array([ci[0]], pa.float64()), "high": pa.array([ci[1]], pa.float64())})
+        tails = sign_tails(sum(x > 0 for x in d), sum(x < 0 for x in d)) or (None, None)
+        made = {"low": ci[0], "high": ci[1], "two_sided": tails[0], "improvement": tails[1]}
+        return pa.table({"c": [key[0].as_py()]} | {k: pa.array([v], pa.float64()) for k, v in made.items()})
 
     real = pairs.where(~F.col("control"))
-    ci = real.select("cohort", "delta").groupBy("cohort").applyInArrow(whole, "c string, low double, high double")
+    ci = real.select("cohort", "delta").groupBy("cohort").applyInArrow(whole, "c string, low double, high double, two_sided double, improvement double")
     stats = real.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean"), F.median("delta").alias("median"), ((F.exp(F.median("log_ratio")) - 1) * 100).alias("effect_percent"),
         F.count_if(F.col("delta") > 0).cast("int").alias("positive"), F.count_if(F.col("delta") < 0).cast("int").alias("negative"),
     )
-    return stats.join(ci, F.col("cohort") == F.col("c")).drop("c").withColumns(sign_test(F.col("positive"), F.col("negative")))
+    small = sign_test(F.col("positive"), F.col("negative"))
+    tails = {k: F.coalesce(small[k], F.col(c)) for k, c in (("two_sided_p", "two_sided"), ("improvement_p", "improvement"))}
+    return stats.join(ci, F.col("cohort") == F.col("c")).withColumns(tails).drop("c", "two_sided", "improvement")
 
 
 def retrieval_quality(hits: DataFrame, judged: DataFrame) -> DataFrame:

@@ -103,33 +103,63 @@ def _(read):
 _RUNS = """runs as (select o_orderpriority as cohort, o_orderkey as seq, case when o_orderstatus = 'O' then 'A' else 'B' end as arm, o_totalprice as rate from orders where o_orderkey <= 400)"""
 
 
-def _runs(read):
+def _all_runs(read):
     arm = F.when(F.col("o_orderstatus") == "O", "A").otherwise("B")
-    return read("orders").where("o_orderkey <= 400").select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderkey").alias("seq"), arm.alias("arm"), F.col("o_totalprice").alias("rate"))
+    return read("orders").select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderkey").alias("seq"), arm.alias("arm"), F.col("o_totalprice").alias("rate"))
+
+
+def _runs(read):
+    return _all_runs(read).where("seq <= 400")
 
 
 _PAIRS = f"""{_RUNS}, n as (select *, row_number() over (partition by cohort order by seq) - 1 as n from runs),
 j as (select a.cohort, a.n // 2 as block, a.arm = b.arm as control, case when a.arm > b.arm then b.rate else a.rate end as base, case when a.arm > b.arm then a.rate else b.rate end as other
 from n a join n b on a.cohort = b.cohort and a.n + 1 = b.n where a.n % 2 = 0), p as (select cohort, block, control, other - base as delta, (other - base) * 100 / base as percent, ln(other / base) as log_ratio from j)"""
+#: The same over all of orders, for the queries named _whole.
+_ALL_PAIRS = _PAIRS.replace(" where o_orderkey <= 400", "")
 
 
-@query("pair_deltas", f"with {_PAIRS} select cohort, block, control, round(delta, 6) as delta, round(percent, 6) as percent, round(log_ratio, 6) as log_ratio from p")
-def _(read):
-    p = analysis.pair_runs(_runs(read))
+_DELTAS = "select cohort, block, control, round(delta, 6) as delta, round(percent, 6) as percent, round(log_ratio, 6) as log_ratio from p"
+
+
+def _deltas(runs):
+    p = analysis.pair_runs(runs)
     return p.select("cohort", "block", "control", *[F.round(c, 6).alias(c) for c in ("delta", "percent", "log_ratio")])
 
 
-@query("effect_summary")
+@query("pair_deltas", f"with {_PAIRS} {_DELTAS}")
 def _(read):
-    return analysis.effect(analysis.pair_runs(_runs(read)))
+    return _deltas(_runs(read))
 
 
-@query("sign_counts", f"with {_PAIRS} select cohort, count(*) as pairs, count(*) filter (where delta > 0) as positive, count(*) filter (where delta < 0) as negative, round(median(delta), 6) as median from p where not control group by cohort")
+@query("pair_deltas_whole", f"with {_ALL_PAIRS} {_DELTAS}")
 def _(read):
-    p = analysis.pair_runs(_runs(read)).where("not control")
+    return _deltas(_all_runs(read))
+
+
+@query("effect_summary")
+def _(read):
+    return analysis.effect(analysis.pair_runs(_all_runs(read)))
+
+
+_SIGNS = "select cohort, count(*) as pairs, count(*) filter (where delta > 0) as positive, count(*) filter (where delta < 0) as negative, round(median(delta), 6) as median from p where not control group by cohort"
+
+
+def _signs(runs):
+    p = analysis.pair_runs(runs).where("not control")
     return p.groupBy("cohort").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("delta") > 0).alias("positive"), F.count_if(F.col("delta") < 0).alias("negative"), F.round(F.median("delta"), 6).alias("median"))
 
 
+@query("sign_counts", f"with {_PAIRS} {_SIGNS}")
+def _(read):
+    return _signs(_runs(read))
+
+
+@query("sign_counts_whole", f"with {_ALL_PAIRS} {_SIGNS}")
+def _(read):
+    return _signs(_all_runs(read))
+
+
 _JUDGED = """hits as (select lang as query, doc_id as doc, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents),
 judged as (select lang as query, d.doc_id as doc, 1 + l.quality * 2 as grade from documents d join labels l on d.doc_id = l.doc_id where d.doc_id % 7 = 0)"""
 
@@ -221,10 +251,14 @@ def _(read):
     return read("documents").groupBy("source").agg(F.sum("n_chars").alias("bytes")).withColumn("over", F.col("bytes") > 1_000_000)
 
 
-@query("arm_plan", "select o_orderkey as id, case when (row_number() over (order by o_orderkey) - 1) // 2 % 2 = (row_number() over (order by o_orderkey) - 1) % 2 then 'A' else 'B' end as arm from orders where o_orderkey <= 64")
+_PLAN = "select o_orderkey as id, case when (row_number() over (order by o_orderkey) - 1) // 2 % 2 = (row_number() over (order by o_orderkey) - 1) % 2 then 'A' else 'B' end as arm from orders"
+
+
+@query("arm_plan", f"{_PLAN} where o_orderkey <= 64")
 def _(read):
-    from pyspark.sql import Window
+    return analysis.arm_plan(read("orders").where("o_orderkey <= 64").select(F.col("o_orderkey").alias("id")))
+
 
-    n = F.row_number().over(Window.orderBy("id")) - 1  # a plan has a few runs
-    runs = read("orders").where("o_orderkey <= 64").select(F.col("o_orderkey").alias("id"))
-    return runs.select("id", F.when(F.floor(n / 2) % 2 == n % 2, "A").otherwise("B").alias("arm"))
+@query("arm_plan_whole", _PLAN)
+def _(read):
+    return analysis.arm_plan(read("orders").select(F.col("o_orderkey").alias("id")))
