@@ -51,8 +51,8 @@ def bounded(c: Column, most: int) -> Column:
     """At most most bytes of UTF-8, cut between characters: a character is kept if it ends within the bound."""
     clean = F.trim(F.replace(F.make_valid_utf8(c), F.lit("\0"), F.lit("")))
     raw = F.substring(clean.cast("binary"), 1, most)
-    # A broken last character becomes U+FFFD when made valid.
-    cut = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\x{FFFD}+$", "")
+    # A broken last character becomes one U+FFFD when made valid; a U+FFFD of the text's own stays.
+    cut = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\x{FFFD}$", ""))
     return F.when(F.octet_length(clean) <= most, clean).otherwise(cut)
 
 

@@ -72,6 +72,13 @@ def _(read):
     return read("benchmark").where(ascii_only).select("item_id", text.bounded(F.col("text"), 20).alias("first"), F.octet_length("text").cast("long").alias("bytes"))
 
 
+#: The longest prefix of whole characters within 20 bytes, of all items.
+@query("str_bounded_whole", """with c as (select item_id, trim(replace(text, chr(0), '')) as t, octet_length(encode(text)) as bytes from benchmark)
+select item_id, t[1:list_max(list_filter(range(0, 21), lambda k: octet_length(encode(t[1:k])) <= 20))] as first, bytes from c""")
+def _(read):
+    return read("benchmark").select("item_id", text.bounded(F.col("text"), 20).alias("first"), F.octet_length("text").cast("long").alias("bytes"))
+
+
 @query("str_parse_size", "select o_orderkey, cast(o_orderkey * 1048576.0 / 2 as bigint) as bytes from orders")
 def _(read):
     return read("orders").select("o_orderkey", text.parse_size(F.format_string("%.1fMiB", F.col("o_orderkey") / 2)).alias("bytes"))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import text
 from marlstone.operators import analysis
 from marlstone.plans import registry
 
@@ -68,3 +69,19 @@ def test_numbers_go_on_over_ranges(spark):
     df = spark.createDataFrame(rows, "cohort string, seq long").orderBy(F.rand(3))
     got = {(r.cohort, r.seq): r.n for r in analysis.numbered(df, ["cohort"], "seq").collect()}
     assert got == {(c, x): k for c in ("a", "b", None) for k, x in enumerate([*range(0, 300, 3), 10**12, 10**12 + 1])}
+
+
+def test_bounded_cuts_bytes_between_characters(spark):
+    texts = ["", "a" * 20, "a" * 21, "é" * 11, "a" + "é" * 11, "a" * 19 + "é", "a" * 18 + "𝒳x", "  padded text of many bytes  ", "漢" * 7, "a" * 17 + "\ufffd" + "tail", "a" * 19 + " b", "x\0" * 20]
+
+    def want(t):
+        raw = t.replace("\0", "").strip(" ").encode()
+        return raw.decode() if len(raw) <= 20 else raw[:20].decode(errors="ignore")
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert {r.k: r.b for r in df.select("k", text.bounded(F.col("t"), 20).alias("b")).collect()} == {k: want(t) for k, t in enumerate(texts)}
+
+
+def test_bounded_takes_all_items(spark):
+    rows = registry.QUERIES["str_bounded_whole"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/benchmark.parquet").count() and all(len(r.first.encode()) <= 20 for r in rows)
