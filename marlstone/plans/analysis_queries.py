@@ -164,21 +164,34 @@ _JUDGED = """hits as (select lang as query, doc_id as doc, row_number() over (pa
 judged as (select lang as query, d.doc_id as doc, 1 + l.quality * 2 as grade from documents d join labels l on d.doc_id = l.doc_id where d.doc_id % 7 = 0)"""
 
 
-@query("retrieval_metrics", f"""with {_JUDGED}, i as (select query, count(*) as relevant, sum(case when r <= 10 then (power(2, grade) - 1) / log2(r + 1) else 0 end) as ideal
+#: The same with all of labels as judgements, for the query named _whole.
+_ALL_JUDGED = _JUDGED.replace(" where d.doc_id % 7 = 0", "")
+_QUALITY = """i as (select query, count(*) as relevant, sum(case when r <= 10 then (power(2, grade) - 1) / log2(r + 1) else 0 end) as ideal
 from (select *, row_number() over (partition by query order by grade desc, doc) as r from judged) group by query),
 g as (select j.query, count(*) filter (where rank <= 20) as in20, sum(case when rank <= 10 then (power(2, grade) - 1) / log2(rank + 1) else 0 end) as dcg, min(rank) as first from judged j join hits h on j.query = h.query and j.doc = h.doc group by j.query)
-select i.query, round(coalesce(in20 / relevant, 0), 8) as recall20, round(coalesce(dcg / ideal, 0), 8) as ndcg10, round(coalesce(1.0 / first, 0), 8) as mrr from i left join g on i.query = g.query""")
-def _(read):
+select i.query, round(coalesce(in20 / relevant, 0), 8) as recall20, round(coalesce(dcg / ideal, 0), 8) as ndcg10, round(coalesce(1.0 / first, 0), 8) as mrr from i left join g on i.query = g.query"""
+
+
+def _quality(read, judged):
     from pyspark.sql import Window
 
     d = read("documents").select(F.col("lang").alias("query"), F.col("doc_id").alias("doc"), "n_chars")
     hits = d.select("query", "doc", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc")).alias("rank"))
     l = read("labels").select(F.col("doc_id").alias("doc"), (1 + F.col("quality") * 2).alias("grade"))
-    judged = d.where("doc % 7 = 0").select("query", "doc").join(l, "doc")
-    q = analysis.retrieval_quality(hits, judged)
+    q = analysis.retrieval_quality(hits, judged(d).select("query", "doc").join(l, "doc"))
     return q.select("query", *[F.round(c, 8).alias(c) for c in ("recall20", "ndcg10", "mrr")])
 
 
+@query("retrieval_metrics", f"with {_JUDGED}, {_QUALITY}")
+def _(read):
+    return _quality(read, lambda d: d.where("doc % 7 = 0"))
+
+
+@query("retrieval_metrics_whole", f"with {_ALL_JUDGED}, {_QUALITY}")
+def _(read):
+    return _quality(read, lambda d: d)
+
+
 _RETRY = f"""with {OBS}, a as (select event_id, seconds // 60 - lag(seconds // 60) over (partition by k, actor order by seconds // 60, event_id) as age from obs),
 c as (select event_id, case when age is null then 'first' when age < 120 then 'under_2m' when age < 480 then '2m_8m' when age < 960 then '8m_16m' when age < 1860 then '16m_31m' else 'first' end as class from a)"""
 

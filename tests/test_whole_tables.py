@@ -85,3 +85,10 @@ def test_bounded_cuts_bytes_between_characters(spark):
 def test_bounded_takes_all_items(spark):
     rows = registry.QUERIES["str_bounded_whole"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/benchmark.parquet").count() and all(len(r.first.encode()) <= 20 for r in rows)
+
+
+def test_all_labels_are_judgements(spark):
+    got = {r.query: r.recall20 for r in registry.QUERIES["retrieval_metrics_whole"](spark, SF).collect()}
+    sql = f"""with h as (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from '{SF}/documents.parquet')
+    select lang, count(*) filter (where rank <= 20) / count(*) from h join '{SF}/labels.parquet' using (doc_id) group by lang"""
+    assert got == pytest.approx(dict(duckdb.sql(sql).fetchall()), abs=1e-7)
