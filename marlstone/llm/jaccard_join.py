@@ -2,7 +2,7 @@
 
 1. Equal sets become one node; the rest works on nodes.
 2. Stars: nodes that share a min-hash are compared with the smallest node of that group. Groups of near copies
-   become connected this way in linear work.
+   become connected this way in linear work. Only groups use them; the join itself (count_links) makes every pair.
 3. Lists: prefix filtering over all nodes. In any total order of shingles, sets with Jaccard >= 3/4 share one of
    their first n - ceil(3n/4) + 1 shingles. Frequent shingles come last in the order. Index lists are cut to blocks
    by size and position, and a block whose bound on the overlap is too small is skipped whole. Pairs that stars have
@@ -481,6 +481,40 @@ def group_documents(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed, links): each document's node, and a table of all links (a, b) of distinct sets, a < b.
+
+    No stars here, so that pairs within a component are made and compared too: the work is at least the number of links.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    everything = store.materialise(sign(slim), "nodes")
+    signed = everything.where(F.col("often").isNull())
+    full = signed.where(F.col("node").isNotNull())
+    reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min(F.col("mins")[0]).alias("m"), F.first("bits").alias("bits")), "reps")
+    lists = store.materialise(postings(slim, frequent(everything), parts), "lists")
+    more = store.materialise(pairs(lists.withColumn("label", F.col("node")), parts), "pairs")
+    store.drop(lists)
+    # Partners that share a min-hash are likely near each other: overlaps are derived within such a group.
+    m = reps.select(F.col("node").alias("__n"), F.col("m").alias("label"))
+    found = compared(slim, more.join(m, F.col("b") == F.col("__n")).select("a", "b", "label"), reps, parts)
+    store.drop(more)
+    return signed, found
+
+
+def count_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for each document: n_links are the other documents, copies included, that it links with."""
+    signed, links = link_table(docs)
+    copies = store.materialise(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    c = copies.select(F.col("node").alias("__n"), F.col("copies"))
+    others = both.join(c, F.col("b") == F.col("__n")).groupBy("a").agg(F.sum("copies").alias("others"))
+    per_node = c.join(others, F.col("__n") == F.col("a"), "left").select("__n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    joined = signed.join(per_node, F.col("node") == F.col("__n"), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the smallest (doc_id, hash of the text). Documents with an empty set all stay."""
     rows = store.materialise(_grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "said", "label"), "grouped")

@@ -184,6 +184,24 @@ def test_jaccard_components(spark, k):
     same(map(tuple, jaccard_join.group_documents(df).collect()), components(texts(df)))
 
 
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_every_link_is_counted(spark, k):
+    if k < 2:
+        df = tables(spark)[k]
+    else:  # one large group of near copies, and some of them twice
+        rng = np.random.default_rng(8)
+        base = [f"x{i}" for i in range(200)]
+        made = [near(rng, base, i % 9) for i in range(120)]
+        df = awkward(spark, [(i, t, "en", "a", 1, "x", 1, 1) for i, t in enumerate(made + made[:30])])
+    docs, sets = texts(df), []
+    for _, t in docs:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    linked = lambda a, b: bool(a and b) and 4 * len(a & b) >= 3 * len(a | b)
+    want = [(d, len(s), sum(linked(s, o) for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+    same(map(tuple, jaccard_join.count_links(df).collect()), want)
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark)
     kept = jaccard_join.keep_one(docs)
