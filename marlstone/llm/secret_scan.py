@@ -1,8 +1,8 @@
 """Corpus-wide ownership frequency of secret candidates (DataFrame functions only).
 
 Every text is searched for candidates. Their hashes are aggregated by distinct
-owner and repository: a value that many owners hold is a widely copied
-example, one that a single owner holds looks live.
+owner and repository: a value that many owners or many repositories hold is a
+widely copied example, one that few hold looks live.
 
 Defined results: a null or empty text has no spans; a null owner or repository
 counts as one of its own; repeated rows are scanned each, and a repeat adds no
@@ -29,6 +29,8 @@ KINDS = [
 BASE = 3
 #: A value held by this many owners is a copied example.
 COPIED_OWNERS = 3
+#: So is a value held by this many repositories, whoever owns them.
+COPIED_REPOS = 4
 
 
 def _quote(pattern: str) -> str:
@@ -68,14 +70,16 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def classify(scanned: DataFrame) -> DataFrame:
-    """scanned (row, spans, owner, repo; written) with copied: the hashes of its spans that many owners hold."""
-    copied = ownership(scanned).where(F.col("owners") >= COPIED_OWNERS)
-    copied = store.materialise(copied, "owners").select(F.col("hash").alias("copied_hash"), "owners")
+    """scanned (row, spans, owner, repo; written) with shared: owners and repositories of the hashes of its spans that more than
+    one repository holds; and copied: those hashes that many owners or repositories hold."""
+    wide = store.materialise(ownership(scanned).where("repos > 1"), "owners").withColumnRenamed("hash", "wide_hash")
     each = scanned.where(F.size("spans") > 0).select("row", F.explode(F.array_distinct("spans.hash")).alias("hash"))
-    hits = each.join(copied, F.col("hash") == F.col("copied_hash")).groupBy("row").agg(F.collect_set("hash").alias("copied"))
+    held = F.struct("hash", "owners", "repos")
+    hits = each.join(wide, F.col("hash") == F.col("wide_hash")).groupBy("row").agg(F.collect_set(held).alias("shared"))
     hits = hits.withColumnRenamed("row", "__row")
     joined = scanned.join(hits, F.col("row") == F.col("__row"), "left").drop("__row")
-    return joined.withColumn("copied", F.coalesce("copied", F.array().cast("array<string>")))
+    joined = joined.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<hash: string, owners: bigint, repos: bigint>>")))
+    return joined.withColumn("copied", F.expr(f"filter(shared, h -> h.owners >= {COPIED_OWNERS} or h.repos >= {COPIED_REPOS}).hash"))
 
 
 _NAMES = "array(" + ", ".join(f"'{k[0]}'" for k in KINDS) + ")"
@@ -86,7 +90,7 @@ def _listed(column: str) -> str:
 
 
 def secret_report(docs: DataFrame, owner: str = "source", repo: str = "lang") -> DataFrame:
-    """Spans, their counts and digest, and how many look live or copied, for each document.
+    """Spans, their counts and digest, how many look live or copied, and the owners/repositories that hold each, for each document.
 
     A repository is an owner's part of one repo value.
     """
@@ -96,6 +100,7 @@ def secret_report(docs: DataFrame, owner: str = "source", repo: str = "lang") ->
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)")
     base = F.expr(_listed(f"filter(spans, s -> s.kind < {BASE})"))
     live = F.expr("cast(size(filter(spans, s -> not array_contains(copied, s.hash))) as bigint)")
+    holders = "coalesce(get(transform(filter(shared, h -> h.hash = s.hash), h -> concat(h.owners, '/', h.repos)), 0), '1/1')"
     return out.select(
         "doc_id",
         count(0).alias("n_assign"),
@@ -105,6 +110,7 @@ def secret_report(docs: DataFrame, owner: str = "source", repo: str = "lang") ->
         F.expr(_listed("spans")).alias("spans"),
         live.alias("n_live"),
         (F.size("spans").cast("long") - live).alias("n_copied"),
+        F.expr(f"array_join(transform(spans, s -> {holders}), ',')").alias("holders"),
     )
 
 
@@ -114,7 +120,7 @@ def mask_live(docs: DataFrame, owner: str = "source", repo: str = "lang", text:
     packed = F.struct(*[tick(c).alias(c) for c in docs.columns]).alias("doc")
     scanned = docs.select(packed, spans(text).alias("spans"), tick(owner).alias("owner"), F.concat_ws("/", tick(owner), tick(repo)).alias("repo"))
     held = store.materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
-    rest = classify(held.where(F.size("spans") > 0)).unionByName(held.where(F.size("spans") == 0).withColumn("copied", F.array().cast("array<string>")))
+    rest = classify(held.where(F.size("spans") > 0)).drop("shared").unionByName(held.where(F.size("spans") == 0).withColumn("copied", F.array().cast("array<string>")))
     q = "doc.`" + text.replace("`", "``") + "`"
     # Spans may overlap: cut to the parts after what is masked already.
     step = (

@@ -69,6 +69,18 @@ def test_copied_examples_stay_and_live_secrets_go(spark):
     assert all(r.n_copied == 1 and r.n_live == 1 for r in report)
 
 
+def test_many_repositories_of_one_owner_make_a_copied_example(spark):
+    text = "password=example123 and token={}abcdef"
+    rows = [(i, text.format(f"live{i}"), f"l{i}", "hot", 1, "x", 1, 1) for i in range(secret_scan.COPIED_REPOS)]
+    rows += [(10 + i, "password=fewer12345", f"l{i}", f"s{i % 2}", 1, "x", 1, 1) for i in range(secret_scan.COPIED_REPOS - 1)]
+    out = {r.doc_id: r.text for r in secret_scan.mask_live(awkward(spark, rows)).collect()}
+    assert all(out[i] == "password=example123 and [secret]" for i in range(secret_scan.COPIED_REPOS))
+    assert all(out[10 + i] == "[secret]" for i in range(secret_scan.COPIED_REPOS - 1))
+    report = {r.doc_id: r for r in secret_scan.secret_report(awkward(spark, rows)).collect()}
+    assert (report[0].n_copied, report[0].n_live, report[0].holders) == (1, 1, "1/4,1/1")
+    assert (report[10].n_copied, report[10].n_live, report[10].holders) == (0, 1, "2/3")
+
+
 @pytest.mark.parametrize("k", [0, 1])
 def test_language_model(spark, k):
     df = tables(spark)[k]
