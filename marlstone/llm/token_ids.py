@@ -53,7 +53,7 @@ class Encoder:
     def _pieces(text: str) -> list[str] | None:
         """Keys of the pieces: words after a space as they are, others marked; None if the text has other white space."""
         # Every white space must be one space or line end between two words: no piece empty, none with white space in it.
-        if text.replace("\n", " ").split(" ") != text.split():
+        if text.replace("\n", " ") != " ".join(text.split()):
             return None
         lines = text.split("\n")
         pieces = []
