@@ -1,16 +1,20 @@
-"""Exact n-gram Jaccard join of documents, and the groups that links make.
-
-1. Equal sets become one node; the rest works on nodes.
-2. Stars: nodes that share a min-hash are compared with the smallest node of that group. Groups of near copies
-   become connected this way in linear work. Only groups use them; the join itself (count_links) makes every pair.
-3. Lists: prefix filtering over all nodes. In any total order of shingles, sets with Jaccard >= 3/4 share one of
-   their first n - ceil(3n/4) + 1 shingles. Frequent shingles come last in the order. Index lists are cut to blocks
-   by size and position, and a block whose bound on the overlap is too small is skipped whole. Pairs that stars have
-   connected already are not made.
-4. What remains is compared exactly. The overlap of a probe with a partner of the same group as the last partner is
-   derived from that one's by the two sets' difference.
+"""Exact n-gram Jaccard join of documents: the links of each, and the groups that links make.
+
+1. Equal sets become one node. Sets are written once, as sorted 64-bit hashes, to files in the shared folder; from
+   there on rows carry a set's place, and only those who compare a set read it.
+2. Exact counts of all shingles give the order of rarity: a linked set shares three quarters of its shingles, so nodes
+   with fewer shared ones can link with nothing and go no further.
+3. Clusters: nodes that share a min-hash gather round the node with the fewest rare shingles. A cluster's leader has its
+   overlaps computed once; those of any two members follow from their differences to it alone (one product of
+   matrices for a block of members), so a cluster yields counts and a spanning forest and never its pairs.
+4. Lists: prefix filtering over nodes of different clusters. In any total order of shingles, sets with Jaccard >= 3/4
+   share one of their first n - ceil(3n/4) + 1 shingles. Index lists are cut to blocks by size and position, and a block
+   whose bound on the overlap is too small is skipped whole. Lists of very common shingles are split into cells.
 5. Links are contracted to components.
 
+Shingles are counted by the first 48 bits of their hashes: equal ones count too often at worst, which weakens the pruning
+and changes no result. Two different sets are taken for one with a chance of 2^-64 a pair.
+
 Defined results: a null or empty text has the empty set, links with nothing and is its own component; a text of
 fewer words than a shingle has one shingle; repeated rows are each returned and share a component, also when rows
 repeat an id; a null id never is a component id unless the group has no other; an empty table gives an empty result; extra columns are ignored.
@@ -18,6 +22,8 @@ repeat an id; a null id never is a component id unless the group has no other; a
 
 from __future__ import annotations
 
+import math
+import posixpath
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +35,11 @@ from .words import _finish, windows, word_hashes, words
 
 WORDS = 5
 MINHASHES = 6
-#: Shingles put last in the prefix order. Any order gives the same links; this bounds what is sent, not what is found.
-FREQUENT = 50_000
-_FREQUENT_IN_TASK = 8
+#: What one task holds at a time. These bound memory; none bounds what is found.
+CHUNK_SHINGLES, CHUNK_NODES, PART_SHINGLES = 2_000_000, 20_000, 4_000_000
+CELL_NODES, CELL_SHINGLES, LIST_NODES = 1024, 4_000_000, 4096
 _BLOCK = 64
+_KEY_BITS = 48
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -66,7 +73,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     return shingle_sets([text])[0]
 
 
-def linked(overlap: int, a: int, b: int) -> bool:
+def linked(overlap, a, b):
     return 100 * overlap >= 75 * (a + b - overlap)
 
 
@@ -92,134 +99,311 @@ def _minhashes(s: np.ndarray) -> list[int]:
         return _finish(least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]).view(np.int64).tolist()
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, said, n, node, mins, bits, often) for each document: said is a hash of the text, node, mins and bits are null
-    for the empty set. Rows with often count how many documents of a task have the shingle in node."""
-    names = ["doc_id", "said", "n", "node", "mins", "bits", "often"]
+class SetFiles:
+    """Reads sets by their place: file, start, length."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def __init__(self, uri: str):
+        self.uri, self.open = uri, {}
 
-        held, size = [], 0
+    def __call__(self, file: int, start: int, n: int) -> np.ndarray:
+        found = self.open.get(file)
+        if found is None:
+            if len(self.open) >= 64:
+                self.open.pop(next(iter(self.open))).close()
+            fs, path = store.filesystem(f"{self.uri}/{file}.sets")
+            found = self.open[file] = fs.open_input_file(path)
+        return np.frombuffer(found.read_at(8 * n, 8 * start), "<u8")
 
-        def counted():
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            k = times >= _FREQUENT_IN_TASK
-            empty = pa.nulls(int(k.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(token[k].view(np.int64)), pa.nulls(int(k.sum()), pa.list_(pa.int64())), pa.nulls(int(k.sum()), pa.binary()), pa.array(times[k].astype(np.int64))], names)
 
+def sign(docs: DataFrame, uri: str) -> DataFrame:
+    """(doc_id, said, n, node, file, chunk, start) of each document: said is a hash of the text; the last four are null for
+    the empty set. Each attempt of a task writes its sets to a file of its own."""
+    names, most, most_nodes = ["doc_id", "said", "n", "node", "file", "chunk", "start"], CHUNK_SHINGLES, CHUNK_NODES
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        file, out = TaskContext.get().taskAttemptId(), None
+        at, chunk, size, seen = 0, 0, 0, {}
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            node = [_node(s) if len(s) else None for s in sets]
-            mins = [_minhashes(s) if len(s) else None for s in sets]
-            bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64())), bits, pa.nulls(len(n), pa.int64())], names)
-            for s in sets:
-                held.append(s)
-                size += len(s)
-                if size > 4_000_000:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
+            if out is None:
+                fs, path = store.filesystem(f"{uri}/{file}.sets")
+                fs.create_dir(posixpath.dirname(path), recursive=True)
+                out = fs.open_output_stream(path)
+            n, node, chunks, starts = [], [], [], []
+            for s in shingle_sets(batch.column(1).to_pylist()):
+                n.append(len(s))
+                if not len(s):
+                    node.append(None), chunks.append(None), starts.append(None)
+                    continue
+                v = _node(s)
+                if v not in seen:
+                    if size >= most or len(seen) >= most_nodes:
+                        chunk, size, seen = chunk + 1, 0, {}
+                    seen[v] = chunk, at
+                    out.write(s.tobytes())
+                    at += len(s)
+                    size += len(s)
+                node.append(v), chunks.append(seen[v][0]), starts.append(seen[v][1])
+            own = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None if v is None else file for v in node], pa.int64()), pa.array(chunks, pa.int32()), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], names)
+        if out is not None:
+            out.close()
 
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
-    return held.mapInArrow(run, "doc_id long, said long, n long, node long, mins array<long>, bits binary, often long")
+    return held.mapInArrow(run, "doc_id long, said long, n long, node long, file long, chunk int, start long")
+
+
+def _squeeze(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as differences, by planes of bytes."""
+    import zstandard
 
+    gaps = np.diff(ascending, prepend=np.uint64(0))
+    wide = 8 if gaps.max(initial=0) >> np.uint64(32) else 4
+    raw = gaps.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(raw)
 
-def frequent(signed: DataFrame) -> np.ndarray:
-    """The most frequent shingles, sorted by hash: at most FREQUENT, for the prefix order only."""
-    total = signed.where(F.col("often").isNotNull()).groupBy("node").agg(F.sum("often").alias("c"))
-    top = total.orderBy(F.desc("c"), "node").limit(FREQUENT).collect()
-    return np.sort(np.array([r["node"] for r in top], np.int64).view(np.uint64))
 
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    import zstandard
 
-_ENTRY = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<u4"), ("p", "<u4")])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel(), dtype=np.uint64)
 
 
-def postings(docs: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
-    """(shingle, node, n, pos) of prefix shingles that two nodes or more have. Entries travel in packed blocks."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+def _in_order(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the shingles, their keys in that order, bounds of the parts): parts are ranges of keys."""
+    order = np.argsort(shingles, kind="stable")
+    keys = shingles[order] >> np.uint64(64 - _KEY_BITS)
+    edges = np.array([(p << _KEY_BITS) // parts for p in range(1, parts)], np.uint64)
+    return order, keys, np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def _chunk(read: SetFiles, file: int, held: list[dict]) -> np.ndarray:
+    """The sets of a chunk's nodes, one after the other; held is in order of start, and copies of other files leave gaps."""
+    first, stop = held[0]["start"], held[-1]["start"] + held[-1]["n"]
+    raw = read(file, first, stop - first)
+    return np.concatenate([raw[x["start"] - first : x["start"] - first + x["n"]] for x in held])
+
+
+def shingle_keys(chunks: DataFrame, uri: str, parts: int) -> DataFrame:
+    """(part, file, chunk, block): the keys of each chunk's sets, in order, by ranges."""
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        last, held, size, seen = sent.value, [], 0, set()
+        read = SetFiles(uri)
+        for batch in batches:
+            for file, chunk, held in zip(*(c.to_pylist() for c in batch.columns)):
+                _, keys, cuts = _in_order(_chunk(read, file, held), parts)
+                some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+                blocks = [_squeeze(keys[cuts[p] : cuts[p + 1]]) for p in some]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([file] * n, pa.int64()), pa.array([chunk] * n, pa.int32()), pa.array(blocks, pa.binary())], ["part", "file", "chunk", "block"])
+
+    return chunks.select("file", "chunk", "held").mapInArrow(emit, "part int, file long, chunk int, block binary")
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    """A count as one byte: itself below 128, its logarithm beyond."""
+    return np.where(counts < 128, counts, 128 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
+def _by_part(batches: Iterator, flush) -> Iterator:
+    """flush(rows) for the rows of each value of the first column, which is sorted."""
+    part, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != part and rows:
+                yield from flush(rows)
+                rows = []
+            part = row[0]
+            rows.append(row)
+    if rows:
+        yield from flush(rows)
 
+
+def shingle_counts(keys: DataFrame) -> DataFrame:
+    """(file, chunk, part, block): in how many sets each key of shingle_keys is, in the same order, as a byte."""
+
+    def count(rows: list[tuple]) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        each = [_unsqueeze(x[3]) for x in rows]
+        every = np.concatenate(each)
+        _, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
+        found, at, blocks = _classes(times)[inverse], 0, []
         squeeze = zstandard.ZstdCompressor(level=1)
+        for x in each:
+            blocks.append(squeeze.compress(found[at : at + len(x)].tobytes()))
+            at += len(x)
+        part, file, chunk, _ = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], ["file", "chunk", "part", "block"])
 
-        def flush():
-            e = np.concatenate(held)
-            part = (e["t"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            e, cuts = e[order], np.searchsorted(part[order], np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            # Column by column: a node's entries follow each other, so all but the hash shrinks to little.
-            blocks = [squeeze.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _ENTRY.names)) for p in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartition(n, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda batches: _by_part(batches, count), "file long, chunk int, part int, block binary")
 
-        for batch in batches:
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                n = len(s)
-                if not n or (v := _node(s)) in seen:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(v)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[at] == s
-                    s = np.concatenate([s[~common], s[common]])
-                k = n - -(-3 * n // 4) + 1
-                e = np.empty(k, _ENTRY)
-                e["t"], e["v"], e["n"], e["p"] = s[:k], v, n, np.arange(k)
-                held.append(e)
-                size += k
-                if size > 1_500_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
 
-    def opened(raw: bytes) -> np.ndarray:
+_ENTRY = np.dtype([("t", "<u8"), ("p", "<u4"), ("c", "u1")])
+
+
+def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFrame:
+    """Nodes that can link: node, file, start, n, copies, mins, central (share of shared shingles, and how common they
+    are), entries (shared shingles of the prefix in order of rarity, with places and counts)."""
+    fields = "node long, file long, start long, n long, copies long, mins array<long>, central double, entries binary"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def pick(rows: list[tuple]) -> Iterator:
+        """rows of one chunk: (chunk, file, part, block, held), the chunk's own first."""
+        import pyarrow as pa
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().decompress(raw)
-        e, at = np.empty(len(raw) // _ENTRY.itemsize, _ENTRY), 0
-        for f in _ENTRY.names:
-            e[f] = np.frombuffer(raw, _ENTRY[f], len(e), at)
-            at += len(e) * _ENTRY[f].itemsize
-        return e
+        (_, file, _, _, held), *blocks = rows
+        shingles = _chunk(read_of(), file, held)
+        order, _, _ = _in_order(shingles, parts)
+        opened = zstandard.ZstdDecompressor()
+        times = np.empty(len(shingles), np.uint8)
+        times[order] = np.frombuffer(b"".join(opened.decompress(x[3]) for x in blocks), np.uint8)
+        sizes = np.array([x["n"] for x in held])
+        starts = np.cumsum(sizes) - sizes
+        shared = np.add.reduceat((times > 1).astype(np.int64), starts)
+        out = []
+        for k in np.flatnonzero(4 * shared >= 3 * sizes).tolist():
+            x, n, at = held[k], int(sizes[k]), int(starts[k])
+            s, c = shingles[at : at + n], times[at : at + n]
+            first = np.lexsort((s, c))[: n - -(-3 * n // 4) + 1]
+            e = np.empty(len(first), _ENTRY)
+            e["t"], e["p"], e["c"] = s[first], np.arange(len(first)), c[first]
+            central = float(shared[k] / n + 1e-4 * np.log(c).mean())
+            out.append((x["node"], file, x["start"], n, x["copies"], _minhashes(s), central, e[e["c"] > 1].tobytes()))
+        if out:
+            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    def gather(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
+        return _by_part(batches, pick)
+
+    kept: list[SetFiles] = []
+
+    def read_of() -> SetFiles:
+        if not kept:
+            kept.append(SetFiles(uri))
+        return kept[0]
+
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("file", "chunk").alias("key")
+    own = chunks.select(key, "file", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("block"), "held")
+    both = own.unionByName(counts.select(key, "file", "part", "block", F.lit(None).cast(own.schema["held"].dataType).alias("held")))
+    dealt = both.repartition(n, "key").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, fields)
+
+
+def clusters(live: DataFrame) -> DataFrame:
+    """A table (node, label): the leader of each node's cluster, the node itself if it leads or shares no min-hash."""
+    keyed = live.select("node", "central", F.posexplode("mins").alias("k", "m"))
+    lead = keyed.groupBy("k", "m").agg(F.max(F.struct("central", "node")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    lead = lead.select(F.col("k").alias("lk"), F.col("m").alias("lm"), "lead")
+    votes = keyed.join(lead, (F.col("k") == F.col("lk")) & (F.col("m") == F.col("lm"))).where("node <> lead.node")
+    votes = votes.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("votes"))
+    chosen = votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("best")).select("node", F.col("best.lead.node").alias("leader"))
+    chosen = store.materialise(chosen, "chosen")
+    leaders = chosen.select(F.col("leader").alias("leads")).distinct()
+    led = chosen.join(leaders, F.col("node") == F.col("leads"), "left_anti").select(F.col("node").alias("member"), "leader")
+    found = store.materialise(live.select("node").join(led, F.col("node") == F.col("member"), "left").select("node", F.coalesce("leader", "node").alias("label")), "clusters")
+    store.drop(chosen)
+    return found
+
+
+def overlaps(leader: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all pairs of sets, derived from each set's overlap with the leader: with g shingles of the leader missing
+    in a, h in b, and c differences that a and b have in common, it is |leader| - g - h + c."""
+    missing, more, rows_m, rows_x = [], [], [], []
+    gone = np.zeros(len(sets), np.int64)
+    for k, s in enumerate(sets):
+        at = np.searchsorted(leader, s)
+        hit = at < len(leader)
+        hit[hit] = leader[at[hit]] == s[hit]
+        lost = np.ones(len(leader), bool)
+        lost[at[hit]] = False
+        lost = np.flatnonzero(lost)
+        gone[k] = len(lost)
+        missing.append(lost)
+        more.append(s[~hit])
+        rows_m.append(np.full(len(lost), k))
+        rows_x.append(np.full(len(more[-1]), k))
+    extra, column, times = np.unique(np.concatenate(more), return_inverse=True, return_counts=True)
+    rows, columns = np.concatenate(rows_x), column + len(leader)
+    often = times[column] > 1
+    rows, columns = np.concatenate([np.concatenate(rows_m), rows[often]]), np.concatenate([np.concatenate(missing), columns[often]])
+    _, columns = np.unique(columns, return_inverse=True)
+    by = np.argsort(columns, kind="stable")
+    rows, columns = rows[by], columns[by]
+    out = (len(leader) - gone[:, None] - gone[None, :]).astype(np.float32)
+    wide = max(64, 4_000_000 // max(1, len(sets)))
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, wide):
+        a, b = np.searchsorted(columns, [at, at + wide])
+        strip = np.zeros((len(sets), min(wide, int(columns[-1]) + 1 - at)), np.float32)
+        strip[rows[a:b], columns[a:b] - at] = 1
+        out += strip @ strip.T
+    return np.rint(out).astype(np.int64)
+
+
+def _roots(links: np.ndarray) -> np.ndarray:
+    """The first of each row's component in a symmetric boolean matrix."""
+    root = np.full(len(links), -1)
+    for i in range(len(links)):
+        if root[i] < 0:
+            root[i], todo = i, np.array([i])
+            while len(todo):
+                todo = np.flatnonzero(links[todo].any(axis=0) & (root < 0))
+                root[todo] = i
+    return root
+
+
+def within_clusters(live: DataFrame, labels: DataFrame, uri: str) -> DataFrame:
+    """(node, others, root): how many documents of its cluster each node links with, and a node it is connected with, by cells:
+    a large cluster is dealt into blocks, and any two blocks meet in one cell. Parts of a node's count are to be added up."""
+    l = labels.select(F.col("node").alias("own"), "label")
+    placed = live.join(l, F.col("node") == F.col("own")).select("label", "node", "file", "start", "n", "copies")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
+    lead = F.max(F.when(F.col("node") == F.col("label"), F.struct("file", "start", "n")))
+    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks"), lead.alias("lead")).where("size > 1")
+    placed = placed.join(sizes.withColumnRenamed("label", "of"), F.col("label") == F.col("of"))
+    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.struct("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("cell")
+
+    def count(rows: list[tuple]) -> Iterator:
         import pyarrow as pa
 
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(p, []).append(b)
-        for blocks in held.values():
-            e = np.concatenate(list(map(opened, blocks)))
-            e = e[np.lexsort((e["v"], e["t"]))]
-            new = np.ones(len(e), bool)
-            new[1:] = (e["t"][1:] != e["t"][:-1]) | (e["v"][1:] != e["v"][:-1])
-            e = e[new]
-            same = np.zeros(len(e), bool)
-            same[1:] = e["t"][1:] == e["t"][:-1]
-            shared = same.copy()
-            shared[:-1] |= same[1:]
-            e = e[shared]
-            for at in range(0, len(e), 100_000):
-                x = e[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(x["t"]).view(np.int64)), pa.array(np.ascontiguousarray(x["v"])), pa.array(x["n"].astype(np.int64)), pa.array(x["p"].astype(np.int64))],
-                    ["shingle", "node", "n", "pos"],
-                )
-
-    packed = docs.mapInArrow(emit, "part int, block binary").repartition(parts, "part")
-    return packed.mapInArrow(gather, "shingle long, node long, n long, pos long")
+        cell, lead = rows[0][0], rows[0][7]
+        read = read_of()
+        sets = [read(f, at, n) for _, _, f, at, n, *_ in rows]
+        o = overlaps(read(lead["file"], lead["start"], lead["n"]), sets)
+        n, block = np.array([len(s) for s in sets]), np.array([x[6] for x in rows])
+        found = linked(o, n[:, None], n[None, :])
+        if cell["x"] == cell["y"]:
+            np.fill_diagonal(found, False)
+        else:
+            found &= block[:, None] != block[None, :]
+        others = found @ np.array([x[5] for x in rows])
+        root, some = _roots(found), np.flatnonzero(others)
+        node = np.array([x[1] for x in rows], np.int64)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(others[some].astype(np.int64)), pa.array(node[root[some]])], ["node", "others", "root"])
+
+    kept: list[SetFiles] = []
+
+    def read_of() -> SetFiles:
+        if not kept:
+            kept.append(SetFiles(uri))
+        return kept[0]
+
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select(cell, "node", "file", "start", "n", "copies", "block", "lead").repartition(parts, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(lambda batches: _by_part(batches, count), "node long, others long, root long")
 
 
 def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -243,173 +427,132 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tu
                 yield np.full(len(j), order[i]), order[j]
 
 
-def pairs(lists: DataFrame, parts: int) -> DataFrame:
-    """Distinct (a, b) of nodes of different groups that share an index list and pass its bounds. lists: shingle, node, n, pos, label."""
+_POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("n", "<u4"), ("node", "<i8"), ("label", "<i8")])
 
-    def join(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        rest = None
+def _pairs_of(e: np.ndarray) -> Iterator:
+    """Record batches of the distinct (a, b) that the index lists in e make; lists of one cluster make none."""
+    import pyarrow as pa
 
-        def made(t):
-            c = {k: t.column(k).to_numpy() for k in ("shingle", "node", "n", "pos", "label")}
-            cuts = [0, *(np.flatnonzero(np.diff(c["shingle"])) + 1).tolist(), len(c["shingle"])]
-            a, b = [], []
-            for x, y in zip(cuts, cuts[1:]):
-                if len(np.unique(c["label"][x:y])) < 2:
-                    continue
-                for i, j in list_pairs(c["n"][x:y], c["pos"][x:y], c["label"][x:y]):
-                    a.append(c["node"][x:y][i])
-                    b.append(c["node"][x:y][j])
-                    if len(a) > 5000:
-                        yield out(a, b)
-                        a, b = [], []
-            if a:
-                yield out(a, b)
-
-        def out(a, b):
-            a, b = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+    e = e[np.argsort(e["t"], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate([[True], e["t"][1:] != e["t"][:-1]]))
+    mixed = np.minimum.reduceat(e["label"], cuts) != np.maximum.reduceat(e["label"], cuts) if len(e) else []
+    ends = np.append(cuts[1:], len(e))
+    a, b, size = [], [], 0
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            s = t.column("shingle").to_numpy()
-            cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            yield from made(t.slice(0, cut)) if cut else ()
-            rest = t.slice(cut)
-        if rest is not None and len(rest):
-            yield from made(rest)
-
-    dealt = lists.repartition(parts, "shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(join, "a long, b long").distinct()
-
-
-def overlaps(probe: np.ndarray, partners: list[tuple[int, np.ndarray]]) -> Iterator[int]:
-    """Overlap of probe with each partner (group, set); within a group it is derived from the last one's."""
-    held = None
-    for group, s in partners:
-        if held is not None and held[0] == group and min(len(s), len(held[1])) * 4 >= 3 * max(len(s), len(held[1])):
-            gone, come = np.setdiff1d(held[1], s, True), np.setdiff1d(s, held[1], True)
-            found = held[2] - len(np.intersect1d(gone, probe, True)) + len(np.intersect1d(come, probe, True))
-        else:
-            found = len(np.intersect1d(probe, s, True))
-        held = (group, s, found)
-        yield found
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each range of hashes that a set has an element in; about two ranges for each element, a power of two in all."""
-    bits = max(6, (2 * max(1, len(s)) - 1).bit_length())
-    flags = np.zeros(1 << bits, np.uint8)
-    flags[(s >> np.uint64(64 - bits)).astype(np.int64)] = 1
-    return np.packbits(flags).tobytes()
+    def out():
+        x, y = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
+    for x, y in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
+        own = e[x:y]
+        for i, j in list_pairs(own["n"].astype(np.int64), own["p"].astype(np.int64), own["label"]):
+            a.append(own["node"][i])
+            b.append(own["node"][j])
+            size += len(i)
+            if size > 500_000:
+                yield out()
+                a, b, size = [], [], 0
+    if a:
+        yield out()
 
-def most_overlap(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """An upper bound of the overlap: each range that only one set has holds an element that the other lacks."""
-    x, y = (np.unpackbits(np.frombuffer(r, np.uint8)) for r in (a, b))
-    if len(x) > len(y):
-        x = x.reshape(len(y), -1).max(axis=1)
-    elif len(y) > len(x):
-        y = y.reshape(len(x), -1).max(axis=1)
-    return min(n_a - int(np.count_nonzero(x > y)), n_b - int(np.count_nonzero(y > x)))
 
+def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """(part, block, t, p, n, node, label): packed index entries by parts; those of very common shingles as rows of their own."""
+    names, common = ["part", "block", "t", "p", "n", "node", "label"], int(_classes(np.array([LIST_NODES]))[0])
 
-def prune(edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """edges (a, b, label) without those whose bitmaps in reps rule a link out. Bitmaps take a thirtieth of the sets, so only
-    the sets of what is left are ever built. Merge joins at any size: what small inputs move then tells of large ones."""
-    names = ["a", "b", "label"]
-
-    def keep(batches: Iterator) -> Iterator:
+    def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b"))
-            ok = [most_overlap(x, n, y, m) >= least_overlap(n, m) for x, n, y, m in zip(*cols)]
-            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+        squeeze, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
-    of = lambda t: reps.select(F.col("node").alias(f"__{t}"), F.col("n").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}")).hint("merge")
-    joined = edges.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b"))
-    return joined.select(*names, "n_a", "bits_a", "n_b", "bits_b").mapInArrow(keep, "a long, b long, label long")
+        def flush():
+            e, hot = (np.concatenate(x) for x in zip(*held))
+            h, e = e[hot], e[~hot]
+            part = (e["t"] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            e, cuts = e[order], np.searchsorted(part[order], np.arange(parts + 1))
+            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            # Column by column: a node's entries follow each other, so all but the hash shrinks to little.
+            blocks = [squeeze.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _POSTING.names)) for p in some]
+            n, m = len(some), len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary()), *(pa.nulls(n, pa.int64()),) * 5], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(np.ascontiguousarray(h[f]).astype("<u8").view("<i8")) for f in _POSTING.names)], names)
 
+        for batch in batches:
+            for node, n, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(raw, _ENTRY)
+                e = np.empty(len(x), _POSTING)
+                e["t"], e["p"], e["n"], e["node"], e["label"] = x["t"], x["p"], n, node, label
+                held.append((e, x["c"] >= common))
+                size += len(e)
+                if size > 1_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted (node, doc_id)."""
+    l = labels.select(F.col("node").alias("own"), "label")
+    labelled = live.join(l, F.col("node") == F.col("own")).select("node", "n", "label", "entries")
+    return labelled.mapInArrow(emit, "part int, block binary, t long, p long, n long, node long, label long")
 
-    def build(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            made = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()))
-            kept = [(v, s.tobytes()) for v, s in made if _node(s) == v]  # rows may repeat an id with another text
-            columns = zip(*kept) if kept else [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], ["node", "set"])
+def candidates(packed: DataFrame) -> DataFrame:
+    """Distinct (a, b) of nodes of different clusters that share an index list and pass its bounds; packed is written."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    w = wanted.select("node", F.col("doc_id").alias("__id")).hint("merge")
-    joined = docs.join(w, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    return joined.mapInArrow(build, "node long, set binary")
+    def opened(raw: bytes) -> np.ndarray:
+        import zstandard
 
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+        e, at = np.empty(len(raw) // _POSTING.itemsize, _POSTING), 0
+        for f in _POSTING.names:
+            e[f] = np.frombuffer(raw, _POSTING[f], len(e), at)
+            at += len(e) * _POSTING[f].itemsize
+        return e
 
-def verify(edges: DataFrame, sets: DataFrame, parts: int, per_probe: int = 256) -> DataFrame:
-    """A table of the (a, b) of edges (a, b, label of b) whose sets link. Sets travel to their probes; a probe with many partners is split."""
+    def of_part(rows: list[tuple]) -> Iterator:
+        yield from _pairs_of(np.concatenate([opened(x[1]) for x in rows]))
+
+    def of_cell(rows: list[tuple]) -> Iterator:
+        e = np.empty(len(rows), _POSTING)
+        for f, column in zip(("p", "n", "node", "label"), list(zip(*rows))[1:]):
+            e[f] = column
+        e["t"] = 0
+        yield from _pairs_of(e)
+
+    common = packed.where(F.col("block").isNotNull()).select("part", "block").repartition(n, "part").sortWithinPartitions("part")
+    made = common.mapInArrow(lambda batches: _by_part(batches, of_part), "a long, b long")
+    hot = packed.where(F.col("block").isNull())
+    mixed = hot.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
+    mixed = mixed.select(F.col("t").alias("of"), F.ceil(F.col("c") / LIST_NODES).cast("int").alias("blocks"))
+    dealt = hot.join(mixed, F.col("t") == F.col("of")).withColumn("x", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.struct("t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("cell")
+    dealt = dealt.select(cell, "p", "n", "node", "label").repartition(n, "cell").sortWithinPartitions("cell")
+    return made.unionByName(dealt.mapInArrow(lambda batches: _by_part(batches, of_cell), "a long, b long")).distinct()
+
+
+def verified(pairs: DataFrame, live: DataFrame, uri: str) -> DataFrame:
+    """The (a, b, copies_a, copies_b) of pairs whose sets link; sets are read where they are compared."""
+    of = lambda t: live.select(*[F.col(c).alias(f"{c}_{t}") for c in ("node", "file", "start", "n", "copies")])
+    placed = pairs.join(of("a"), F.col("a") == F.col("node_a")).join(of("b"), F.col("b") == F.col("node_b"))
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, probe, waiting = None, None, []
-        a, b = [], []
-
-        def settle():
-            for (node, group, s), o in zip(waiting, overlaps(probe, [(g, s) for _, g, s in waiting])):
-                if linked(o, len(probe), len(s)):
-                    a.append(key[0])
-                    b.append(node)
-
+        read, at, probe = SetFiles(uri), None, None
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("a", "salt", "b", "label", "set"))
-            for pa_, salt, node, group, raw in zip(*cols):
-                if (pa_, salt) != key:
-                    if probe is not None:
-                        settle()
-                    key, probe, waiting = (pa_, salt), None, []
-                s = np.frombuffer(raw, "<u8")
-                if node is None:
-                    probe = s
-                elif probe is not None:
-                    waiting.append((node, group, s))
-                    if len(waiting) >= 512:
-                        settle()
-                        waiting = []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-        if probe is not None:
-            settle()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_probe).cast("int").alias("salts"))
-    counted = store.materialise(salts, "salts")
-    salts = counted.select(F.col("a").alias("__a"), "salts")
-    dealt = edges.join(salts, F.col("a") == F.col("__a")).select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), "b", "label")
-    s = sets.select(F.col("node").alias("__node"), "set")
-    partners = dealt.join(s, F.col("b") == F.col("__node")).select("a", "salt", "b", "label", "set")
-    probes = salts.select(F.col("__a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    probes = probes.join(s, F.col("a") == F.col("__node")).select("a", "salt", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("label"), "set")
-    both = partners.unionByName(probes).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    found = store.materialise(both.mapInArrow(check, "a long, b long").distinct(), "links")
-    store.drop(counted)
-    return found
-
+            ok = []
+            for fa, sa, na, fb, sb, nb in zip(*(batch.column(c).to_pylist() for c in ("file_a", "start_a", "n_a", "file_b", "start_b", "n_b"))):
+                if (fa, sa) != at:
+                    at, probe = (fa, sa), read(fa, sa, na)
+                ok.append(linked(len(np.intersect1d(probe, read(fb, sb, nb), True)), na, nb))
+            yield batch.select(["a", "b", "copies_a", "copies_b"]).filter(pa.array(ok, pa.bool_()))
 
-def compared(docs: DataFrame, edges: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
-    """A table of the (a, b) of edges (a, b, label of b) that link: bitmaps first, then the sets of those left."""
-    edges = store.materialise(prune(edges, reps), "pruned")
-    involved = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumnRenamed("node", "__n")
-    wanted = store.materialise(reps.join(involved, F.col("node") == F.col("__n")).select("node", "doc_id"), "wanted")
-    sets = store.materialise(sets_of(docs, wanted), "sets")
-    found = verify(edges, sets, parts)
-    store.drop(edges, wanted, sets)
-    return found
+    return placed.sortWithinPartitions("file_a", "start_a", "b").mapInArrow(check, "a long, b long, copies_a long, copies_b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -434,96 +577,87 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, said, n_shingles, label, component_id) for each document; label is null for the empty set."""
+    """(doc_id, said, n_shingles, n_links, label, component_id) of each document; label is null for one without copy or link."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri = store.new_dir(spark, "sets")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    everything = store.materialise(sign(slim), "nodes")
-    signed = everything.where(F.col("often").isNull())
-    full = signed.where(F.col("node").isNotNull())
-    reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "reps")
-
-    # Stars.
-    keyed = reps.select("node", F.posexplode("mins").alias("k", "m"))
-    leaders = keyed.groupBy("k", "m").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    led = store.materialise(leaders, "leaders")
-    leaders = led.select(F.col("k").alias("__k"), F.col("m").alias("__m"), "leader")
-    star = keyed.join(leaders, (F.col("k") == F.col("__k")) & (F.col("m") == F.col("__m"))).where("node <> leader")
-    star = store.materialise(star.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("label")).distinct(), "stars")
-    first = compared(slim, star, reps, parts)
-    store.drop(led, star)
-    labels = components(first)
-
-    # Lists.
-    lists = store.materialise(postings(slim, frequent(everything), parts), "lists")
-    l = labels.select(F.col("node").alias("__n"), "label")
-    labelled = lists.join(l, F.col("node") == F.col("__n"), "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    more = store.materialise(pairs(labelled, parts), "pairs")
-    store.drop(lists)
-    edges = more.join(l, F.col("b") == F.col("__n"), "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    second = compared(slim, edges, reps, parts)
-    store.drop(more, labels)
-    labels = components(first.unionByName(second))
-    store.drop(first, second)
-
-    # Component ids.
-    l = labels.select(F.col("node").alias("__n"), "label")
-    held = reps.join(l, F.col("node") == F.col("__n"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    least = store.materialise(held.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least").withColumnRenamed("label", "__l")
-    ids = held.join(least, F.col("label") == F.col("__l")).select(F.col("node").alias("__n"), "label", "component_id")
+    signed = store.materialise(sign(slim, uri), "nodes")
+    place = F.min(F.struct("file", "chunk", "start", "n")).alias("place")
+    reps = signed.where(F.col("node").isNotNull()).groupBy("node").agg(place, F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    reps = store.materialise(reps.select("node", "place.*", "doc_id", "copies"), "reps")
+
+    # Which nodes can link, and the order of rarity.
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+    parts = max(least, math.ceil(total / PART_SHINGLES))
+    held = F.sort_array(F.collect_list(F.struct("start", "n", "node", "copies"))).alias("held")  # CHUNK_NODES at most
+    chunks = store.materialise(reps.groupBy("file", "chunk").agg(held), "chunks")
+    counts = store.materialise(shingle_counts(shingle_keys(chunks, uri, parts)), "counts")
+    live = store.materialise(alive(chunks, counts, uri, parts), "live")
+    store.drop(chunks, counts)
+
+    # Links.
+    labels = clusters(live)
+    near = store.materialise(within_clusters(live, labels, uri), "near")
+    packed = store.materialise(postings(live, labels, parts), "postings")
+    found = store.materialise(candidates(packed), "candidates")
+    far = store.materialise(verified(found, live, uri), "links")
+    store.drop(labels, packed, found)
+
+    # Components and counts. Only nodes with copies or links are told apart from the rest.
+    joined = near.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(far.select("a", "b"))
+    groups = components(joined)
+    counted = near.select("node", "others").unionByName(far.select(F.col("a").alias("node"), F.col("copies_b").alias("others")))
+    counted = counted.unionByName(far.select(F.col("b").alias("node"), F.col("copies_a").alias("others"))).groupBy("node").agg(F.sum("others").alias("others"))
+    g, c = groups.withColumnRenamed("node", "g"), counted.withColumnRenamed("node", "c")
+    some = reps.join(g, F.col("node") == F.col("g"), "left").where("copies > 1 or g is not null").join(c, F.col("node") == F.col("c"), "left")
+    some = store.materialise(some.select("node", "doc_id", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "grouped-nodes")
+    first = some.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("label", "l")
+    ids = some.join(first, F.col("label") == F.col("l")).select(F.col("node").alias("of"), "label", "component_id", "n_links")
     ids = store.materialise(ids, "ids")
-    joined = signed.join(ids, F.col("node") == F.col("__n"), "left")
-    return joined.select("doc_id", "said", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    store.drop(near, far, groups, some, reps, live)
+    store.remove(spark, uri)
+    out = signed.join(ids, F.col("node") == F.col("of"), "left")
+    n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return out.select("doc_id", "said", F.col("n").alias("n_shingles"), n_links, "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
-    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
-
-
-def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): each document's node, and a table of all links (a, b) of distinct sets, a < b.
-
-    No stars here, so that pairs within a component are made and compared too: the work is at least the number of links.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    everything = store.materialise(sign(slim), "nodes")
-    signed = everything.where(F.col("often").isNull())
-    full = signed.where(F.col("node").isNotNull())
-    reps = store.materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min(F.col("mins")[0]).alias("m"), F.first("bits").alias("bits")), "reps")
-    lists = store.materialise(postings(slim, frequent(everything), parts), "lists")
-    more = store.materialise(pairs(lists.withColumn("label", F.col("node")), parts), "pairs")
-    store.drop(lists)
-    # Partners that share a min-hash are likely near each other: overlaps are derived within such a group.
-    m = reps.select(F.col("node").alias("__n"), F.col("m").alias("label"))
-    found = compared(slim, more.join(m, F.col("b") == F.col("__n")).select("a", "b", "label"), reps, parts)
-    store.drop(more)
-    return signed, found
+    """(doc_id, n_shingles, component_id, n_links) for each document: n_links are the other documents, copies included, that
+    it links with."""
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def count_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, n_links) for each document: n_links are the other documents, copies included, that it links with."""
-    signed, links = link_table(docs)
-    copies = store.materialise(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    c = copies.select(F.col("node").alias("__n"), F.col("copies"))
-    others = both.join(c, F.col("b") == F.col("__n")).groupBy("a").agg(F.sum("copies").alias("others"))
-    per_node = c.join(others, F.col("__n") == F.col("a"), "left").select("__n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    joined = signed.join(per_node, F.col("node") == F.col("__n"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    """(doc_id, n_shingles, n_links) for each document."""
+    return _grouped(docs).select("doc_id", "n_shingles", "n_links")
+
+
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for x in names:
+        while x in taken:
+            x = f"_{x}"
+        taken.add(x)
+        out.append(x)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest (doc_id, hash of the text). Documents with an empty set all stay."""
+    """docs with one document of each component: that with the smallest (doc_id, hash of the text). Documents with an empty set
+    all stay; of that document's repeated rows one stays. Columns may bear any name."""
     rows = store.materialise(_grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "said", "label"), "grouped")
-    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "said")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = store.materialise(first.select(F.col("label").alias("__l"), "first"), "firsts")
-    grouped = rows.join(first, F.col("label") == F.col("__l"))
-    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("said").eqNullSafe(F.col("first.said")))
-    gone = store.materialise(grouped.where(other).select(F.col("doc_id").alias("__id"), F.col("said").alias("__said")).distinct(), "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__said"))
-    kept = docs.join(gone, same, "left_anti")
-    repeated = grouped.where(~other).groupBy("label").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "said")).alias("first")).withColumnRenamed("label", "l")
+    grouped = rows.join(first, F.col("label") == F.col("l"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("said").eqNullSafe(F.col("first.said"))
+    told = grouped.groupBy("doc_id", "said").agg(F.max(chosen).alias("stays"), F.count(F.lit(1)).alias("times"))
+    i, h = _unused(docs, "own_id", "own_said")
+    told = store.materialise(told.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("said").alias(h), "stays"), "told")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h))
+    kept = docs.join(told.select(i, h), same, "left_anti")
+    repeated = told.where("stays").select(i, h)
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -89,11 +89,6 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@_query
-def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.count_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
 @_query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))

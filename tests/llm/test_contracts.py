@@ -193,7 +193,7 @@ def test_jaccard_components(spark, k):
                 rows.append((len(rows), near(rng, base, e), "en", "a", 1, "x", 1, 1))
                 base = base if e % 3 else near(rng, base, 3).split()
         df = awkward(spark, rows)
-    same(map(tuple, jaccard_join.group_documents(df).collect()), components(texts(df)))
+    same(map(tuple, jaccard_join.group_documents(df).select("doc_id", "n_shingles", "component_id").collect()), components(texts(df)))
 
 
 @pytest.mark.parametrize("k", [0, 1, 2])
@@ -214,6 +214,55 @@ def test_every_link_is_counted(spark, k):
     same(map(tuple, jaccard_join.count_links(df).collect()), want)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_large_groups_and_a_common_passage(spark, monkeypatch, small):
+    """2,600 documents: one group of near copies below and above the threshold, hubs, copies, and a passage that all share."""
+    if small:  # many chunks, cells and hot lists
+        for name, n in {"CELL_NODES": 50, "LIST_NODES": 16, "CHUNK_SHINGLES": 9000, "CHUNK_NODES": 40, "PART_SHINGLES": 7000}.items():
+            monkeypatch.setattr(jaccard_join, name, n)
+    rng, made = np.random.default_rng(3), []
+    base, passage = [f"x{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    made += [near(rng, base, i % 6) for i in range(700)]
+    made += [near(rng, [f"h{g}x{i}" for i in range(100)], e % 4) for g in range(40) for e in range(12)]
+    made += [" ".join([f"u{k}a{i}" for i in range(40)] + passage + [f"u{k}b{i}" for i in range(40)]) for k in range(800)]
+    made += [" ".join(passage)] * 120 + [" ".join(passage + [f"t{k}"]) for k in range(200)] + made[:300]
+    rng.shuffle(made)
+    docs = [(i, t) for i, t in enumerate(made)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.group_documents(df).collect()}
+    sets, where = [], {}
+    for i, t in docs:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+        for x in sets[-1]:
+            where.setdefault(x, []).append(i)
+    root, links = list(range(len(docs))), [0] * len(docs)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in where[x])
+        for j, n in common.items():
+            if j != i and 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                links[i] += 1
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert got == {i: (len(s), top(i), links[i]) for i, s in enumerate(sets)}
+
+
+def test_equal_empty_rows_stay_and_names_may_clash(spark):
+    rows = [(1, "", "a", "x"), (1, "", "a", "x"), (2, None, "b", "y"), (3, "a b c d e f", "c", "z"), (3, "a b c d e f", "c", "z"), (4, "a b c d e f", "d", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_id string, label string")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    same(map(tuple, kept.collect()), [rows[0], rows[1], rows[2], rows[3]])
+    none = jaccard_join.keep_one(docs.limit(0))
+    assert none.columns == docs.columns and none.count() == 0
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark)
     kept = jaccard_join.keep_one(docs)
