@@ -4,18 +4,20 @@ The byte-level pre-tokenizer never joins text across a single space or line
 end that stands between two visible characters. So a text is cut there, each
 distinct piece is encoded once per worker, and a text's ids are the pieces'
 ids in turn: the same ids as encoding the whole text, at a fraction of the work.
+A text with any other white space, or with a special token of the tokenizer
+written out in it, is encoded whole.
 """
 
 from __future__ import annotations
 
-from itertools import filterfalse
-
 import numpy as np
 
-#: Pieces kept per worker; beyond it the cache is emptied. Bounds memory, not results.
-CACHE_PIECES = 600_000
+#: Pieces kept per worker in each of two generations. Bounds memory, not results.
+CACHE_PIECES = 400_000
 #: Marks that may end a word; the pre-tokenizer parts them from its letters.
 _MARKS = frozenset(".,!?;:")
+#: Below this code point all versions of Unicode since 7.0 have the same letters.
+_LETTERS_AGREE = "\u0530"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,6 +27,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Odd(Exception):
+    """A piece that stands for other white space than one space or line end between words."""
+
+
+class _Pieces(dict):
+    """Ids of pieces, learnt when first asked for. When a generation is full it becomes the old one, from which pieces that are
+    still asked for come back."""
+
+    def __init__(self, learn):
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.learn(piece)
+        self[piece] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -38,89 +64,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
-        if len(self.line_end) != 1:
-            raise ValueError("the line end is not one token in this tokenizer")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self._whole("\n")
+        self.pieces = _Pieces(self._learn)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        """Keys of the pieces: words after a space as they are, others marked; None if the text has other white space."""
-        # Every white space must be one space or line end between two words: no piece empty, none with white space in it.
-        if text.replace("\n", " ") != " ".join(text.split()):
-            return None
-        lines = text.split("\n")
-        pieces = []
-        for i, line in enumerate(lines):
-            words = line.split(" ")
-            # A word that no space precedes has a key of its own.
-            words[0] = ("\n" if i else "\r") + words[0]
-            pieces += words
-        return pieces
-
-    def _letters(self, text: str) -> bytes:
-        """Ids of letters with or without a space before, which are one piece to the pre-tokenizer."""
-        found = self.words.get(text)
-        if found is None:
-            raw = text.encode().decode("latin-1").translate(self.letters)
-            found = self.words[text] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(raw))
-        return found
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-            self.words.clear()
-        spaced = []
-        for x in missing:
-            if x.isalpha():
-                self.cache[x] = self._letters(" " + x)
-            elif x[-1] in _MARKS and x[:-1].isalpha():
-                self.cache[x] = self._letters(" " + x[:-1]) + self._letters(x[-1])
-            elif x[0] not in "\n\r":
-                spaced.append(x)
-        end = self.line_end[0]
-        for at in range(0, len(spaced), 128):
-            some = spaced[at : at + 128]
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == end)
-            if len(cuts) != len(some) - 1:  # a piece that has the line end's id in it: one by one
-                self.cache.update((x, self._whole(" " + x)) for x in some)
-                continue
-            starts, stops, raw = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], ids.tobytes()
-            self.cache.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, starts, stops))
-        for x in missing:
-            if x[0] in "\n\r":
-                word, begin = x[1:], self._letters("\n") if x[0] == "\n" else b""
-                if word.isalpha():
-                    self.cache[x] = begin + self._letters(word)
-                elif word[-1] in _MARKS and word[:-1].isalpha():
-                    self.cache[x] = begin + self._letters(word[:-1]) + self._letters(word[-1])
-                else:
-                    self.cache[x] = begin + self._whole(word)
+    def _run(self, text: str) -> bytes:
+        """Ids of letters with or without a space before, or of one mark: what is one run to the pre-tokenizer."""
+        raw = text.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
+
+    def _learn(self, piece: str) -> bytes:
+        """A piece is a word that a space precedes, or a mark and a word: "\n" after a line end, "\r" at the text's begin."""
+        first = piece[:1]
+        word, before, begin = (piece[1:], "", self.line_end if first == "\n" else b"") if first in ("\n", "\r") else (piece, " ", b"")
+        if word.split() != [word]:
+            raise _Odd
+        if max(word) < _LETTERS_AGREE and word.isalpha():
+            return begin + self._run(before + word)
+        if word[-1] in _MARKS and max(word) < _LETTERS_AGREE and word[:-1].isalpha():
+            return begin + self._run(before + word[:-1]) + self._run(word[-1])
+        return begin + self._whole(before + word)
+
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        for x in self.special:
+            if x in text:
+                return self._whole(text)
+        if "\r" in text:
+            return self._whole(text)
+        # A line's first word keeps its line end, and the text's first word gets a mark of its own.
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\r" + pieces[0]
+        try:
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        except _Odd:
+            return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cut = [self._pieces(t) if t else [] for t in texts[at : at + 256]]
-            missing: set[str] = set()
-            for p in cut:
-                if p:
-                    missing.update(filterfalse(self.cache.__contains__, p))
-            if missing:
-                kept = len(self.cache)
-                self._learn(missing)
-                if len(self.cache) < kept:  # emptied meanwhile
-                    again = {x for p in cut if p for x in p} - self.cache.keys()
-                    self._learn(again) if again else None
-            of = self.cache.__getitem__
-            for t, p in zip(texts[at : at + 256], cut):
-                out.append(self._whole(t) if p is None else b"".join(map(of, p)))
+        for t in texts:
+            out.append(self._one(t))
+            self.pieces.turn()
         return out
 
 

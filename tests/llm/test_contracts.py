@@ -307,6 +307,24 @@ def test_ids_of_mixed_white_space(text):
     assert token_ids.encoder(queries.tokenizer_path()).encode([text, "a b", text]) == [whole, np.array(tokenised("a b"), "<u4").tobytes(), whole]
 
 
+def test_ids_of_random_texts():
+    """20,000 texts dense in white space of all kinds, marks, contractions and special tokens, against whole-text encoding."""
+    rng = np.random.default_rng(11)
+    some = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000", "a", "b", "Zoé", "naïve", "é²", "中文", "e\u0301", "7", "42", "²", ".", ",", "'s",
+            "'", "don't", "!?", "#x", "<|endoftext|>", "<|endoftext", "|>", "𝒳", "\u200b", "ß", "İ", "\u1c89"]
+    enc = token_ids.Encoder(queries.tokenizer_path())
+    made = ["".join(some[i] for i in rng.integers(0, len(some) if k % 2 else 25, rng.integers(1, 12))) for k in range(20_000)]
+    for t, ids in zip(made, enc.encode(made)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenised(t), t
+
+
+def test_pieces_of_two_generations(monkeypatch):
+    monkeypatch.setattr(token_ids, "CACHE_PIECES", 5)
+    enc = token_ids.Encoder(queries.tokenizer_path())
+    made = [f"w{k % 7} common word number {k}" for k in range(60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(made)] == [tokenised(t) for t in made]
+
+
 @pytest.mark.parametrize("per_packer", [100_000, 8_000])
 def test_packing_of_more_long_pieces_than_open_bins(spark, per_packer):
     rng = np.random.default_rng(11)
