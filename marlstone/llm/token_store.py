@@ -34,7 +34,9 @@ END = 2
 _SHARD, _INDEX = b"MRLT0001", b"MRLH0001"
 _PER_BUCKET = 4
 #: Keys of one index file, on average.
-PER_INDEX = 50_000
+PER_INDEX = 10_000
+#: Bytes of an id in a shard.
+WIDTH = 2
 _M = (1 << 64) - 1
 
 
@@ -50,6 +52,8 @@ def _mix(x: np.ndarray, seed) -> np.ndarray:
 def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(buckets, displacement of each bucket, slot of each key) of distinct 64-bit keys; slots are 0..n-1."""
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        raise ValueError("equal keys have no perfect hash")
     buckets = max(1, math.ceil(n / _PER_BUCKET))
     of = (_mix(keys, np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
@@ -132,44 +136,57 @@ def _put(uri: str, chunks) -> None:
     fs.move(draft, path)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, uri: str, end: int = END, text: str = "text") -> DataFrame:
-    """Write shards in ascending key order; gives (doc_id, nth, shard, local, n_tokens) for each document."""
-    spark = docs.sparkSession
-    width = 2
+def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, text: str = "text") -> DataFrame:
+    """(doc_id, ids) of each document: its ids and the end id as a shard holds them. Texts go no further than here."""
+
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        enc, tail = encoder(tokenizer), np.array([end], f"<u{WIDTH}").tobytes()
+        if enc.tokenizer.get_vocab_size() > 1 << 8 * WIDTH:
+            raise ValueError("ids of this tokenizer need a wider shard format")
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4").astype(f"<u{WIDTH}").tobytes() + tail for x in enc.encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return slim.mapInArrow(encode, "doc_id long, ids binary")
+
+
+def write_shards(encoded: DataFrame, uri: str) -> DataFrame:
+    """Write encoded (doc_id, ids; a written table) to shards in ascending key order; gives (doc_id, nth, shard, local, n_tokens)."""
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        if encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 8 * width:
-            raise ValueError("ids of this tokenizer need a wider shard format")
-        enc, shard, tail = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
-        places: list[tuple] = []
+        shard = TaskContext.get().partitionId()
         fs, path = store.filesystem(f"{uri}/shard-{shard:06d}.ids")
         fs.create_dir(posixpath.dirname(path), recursive=True)
         draft, out, at, last, nth = f"{path}.{TaskContext.get().taskAttemptId()}", None, 0, object(), 0
+        names, kinds = ["doc_id", "nth", "shard", "local", "n_tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        places: list[pa.RecordBatch] = []
         for batch in batches:
             if out is None:
                 out = fs.open_output_stream(draft)
-                out.write(_SHARD + struct.pack("<Q", width))
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids += tail
+                out.write(_SHARD + struct.pack("<Q", WIDTH))
+            rows: list[tuple] = []
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 nth = nth + 1 if doc == last else 0
                 last = doc
-                places.append((doc, nth, shard, at, len(ids) // 4))
-                at += len(ids) // 4
-                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+                rows.append((doc, nth, shard, at, len(ids) // WIDTH))
+                at += len(ids) // WIDTH
+                out.write(ids)
+            if rows:
+                places.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names))
         if out is not None:
             out.close()
             fs.move(draft, path)
-        if places:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*places), kinds)], ["doc_id", "nth", "shard", "local", "n_tokens"])
+        yield from places  # places are told only once the shard is whole
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range partitions never part equal keys, so nth counts them all.
-    ordered = slim.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered = encoded.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     return ordered.mapInArrow(write, "doc_id long, nth long, shard int, local long, n_tokens long")
 
 
@@ -183,18 +200,30 @@ def build_index(places: DataFrame, uri: str, files: int) -> DataFrame:
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(held) if (held := list(batches)) else None
-        if table is None:
-            return
-        part = table.column("part").to_numpy()
-        for p in np.unique(part).tolist():
-            own = table.filter(pa.array(part == p))
-            c = {k: own.column(k).to_numpy() for k in ("key", "shard", "local", "n_tokens")}
+        def done(own):
+            t = pa.Table.from_batches(own)
+            c = {k: t.column(k).to_numpy() for k in ("key", "shard", "local", "n_tokens")}
+            p = own[0].column("part")[0].as_py()
             _put(f"{uri}/index-{p:06d}.mph", [write_index(c["key"].view(np.uint64), c["shard"], c["local"], c["n_tokens"])])
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(own)], pa.int64())], ["part", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(t)], pa.int64())], ["part", "keys"])
 
+        held, last = [], None
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y:
+                    if held and part[x] != last:
+                        yield done(held)
+                        held = []
+                    last = part[x]
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield done(held)
+
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = places.select(F.pmod(_key(), F.lit(files)).cast("int").alias("part"), _key().alias("key"), "shard", "local", "n_tokens")
-    return keyed.repartition(files, "part").mapInArrow(build, "part int, keys long")
+    return keyed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(build, "part int, keys long")
 
 
 def look_up(keys: DataFrame, uri: str, files: int) -> DataFrame:
@@ -221,7 +250,8 @@ def look_up(keys: DataFrame, uri: str, files: int) -> DataFrame:
                 )
 
     keyed = keys.select("doc_id", "nth", F.pmod(_key(), F.lit(files)).cast("int").alias("part"), _key().alias("key"))
-    dealt = keyed.repartition(files, "part").sortWithinPartitions("part")
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(n, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(find, "doc_id long, nth long, shard int, local long, n_tokens long")
 
 
@@ -259,7 +289,9 @@ def store_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write shards and index, then read every document back through the index."""
     spark = docs.sparkSession
     uri = store.new_dir(spark, "token-shards")
-    places = store.materialise(write_shards(docs, tokenizer, uri), "places")
+    encoded = store.materialise(encode_documents(docs, tokenizer), "encoded")
+    places = store.materialise(write_shards(encoded, uri), "places")
+    store.drop(encoded)
     totals = {r["shard"]: r["n"] for r in places.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a shard
     starts, at = [], 0
     for shard in sorted(totals):
