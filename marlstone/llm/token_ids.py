@@ -66,27 +66,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self._whole("\n")
+        self.line_end, self.marks = self._whole("\n"), {x: self._whole(x) for x in _MARKS}
         self.pieces = _Pieces(self._learn)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _run(self, text: str) -> bytes:
-        """Ids of letters with or without a space before, or of one mark: what is one run to the pre-tokenizer."""
-        raw = text.encode().decode("latin-1").translate(self.letters)
+    def _run(self, raw: str) -> bytes:
+        """Ids of one run of the pre-tokenizer, in the byte-level alphabet."""
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
 
+    def _raw(self, text: str) -> str:
+        """text in the byte-level alphabet; ASCII letters stand for themselves."""
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+
     def _learn(self, piece: str) -> bytes:
         """A piece is a word that a space precedes, or a mark and a word: "\n" after a line end, "\r" at the text's begin."""
+        if piece.isalpha() and max(piece) < _LETTERS_AGREE:
+            return self._run("\u0120" + self._raw(piece))  # the space's letter
         first = piece[:1]
-        word, before, begin = (piece[1:], "", self.line_end if first == "\n" else b"") if first in ("\n", "\r") else (piece, " ", b"")
+        if first == "\n" or first == "\r":
+            word, before, space, begin = piece[1:], "", "", self.line_end if first == "\n" else b""
+        else:
+            word, before, space, begin = piece, " ", "\u0120", b""
         if word.split() != [word]:
             raise _Odd
-        if max(word) < _LETTERS_AGREE and word.isalpha():
-            return begin + self._run(before + word)
-        if word[-1] in _MARKS and max(word) < _LETTERS_AGREE and word[:-1].isalpha():
-            return begin + self._run(before + word[:-1]) + self._run(word[-1])
+        if max(word) < _LETTERS_AGREE:
+            if word.isalpha():
+                return begin + self._run(space + self._raw(word))
+            if word[-1] in _MARKS and word[:-1].isalpha():
+                known = self.pieces.get(word[:-1]) if before else None
+                return begin + (known or self._run(space + self._raw(word[:-1]))) + self.marks[word[-1]]
         return begin + self._whole(before + word)
 
     def _one(self, text: str | None) -> bytes:
