@@ -256,13 +256,13 @@ def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFra
     fields = "node long, file long, start long, n long, copies long, mins array<long>, central double, entries binary"
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def pick(rows: list[tuple]) -> Iterator:
+    def pick(rows: list[tuple], read: SetFiles) -> Iterator:
         """rows of one chunk: (chunk, file, part, block, held), the chunk's own first."""
         import pyarrow as pa
         import zstandard
 
         (_, file, _, _, held), *blocks = rows
-        shingles = _chunk(read_of(), file, held)
+        shingles = _chunk(read, file, held)
         order, _, _ = _in_order(shingles, parts)
         opened = zstandard.ZstdDecompressor()
         times = np.empty(len(shingles), np.uint8)
@@ -284,14 +284,8 @@ def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator) -> Iterator:
-        return _by_part(batches, pick)
-
-    kept: list[SetFiles] = []
-
-    def read_of() -> SetFiles:
-        if not kept:
-            kept.append(SetFiles(uri))
-        return kept[0]
+        read = SetFiles(uri)
+        yield from _by_part(batches, lambda rows: pick(rows, read))
 
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct("file", "chunk").alias("key")
@@ -375,11 +369,10 @@ def within_clusters(live: DataFrame, labels: DataFrame, uri: str) -> DataFrame:
     placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.struct("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("cell")
 
-    def count(rows: list[tuple]) -> Iterator:
+    def count(rows: list[tuple], read: SetFiles) -> Iterator:
         import pyarrow as pa
 
         cell, lead = rows[0][0], rows[0][7]
-        read = read_of()
         sets = [read(f, at, n) for _, _, f, at, n, *_ in rows]
         o = overlaps(read(lead["file"], lead["start"], lead["n"]), sets)
         n, block = np.array([len(s) for s in sets]), np.array([x[6] for x in rows])
@@ -394,16 +387,13 @@ def within_clusters(live: DataFrame, labels: DataFrame, uri: str) -> DataFrame:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(others[some].astype(np.int64)), pa.array(node[root[some]])], ["node", "others", "root"])
 
-    kept: list[SetFiles] = []
-
-    def read_of() -> SetFiles:
-        if not kept:
-            kept.append(SetFiles(uri))
-        return kept[0]
+    def run(batches: Iterator) -> Iterator:
+        read = SetFiles(uri)
+        yield from _by_part(batches, lambda rows: count(rows, read))
 
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.select(cell, "node", "file", "start", "n", "copies", "block", "lead").repartition(parts, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(lambda batches: _by_part(batches, count), "node long, others long, root long")
+    return dealt.mapInArrow(run, "node long, others long, root long")
 
 
 def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -427,40 +417,56 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tu
                 yield np.full(len(j), order[i]), order[j]
 
 
-_POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("n", "<u4"), ("node", "<i8"), ("label", "<i8")])
+#: An index entry: shingle, place in the prefix, and of the node its set's size and place, copies, id and cluster.
+_POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("n", "<u4"), ("copies", "<i8"), ("file", "<i8"), ("start", "<i8"), ("node", "<i8"), ("label", "<i8")])
 
 
-def _pairs_of(e: np.ndarray) -> Iterator:
-    """Record batches of the distinct (a, b) that the index lists in e make; lists of one cluster make none."""
+def _links_of(e: np.ndarray, read: SetFiles) -> Iterator:
+    """Record batches of the links that the index lists in e make: a, b, copies_a, copies_b. Lists of one cluster make none.
+    Sets are read and compared here, so a pair that does not link goes no further."""
     import pyarrow as pa
 
     e = e[np.argsort(e["t"], kind="stable")]
+    if not len(e):
+        return
     cuts = np.flatnonzero(np.concatenate([[True], e["t"][1:] != e["t"][:-1]]))
-    mixed = np.minimum.reduceat(e["label"], cuts) != np.maximum.reduceat(e["label"], cuts) if len(e) else []
+    mixed = np.minimum.reduceat(e["label"], cuts) != np.maximum.reduceat(e["label"], cuts)
     ends = np.append(cuts[1:], len(e))
-    a, b, size = [], [], 0
+    # One entry for each node, in order of id: pairs are pairs of these.
+    _, first, of = np.unique(e["node"], return_index=True, return_inverse=True)
+    own = e[first]
 
-    def out():
+    def out(a, b):
         x, y = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        both = np.unique(np.minimum(x, y) * len(own) + np.maximum(x, y))
+        x, y = both // len(own), both % len(own)
+        ok, at, probe = np.zeros(len(x), bool), -1, None
+        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+            if i != at:
+                at, probe = i, read(int(own["file"][i]), int(own["start"][i]), int(own["n"][i]))
+            s = read(int(own["file"][j]), int(own["start"][j]), int(own["n"][j]))
+            ok[k] = linked(len(np.intersect1d(probe, s, True)), len(probe), len(s))
+        x, y = own[x[ok]], own[y[ok]]
+        columns = x["node"], y["node"], x["copies"], y["copies"]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["a", "b", "copies_a", "copies_b"])
 
+    a, b, size = [], [], 0
     for x, y in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
-        own = e[x:y]
-        for i, j in list_pairs(own["n"].astype(np.int64), own["p"].astype(np.int64), own["label"]):
-            a.append(own["node"][i])
-            b.append(own["node"][j])
+        l = e[x:y]
+        for i, j in list_pairs(l["n"].astype(np.int64), l["p"].astype(np.int64), l["label"]):
+            a.append(of[x:y][i])
+            b.append(of[x:y][j])
             size += len(i)
             if size > 500_000:
-                yield out()
+                yield out(a, b)
                 a, b, size = [], [], 0
     if a:
-        yield out()
+        yield out(a, b)
 
 
 def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """(part, block, t, p, n, node, label): packed index entries by parts; those of very common shingles as rows of their own."""
-    names, common = ["part", "block", "t", "p", "n", "node", "label"], int(_classes(np.array([LIST_NODES]))[0])
+    """(part, block, and the fields of an entry): packed index entries by parts; those of very common shingles as rows of their own."""
+    names, common = ["part", "block", *_POSTING.names], int(_classes(np.array([LIST_NODES]))[0])
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -478,14 +484,16 @@ def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
             # Column by column: a node's entries follow each other, so all but the hash shrinks to little.
             blocks = [squeeze.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _POSTING.names)) for p in some]
             n, m = len(some), len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary()), *(pa.nulls(n, pa.int64()),) * 5], names)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary()), *(pa.nulls(n, pa.int64()),) * len(_POSTING.names)], names)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(np.ascontiguousarray(h[f]).astype("<u8").view("<i8")) for f in _POSTING.names)], names)
 
         for batch in batches:
-            for node, n, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for raw, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 x = np.frombuffer(raw, _ENTRY)
                 e = np.empty(len(x), _POSTING)
-                e["t"], e["p"], e["n"], e["node"], e["label"] = x["t"], x["p"], n, node, label
+                e["t"], e["p"] = x["t"], x["p"]
+                for f, v in zip(_POSTING.names[2:], own):
+                    e[f] = v
                 held.append((e, x["c"] >= common))
                 size += len(e)
                 if size > 1_000_000:
@@ -495,13 +503,14 @@ def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     l = labels.select(F.col("node").alias("own"), "label")
-    labelled = live.join(l, F.col("node") == F.col("own")).select("node", "n", "label", "entries")
-    return labelled.mapInArrow(emit, "part int, block binary, t long, p long, n long, node long, label long")
+    labelled = live.join(l, F.col("node") == F.col("own")).select("entries", *_POSTING.names[2:])
+    return labelled.mapInArrow(emit, "part int, block binary, " + ", ".join(f"{f} long" for f in _POSTING.names))
 
 
-def candidates(packed: DataFrame) -> DataFrame:
-    """Distinct (a, b) of nodes of different clusters that share an index list and pass its bounds; packed is written."""
+def across_clusters(packed: DataFrame, uri: str) -> DataFrame:
+    """The links (a, b, copies_a, copies_b) of nodes of different clusters; packed is written."""
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = "a long, b long, copies_a long, copies_b long"
 
     def opened(raw: bytes) -> np.ndarray:
         import zstandard
@@ -513,46 +522,32 @@ def candidates(packed: DataFrame) -> DataFrame:
             at += len(e) * _POSTING[f].itemsize
         return e
 
-    def of_part(rows: list[tuple]) -> Iterator:
-        yield from _pairs_of(np.concatenate([opened(x[1]) for x in rows]))
+    def of_part(rows: list[tuple], read: SetFiles) -> Iterator:
+        yield from _links_of(np.concatenate([opened(x[1]) for x in rows]), read)
 
-    def of_cell(rows: list[tuple]) -> Iterator:
-        e = np.empty(len(rows), _POSTING)
-        for f, column in zip(("p", "n", "node", "label"), list(zip(*rows))[1:]):
+    def of_cell(rows: list[tuple], read: SetFiles) -> Iterator:
+        e = np.zeros(len(rows), _POSTING)
+        for f, column in zip(_POSTING.names[1:], list(zip(*rows))[1:]):
             e[f] = column
-        e["t"] = 0
-        yield from _pairs_of(e)
+        yield from _links_of(e, read)
+
+    def by(of):
+        def run(batches: Iterator) -> Iterator:
+            read = SetFiles(uri)
+            yield from _by_part(batches, lambda rows: of(rows, read))
+
+        return run
 
     common = packed.where(F.col("block").isNotNull()).select("part", "block").repartition(n, "part").sortWithinPartitions("part")
-    made = common.mapInArrow(lambda batches: _by_part(batches, of_part), "a long, b long")
+    made = common.mapInArrow(by(of_part), fields)
     hot = packed.where(F.col("block").isNull())
     mixed = hot.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
     mixed = mixed.select(F.col("t").alias("of"), F.ceil(F.col("c") / LIST_NODES).cast("int").alias("blocks"))
     dealt = hot.join(mixed, F.col("t") == F.col("of")).withColumn("x", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.struct("t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("cell")
-    dealt = dealt.select(cell, "p", "n", "node", "label").repartition(n, "cell").sortWithinPartitions("cell")
-    return made.unionByName(dealt.mapInArrow(lambda batches: _by_part(batches, of_cell), "a long, b long")).distinct()
-
-
-def verified(pairs: DataFrame, live: DataFrame, uri: str) -> DataFrame:
-    """The (a, b, copies_a, copies_b) of pairs whose sets link; sets are read where they are compared."""
-    of = lambda t: live.select(*[F.col(c).alias(f"{c}_{t}") for c in ("node", "file", "start", "n", "copies")])
-    placed = pairs.join(of("a"), F.col("a") == F.col("node_a")).join(of("b"), F.col("b") == F.col("node_b"))
-
-    def check(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        read, at, probe = SetFiles(uri), None, None
-        for batch in batches:
-            ok = []
-            for fa, sa, na, fb, sb, nb in zip(*(batch.column(c).to_pylist() for c in ("file_a", "start_a", "n_a", "file_b", "start_b", "n_b"))):
-                if (fa, sa) != at:
-                    at, probe = (fa, sa), read(fa, sa, na)
-                ok.append(linked(len(np.intersect1d(probe, read(fb, sb, nb), True)), na, nb))
-            yield batch.select(["a", "b", "copies_a", "copies_b"]).filter(pa.array(ok, pa.bool_()))
-
-    return placed.sortWithinPartitions("file_a", "start_a", "b").mapInArrow(check, "a long, b long, copies_a long, copies_b long")
+    dealt = dealt.select(cell, *_POSTING.names[1:]).repartition(n, "cell").sortWithinPartitions("cell")
+    return made.unionByName(dealt.mapInArrow(by(of_cell), fields)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -600,9 +595,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     labels = clusters(live)
     near = store.materialise(within_clusters(live, labels, uri), "near")
     packed = store.materialise(postings(live, labels, parts), "postings")
-    found = store.materialise(candidates(packed), "candidates")
-    far = store.materialise(verified(found, live, uri), "links")
-    store.drop(labels, packed, found)
+    far = store.materialise(across_clusters(packed, uri), "links")
+    store.drop(labels, packed)
 
     # Components and counts. Only nodes with copies or links are told apart from the rest.
     joined = near.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(far.select("a", "b"))
