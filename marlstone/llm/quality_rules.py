@@ -1,8 +1,12 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Every document gets counts; per language and source a mergeable KLL quantile
-sketch of each ratio gives that group's own upper and lower fences, and the
-counts are joined with the fences to reach a verdict.
+Every document gets counts; per language and source mergeable KLL quantile sketches of each ratio and of the documents'
+sizes give that group's own fences, and the counts are joined with the fences to reach a verdict.
+
+A fence lies SPREADS spreads beyond the quartile. A spread is the group's interquartile range, or, if that is larger, what
+EVENTS events (one symbol, one repeated line, one repeated window) make of the ratio in the group's median document. Nothing
+in it is a cutoff of its own: ratios, their spread and the size of a document all come from the sketches. Fences of a small
+group lean on those of its language, and these on those of all documents, with weight SHRINK / (n + SHRINK): continuous in n.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null language or source is a group of its own; repeated rows count as often as
@@ -21,13 +25,13 @@ from . import store
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _WINDOW = 5
 
-#: Ratio, and the least spread that its fences take as ordinary variation.
-RATIOS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.15, "repeat_ratio": 0.05, "mean_word": 1.5}
-#: Upper fence of all ratios; mean_word has a lower one too.
-SPREADS = 3.0
-#: A group with fewer documents takes the merged sketch of its language, then of all.
-LEAST_GROUP = 200
-SKETCH_K = 400
+#: Ratio, the size that its events are counted against, and what one event adds to the numerator; mean_word has no events.
+RATIOS = {"symbol_ratio": ("n_words", 1), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 2 * _WINDOW), "mean_word": None}
+#: Spreads between quartile and fence, and events that make a spread at least. mean_word has a lower fence too.
+SPREADS, EVENTS = 3.0, 1.0
+#: Documents of its own that a group's fences need to weigh as much as those of its language.
+SHRINK = 50.0
+SKETCH_K = 2000
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -102,69 +106,74 @@ def _key(column: F.Column) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), column), F.lit("null"))
 
 
-def thresholds(measured: DataFrame, m: str = "__m", lang: str = "__lang", source: str = "__source") -> DataFrame:
-    """One row per (language, source): fences read from its sketch, or from a merged one if it is small.
+_SIZES = ("n_words", "n_lines")
+
+
+def _fences(sketch) -> dict[str, F.Column]:
+    """Fences read from one family of sketches: sketch(name) is the column of a ratio's or a size's."""
+    q = lambda k, p: F.kll_sketch_get_quantile_double(sketch(k), F.lit(p))
+    out = {}
+    for k, event in RATIOS.items():
+        spread = q(k, 0.75) - q(k, 0.25)
+        if event:
+            spread = F.greatest(spread, EVENTS * event[1] / F.greatest(q(event[0], 0.5), F.lit(1.0)))
+        out[f"hi_{k}"] = q(k, 0.75) + SPREADS * spread
+        if not event:
+            out[f"lo_{k}"] = q(k, 0.25) - SPREADS * spread
+    return out
+
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """One row per (lang, source) of measured (m, lang, source): fences from its sketches, leaning on the merged ones.
 
     Sketches of documents failing the base rule are left out, so junk does not widen the fences.
     """
-    ratios = _ratio(m)
-    built = (
-        measured.where(~base_failed(m))
-        .groupBy(lang, source)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(k) for k, v in ratios.items()])
-    )
+    held = _ratio("m") | {k: F.col(f"m.{k}").cast("double") for k in _SIZES}
+    k = F.lit(SKETCH_K)
+    built = measured.where(~base_failed("m")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(v, k).alias(f"s_{x}") for x, v in held.items()])
     built = store.materialise(built, "sketches")
-    merged = [F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(f"w_{k}") for k in ratios]
-    by_lang = built.groupBy(lang).agg(F.sum("n").alias("w_n"), *merged)
-    overall = built.agg(*[F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(f"o_{k}") for k in ratios])
-    joined = built.join(by_lang, lang).join(F.broadcast(overall))  # overall is one row
-    out = [lang, source]
-    for k, least in RATIOS.items():
-        sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).when(F.col("w_n") >= LEAST_GROUP, F.col(f"w_{k}")).otherwise(F.col(f"o_{k}"))
-        q = lambda p, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(p))
-        spread = F.greatest(q(0.75) - q(0.25), F.lit(least))
-        out.append((q(0.75) + SPREADS * spread).alias(f"hi_{k}"))
-        if k == "mean_word":
-            out.append((q(0.25) - SPREADS * spread).alias(f"lo_{k}"))
-    return joined.select(*out)
+    merged = lambda to: [F.sum("n").alias(f"{to}_n"), *[F.kll_merge_agg_double(f"s_{x}", k).alias(f"{to}_{x}") for x in held]]
+    whole = built.agg(*merged("a"))  # one row
+    by_lang = built.groupBy("lang").agg(*merged("l")).withColumnRenamed("lang", "of")
+    joined = built.join(by_lang, F.col("lang") == F.col("of")).join(F.broadcast(whole))
+    own, of_lang, of_all = (_fences(lambda x, t=t: F.col(f"{t}_{x}")) for t in "sla")
+    weight = lambda n: F.col(n) / (F.col(n) + SHRINK)
+    blend = lambda w, x, y: y + w * (x - y)
+    return joined.select("lang", "source", *[blend(weight("n"), own[x], blend(weight("l_n"), of_lang[x], of_all[x])).alias(x) for x in own])
 
 
 def _tick(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _verdict(held: DataFrame) -> DataFrame:
-    """held (a written table with __m, __lang, __source) with __failed and __kept."""
-    fences = store.materialise(thresholds(held), "fences")
-    bounds = [c for c in fences.columns if c.startswith(("hi_", "lo_"))]
-    f = fences.select(F.col("__lang").alias("__fl"), F.col("__source").alias("__fs"), *[F.col(c).alias(f"__{c}") for c in bounds])
-    ratios = _ratio("__m")
-    bad = F.coalesce(ratios["mean_word"] < F.col("__lo_mean_word"), F.lit(False))
-    for k, v in ratios.items():
-        bad = bad | F.coalesce(v > F.col(f"__hi_{k}"), F.lit(False))
-    joined = held.join(f, (F.col("__lang") == F.col("__fl")) & (F.col("__source") == F.col("__fs")), "left")
-    return joined.withColumns({"__failed": base_failed("__m"), "__kept": ~base_failed("__m") & ~bad})
-
-
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The keep columns of docs (all by default) with __m (counts), __failed (base rule) and __kept (verdict)."""
+    """doc (a struct of the keep columns of docs, all by default), m (counts), failed (base rule) and kept (verdict)."""
     keep = docs.columns if keep is None else keep
     measured = docs.select(
-        *[_tick(c) for c in keep],
-        counts(text).alias("__m"),
-        _key(_tick(lang).cast("string")).alias("__lang"),
-        _key(_tick(source).cast("string")).alias("__source"),
+        F.struct(*[_tick(c).alias(c) for c in keep]).alias("doc"),
+        counts(text).alias("m"),
+        _key(_tick(lang).cast("string")).alias("lang"),
+        _key(_tick(source).cast("string")).alias("source"),
     )
-    return _verdict(store.materialise(measured, "measured")).select(*[_tick(c) for c in keep], "__m", "__failed", "__kept")
+    held = store.materialise(measured, "measured")
+    fences = store.materialise(thresholds(held), "fences")
+    f = fences.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.struct(*fences.columns[2:]).alias("f"))
+    ratios = _ratio("m")
+    bad = F.coalesce(ratios["mean_word"] < F.col("f.lo_mean_word"), F.lit(False))
+    for k, v in ratios.items():
+        bad = bad | F.coalesce(v > F.col(f"f.hi_{k}"), F.lit(False))
+    joined = held.join(f, (F.col("lang") == F.col("of_lang")) & (F.col("source") == F.col("of_source")), "left")
+    return joined.select("doc", "m", base_failed("m").alias("failed"), (~base_failed("m") & ~bad).alias("kept"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each document; the text goes no further than the counts."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = judge(docs, ["doc_id"])
-    return judged.select("doc_id", *[F.col(f"__m.{c}").alias(c) for c in names], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return judged.select("doc.doc_id", *[F.col(f"m.{c}").alias(c) for c in names], F.col("failed").alias("base_failed"), "kept")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return judge(docs).where("__kept").select(*[_tick(c) for c in docs.columns])
+    names = docs.columns
+    return judge(docs).where("kept").select(*[F.col("doc.`" + c.replace("`", "``") + "`").alias(c) for c in names])

@@ -22,6 +22,54 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _quality_sql() -> str:
+    """Sketches of at most SKETCH_K documents are exact, so discrete quantiles give the same fences."""
+    q = quality_rules
+    values = {"symbol_ratio": "n_symbols / n_words", "dup_line_ratio": "case when n_lines > 0 then n_dup_lines / n_lines else 0 end", "repeat_ratio": "n_repeat_words / n_words", "mean_word": "word_chars / n_words"}
+    stats, fences = [], {}
+    for k, event in q.RATIOS.items():
+        stats += [f"quantile_disc({values[k]}, {p}) as {k}_{n}" for p, n in ((0.25, "lo"), (0.75, "hi"))]
+        spread = f"({k}_hi - {k}_lo)"
+        if event:
+            spread = f"greatest({spread}, cast({q.EVENTS * event[1]} as double) / greatest({event[0]}_mid, 1.0))"
+        fences[f"hi_{k}"] = f"{k}_hi + cast({q.SPREADS} as double) * {spread}"
+        if not event:
+            fences[f"lo_{k}"] = f"{k}_lo - cast({q.SPREADS} as double) * {spread}"
+    stats += [f"quantile_disc(cast({k} as double), 0.5) as {k}_mid" for k in ("n_words", "n_lines")]
+    level = f"count(*) as n, {', '.join(stats)} from m where not failed"
+    made = ", ".join(f"{x} as {n}" for n, x in fences.items())
+    weight = lambda t: f"({t}.n / ({t}.n + cast({q.SHRINK} as double)))"
+    mixed = lambda n: f"(a.{n} + {weight('l')} * (l.{n} - a.{n}))"
+    blended = ", ".join(f"{mixed(n)} + {weight('o')} * (o.{n} - {mixed(n)}) as {n}" for n in fences)
+    bad = " or ".join(f"{values[k]} > f.hi_{k}" for k in values)
+    return f"""
+with w as (
+  select doc_id, coalesce('=' || lang, 'null') as lang, coalesce('=' || source, 'null') as source, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from documents
+), places as (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5
+), twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i:i + 4], ' ')) as c from places) where c > 1
+), covered as (select doc_id, count(distinct i + k) as n from twice, range(0, 5) as t(k) group by doc_id
+), c as (
+  select w.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, len(ls) as n_lines,
+    cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
+  from w left join covered using (doc_id)
+), m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed from c
+), o as (select lang, source, n, {made} from (select lang, source, {level} group by lang, source)
+), l as (select lang, n, {made} from (select lang, {level} group by lang)
+), a as (select n, {made} from (select {level})
+), f as (select o.lang, o.source, {blended} from o join l on o.lang = l.lang cross join a)
+select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed,
+  case when failed then false else not coalesce({bad} or {values["mean_word"]} < f.lo_mean_word, false) end as kept
+from m left join f on m.lang = f.lang and m.source = f.source
+"""
+
+
+ORACLES["op10_quality_rules"] = _quality_sql()
+
+
 @_query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -89,6 +137,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLES["op5_jaccard_join"] = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), d as (
+  select doc_id, case when len(ws) = 0 then [] else list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, greatest(len(ws) - 3, 2))]) end as s from w
+), s as (select doc_id, len(s) as n, unnest(s) as g from d
+), links as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, cast(len(d.s) as bigint) as n_shingles, (select min(b) from reach where a = doc_id) as component_id,
+  (select count(*) from links where a = doc_id) as n_links
+from d
+"""
+
+
 @_query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -419,6 +419,55 @@ def test_quality_counts(spark, k):
     assert got.where("base_failed and kept").count() == 0
 
 
+def test_quality_fences_of_each_group(spark):
+    """Verdicts against exact quantiles, where sources differ in what is ordinary and groups are small and large."""
+    rng, rows = np.random.default_rng(4), []
+    for source, n, size, marks in [("a", 150, 4, 0.0), ("b", 60, 9, 0.3), ("c", 7, 5, 0.0), (None, 3, 5, 0.1)]:
+        for k in range(n):
+            ws = ["".join(rng.choice(list("abcdefghij"), max(1, int(rng.normal(size, 1))))) + ("#" if rng.random() < marks else "") for _ in range(int(rng.integers(10, 80)))]
+            ws = ws + ["###"] * (k % 13) if k % 6 == 0 else [x * 3 for x in ws] if k % 17 == 0 else ws
+            rows.append((len(rows), " ".join(ws) + "\n" + ("same line\n" * (k % 5) if k % 8 == 0 else ""), "en" if k % 3 else None, source, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    m = []
+    for d, t, lang, source, _ in rows:
+        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        ratios = [len(re.findall(r"[#*$%&|<>]", t)) / len(w), (len(lines) - len(set(lines))) / len(lines), len(covered) / len(w), sum(map(len, w)) / len(w)]
+        m.append((d, (lang, source), failed, ratios, len(w), len(lines)))
+
+    def fences(some):
+        q = lambda v, p: sorted(v)[max(1, math.ceil(p * len(v))) - 1]
+        words, lines = q([x[4] for x in some], 0.5), q([x[5] for x in some], 0.5)
+        out = []
+        for k, event in enumerate([1 / words, 1 / lines, 10 / words, 0]):
+            v = [x[3][k] for x in some]
+            spread = max(q(v, 0.75) - q(v, 0.25), event)
+            out += [q(v, 0.75) + 3 * spread, q(v, 0.25) - 3 * spread]
+        return np.array(out)
+
+    good = [x for x in m if not x[2]]
+    want, verdicts = {}, {}
+    for d, key, failed, ratios, _, _ in m:
+        own, lang = [x for x in good if x[1] == key], [x for x in good if x[1][0] == key[0]]
+        if key not in want and own:
+            of_all = fences(good)
+            of_lang = of_all + len(lang) / (len(lang) + 50) * (fences(lang) - of_all)
+            want[key] = of_lang + len(own) / (len(own) + 50) * (fences(own) - of_lang)
+        f = want.get(key)
+        verdicts[d] = not failed and not (any(r > f[2 * k] for k, r in enumerate(ratios)) or ratios[3] < f[7])
+    got = {r.doc_id: r.kept for r in quality_rules.quality_report(df).collect()}
+    assert got == verdicts and 10 <= sum(not v for v in verdicts.values()) < 150  # both verdicts occur
+    assert max(abs(want["en", "a"][0] - want["en", "b"][0]), 0) > 0.05  # the sources' fences differ
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text, "en", "a", 1, 2, 3, 4, 5)], "doc_id long, text string, lang string, source string, m long, doc long, f long, failed long, hi_mean_word long")
+    assert [tuple(r) for r in quality_rules.filter_quality(df).collect()] == [(1, text, "en", "a", 1, 2, 3, 4, 5)]
+
+
 def test_quality_verdicts_agree_with_labels(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
