@@ -136,25 +136,41 @@ def _put(uri: str, chunks) -> None:
     fs.move(draft, path)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end: int = END, text: str = "text") -> DataFrame:
-    """(doc_id, ids) of each document: its ids and the end id as a shard holds them. Texts go no further than here."""
+def encode_documents(docs: DataFrame, tokenizer: str, uri: str, end: int = END, text: str = "text") -> DataFrame:
+    """Encode each document once, in the order in which tasks read them, to raw files; gives (doc_id, file, start, n_tokens,
+    ids_crc32). Texts go no further than here, and ids only to the shards."""
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc, tail = encoder(tokenizer), np.array([end], f"<u{WIDTH}").tobytes()
         if enc.tokenizer.get_vocab_size() > 1 << 8 * WIDTH:
             raise ValueError("ids of this tokenizer need a wider shard format")
+        file, out, at = TaskContext.get().taskAttemptId(), None, 0  # a file for each attempt
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(f"<u{WIDTH}").tobytes() + tail for x in enc.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            if out is None:
+                fs, path = store.filesystem(f"{uri}/{file}.raw")
+                fs.create_dir(posixpath.dirname(path), recursive=True)
+                out = fs.open_output_stream(path)
+            starts, sizes, sums = [], [], []
+            for x in enc.encode(batch.column(1).to_pylist()):
+                ids = np.frombuffer(x, "<u4").astype(f"<u{WIDTH}").tobytes() + tail
+                out.write(ids)
+                starts.append(at), sizes.append(len(ids) // WIDTH), sums.append(zlib.crc32(ids))
+                at += len(ids) // WIDTH
+            own = [pa.array(x, pa.int64()) for x in ([file] * len(starts), starts, sizes, sums)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], ["doc_id", "file", "start", "n_tokens", "sum"])
+        if out is not None:
+            out.close()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(encode, "doc_id long, ids binary")
+    return slim.mapInArrow(encode, "doc_id long, file long, start long, n_tokens long, sum long")
 
 
-def write_shards(encoded: DataFrame, uri: str) -> DataFrame:
-    """Write encoded (doc_id, ids; a written table) to shards in ascending key order; gives (doc_id, nth, shard, local, n_tokens)."""
+def write_shards(encoded: DataFrame, raw: str, uri: str) -> DataFrame:
+    """Copy encoded documents (a written table) to shards in ascending key order; gives (doc_id, nth, shard, local, n_tokens).
+    Only places are shuffled; a shard's writer reads the ids from the raw files, what lies together in one piece."""
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -166,19 +182,37 @@ def write_shards(encoded: DataFrame, uri: str) -> DataFrame:
         draft, out, at, last, nth = f"{path}.{TaskContext.get().taskAttemptId()}", None, 0, object(), 0
         names, kinds = ["doc_id", "nth", "shard", "local", "n_tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         places: list[pa.RecordBatch] = []
+        files: dict = {}
+
+        def copy(file, start, stop):
+            if file not in files:
+                if len(files) >= 64:
+                    files.pop(next(iter(files))).close()
+                files[file] = fs.open_input_file(store.filesystem(f"{raw}/{file}.raw")[1])
+            for x in range(start, stop, 1 << 22):
+                out.write(files[file].read_at(WIDTH * (min(stop, x + (1 << 22)) - x), WIDTH * x))
+
+        piece = None
         for batch in batches:
             if out is None:
                 out = fs.open_output_stream(draft)
                 out.write(_SHARD + struct.pack("<Q", WIDTH))
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, file, start, n in zip(*(c.to_pylist() for c in batch.columns)):
                 nth = nth + 1 if doc == last else 0
                 last = doc
-                rows.append((doc, nth, shard, at, len(ids) // WIDTH))
-                at += len(ids) // WIDTH
-                out.write(ids)
+                rows.append((doc, nth, shard, at, n))
+                at += n
+                if piece and piece[0] == file and piece[2] == start:
+                    piece[2] = start + n
+                else:
+                    if piece:
+                        copy(*piece)
+                    piece = [file, start, start + n]
             if rows:
                 places.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names))
+        if piece:
+            copy(*piece)
         if out is not None:
             out.close()
             fs.move(draft, path)
@@ -186,7 +220,8 @@ def write_shards(encoded: DataFrame, uri: str) -> DataFrame:
 
     n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range partitions never part equal keys, so nth counts them all.
-    ordered = encoded.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    order = F.asc_nulls_first("doc_id"), "n_tokens", "sum", "file", "start"
+    ordered = encoded.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(*order).select("doc_id", "file", "start", "n_tokens")
     return ordered.mapInArrow(write, "doc_id long, nth long, shard int, local long, n_tokens long")
 
 
@@ -289,9 +324,11 @@ def store_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write shards and index, then read every document back through the index."""
     spark = docs.sparkSession
     uri = store.new_dir(spark, "token-shards")
-    encoded = store.materialise(encode_documents(docs, tokenizer), "encoded")
-    places = store.materialise(write_shards(encoded, uri), "places")
+    raw = store.new_dir(spark, "raw-ids")
+    encoded = store.materialise(encode_documents(docs, tokenizer, raw), "encoded")
+    places = store.materialise(write_shards(encoded, raw, uri), "places")
     store.drop(encoded)
+    store.remove(spark, raw)
     totals = {r["shard"]: r["n"] for r in places.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a shard
     starts, at = [], 0
     for shard in sorted(totals):
