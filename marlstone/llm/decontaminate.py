@@ -1,13 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds are windows of MIN_MATCH words that a document shares with a benchmark
-item. For each (document, item) with a seed, running Karp-Rabin greedy string
-tiling repeatedly marks the longest matches that do not overlap marked words,
-so passages in another order count in full. An item whose words are covered to
-COVERAGE or more is leaked.
+item. For each (document, item) with a seed, greedy string tiling marks the
+longest common run of words that no earlier tile overlaps, again and again,
+so passages in another order count in full. Runs are found by running
+Karp-Rabin: hashes of all windows of a search length come from running sums, the
+search length falls from one tile's length to the next that occurs, and a
+window's words are compared before it is marked. Memory is a few numbers a
+word, whatever repeats. An item whose words are covered to COVERAGE or more is leaked.
 
 Defined results: a null or empty text or item shares nothing; an item with
-fewer words than a seed is one seed of its own; rows with a repeated doc_id are judged each;
+fewer words than a seed is one seed of its own; of equally long runs the first in the item, then in the document, is
+marked; rows with a repeated doc_id are judged each;
 null ids stay null; empty tables give an empty result; extra columns are
 ignored by ``leaks`` and kept by ``drop_leaks``.
 """
@@ -28,56 +32,99 @@ COVERAGE = 0.5
 BLOCK_CHARS = 32_000_000
 
 
-def tile(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Runs:
+    """Karp-Rabin hashes of the windows of a word sequence, and which words are marked."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.n = words, len(words)
+        powers = np.full(self.n + 1, _BASE, np.uint64)
+        powers[0] = 1
+        # Running sums of word * base^place; a window's sum is brought to one scale by the powers that it lacks.
+        self.powers = np.cumprod(powers, dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * self.powers[: self.n], dtype=np.uint64)])
+        self.marks = np.zeros(self.n + 1, np.int64)
+
+    def free(self, size: int) -> np.ndarray:
+        """Starts of the windows of this size without a marked word."""
+        return np.flatnonzero(self.marks[size:] == self.marks[: self.n - size + 1])
+
+    def hashes(self, starts: np.ndarray, size: int, top: np.ndarray) -> np.ndarray:
+        return (self.sums[starts + size] - self.sums[starts]) * top[len(top) - 1 - starts]
+
+    def mark(self, start: int, size: int) -> None:
+        self.marks[start + 1 : start + size] += np.arange(1, size)
+        self.marks[start + size :] += size
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in doc, length), longest first, none overlapping in either."""
-    used_i, used_d = bytearray(len(item)), bytearray(len(doc))
+    item, doc = np.asarray(item, np.uint64), np.asarray(doc, np.uint64)
     tiles: list[tuple[int, int, int]] = []
     least = min(least, len(item))
-    if not least:
+    if not least or len(doc) < least:
         return tiles
-    places: dict[tuple, list[int]] = {}
-    for i in range(len(item) - least + 1):
-        places.setdefault(tuple(item[i : i + least]), []).append(i)
-    seeds = [(i, j) for j in range(len(doc) - least + 1) for i in places.get(tuple(doc[j : j + least]), ())]
-    while True:
-        best, found = 0, []
-        reach: dict[tuple[int, int], int] = {}
-        for i, j in reversed(seeds):  # the run from (i, j) is one longer than that from (i+1, j+1)
-            if used_i[i] or used_d[j]:
-                continue
-            if (i + 1, j + 1) in reach:
-                n = reach[i + 1, j + 1] + 1
-            else:
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not used_i[i + n] and not used_d[j + n]:
-                    n += 1
-            if n < least:
-                continue
-            reach[i, j] = n
-            if n > best:
-                best, found = n, [(i, j)]
-            elif n == best:
-                found.append((i, j))
-        if not best:
-            return tiles
-        for i, j in sorted(found):
-            if not any(used_i[i : i + best]) and not any(used_d[j : j + best]):
-                tiles.append((i, j, best))
-                used_i[i : i + best] = used_d[j : j + best] = b"\1" * best
-        seeds = [(i, j) for i, j in seeds if not used_i[i] and not used_d[j]]
+    with np.errstate(over="ignore"):
+        a, b = _Runs(item), _Runs(doc)
+        top = a.powers if a.n >= b.n else b.powers
+
+        def windows_of(size):
+            i, j = a.free(size), b.free(size)
+            return i, a.hashes(i, size, top), j, b.hashes(j, size, top)
+
+        def occurs(size):
+            _, x, _, y = windows_of(size)
+            return bool(len(x) and len(y) and np.isin(x, y).any())
+
+        size = min(a.n, b.n)
+        while True:
+            # A run of some length holds runs of all smaller ones: the longest length is found by halving.
+            low, high = least - 1, size
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if occurs(mid) else (low, mid - 1)
+            size = low
+            if size < least:
+                return tiles
+            i, x, j, y = windows_of(size)
+            order = np.argsort(y, kind="stable")
+            y, j = y[order], j[order]
+            at, stop = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+            gone: dict[int, int] = {}  # how far each group of equal hashes is used up
+            taken, end = bytearray(b.n), -1
+            for k in np.flatnonzero(stop > at).tolist():
+                p, first = int(i[k]), int(at[k])
+                if p < end:
+                    continue
+                for g in range(gone.get(first, first), int(stop[k])):
+                    q = int(j[g])
+                    if taken[q] or taken[q + size - 1]:  # windows of one size: an overlap reaches an end
+                        if g == gone.get(first, first):
+                            gone[first] = g + 1
+                        continue
+                    if np.array_equal(item[p : p + size], doc[q : q + size]):
+                        tiles.append((p, q, size))
+                        a.mark(p, size)
+                        b.mark(q, size)
+                        taken[q : q + size] = b"\1" * size
+                        end = p + size
+                        break
+            size -= 1
 
 
 class Benchmark:
     """Items of one block, and the sorted hashes of their seeds with the items of each."""
 
     def __init__(self, items: list[tuple[int, str]], least: int):
-        self.items = [(key, word_hashes(words(text)).tolist()) for key, text in items]
+        self.items = [(key, word_hashes(words(text))) for key, text in items]
         seeds, owner = [], []
         self.short: dict[int, list[int]] = {}
         for k, (_, h) in enumerate(self.items):
             if 0 < len(h) < least:
                 self.short.setdefault(len(h), []).append(k)
-            got = np.unique(windows(np.array(h, np.uint64), least))
+            got = np.unique(windows(h, least))
             seeds.append(got)
             owner.append(np.full(len(got), k))
         seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -99,32 +146,30 @@ class Benchmark:
             return []
         a, b = np.searchsorted(self.seeds, hit, "left"), np.searchsorted(self.seeds, hit, "right")
         some = sorted({int(k) for x, y in zip(a, b) for k in self.owner[x:y]})
-        doc, out = h.tolist(), []
+        out = []
         for k in some:
             key, item = self.items[k]
-            tiles = tile(item, doc, self.least)
+            tiles = tile(item, h, self.least)
             matched = sum(n for _, _, n in tiles)
             if matched and matched >= coverage * len(item):
                 out.append((key, matched / len(item), len(tiles), matched))
         return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
-    """The benchmark, a stated query set, in blocks of bounded size."""
-    blocks, size = [[]], 0
-    for key, said in benchmark.select(item, text).toLocalIterator():
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator:
+    """The benchmark, a stated query set, in broadcast blocks of BLOCK_CHARS at most; the driver holds one of them at a time."""
+    sc, block, size = benchmark.sparkSession.sparkContext, [], 0
+    for key, said in benchmark.select(F.col(item).cast("long"), text).toLocalIterator():
         if said:
-            if size + len(said) > BLOCK_CHARS and blocks[-1]:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((key, said))
+            if size + len(said) > BLOCK_CHARS and block:
+                yield sc.broadcast(block)
+                block, size = [], 0
+            block.append((key, said))
             size += len(said)
-    return blocks
-
+    yield sc.broadcast(block)
 
-def _match(docs: DataFrame, block, least: int, coverage: float, key: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS at most
 
+def _match(docs: DataFrame, sent, least: int, coverage: float, key: str) -> DataFrame:
     def match(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -150,12 +195,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The documents that leak no item, with all their columns: the judgement is made row by row, without a join."""
-    names, blocks, sc = docs.columns, _blocks(benchmark, "item_id", "text"), docs.sparkSession.sparkContext
-    out = docs
-    for block in blocks:
-        sent = sc.broadcast(block)
+    names, out = docs.columns, docs
+    for block in _blocks(benchmark, "item_id", "text"):
 
-        def keep(batches: Iterator, sent=sent) -> Iterator:
+        def keep(batches: Iterator, sent=block) -> Iterator:
             import pyarrow as pa
 
             bench = Benchmark(sent.value, least)

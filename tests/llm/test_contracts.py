@@ -404,6 +404,63 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def tiled(item, doc, least):
+    """Greedy string tiling by looking at every pair of places."""
+    used_i, used_d, tiles, least = [0] * len(item), [0] * len(doc), [], min(least, len(item))
+    while least:
+        best, found = 0, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not used_i[i + n] and not used_d[j + n]:
+                    n += 1
+                best, found = (n, [(i, j)]) if n > best else (best, found + [(i, j)]) if n == best else (best, found)
+        if best < least:
+            break
+        for i, j in found:
+            if not any(used_i[i : i + best]) and not any(used_d[j : j + best]):
+                tiles.append((i, j, best))
+                used_i[i : i + best] = used_d[j : j + best] = [1] * best
+    return tiles
+
+
+def test_tiles_of_random_sequences():
+    rng = np.random.default_rng(1)
+    for _ in range(800):
+        item, doc = (rng.integers(0, rng.integers(1, 5), rng.integers(0, n)) for n in (24, 40))
+        least = int(rng.integers(1, 6))
+        assert decontaminate.tile(item, doc, least) == tiled(item.tolist(), doc.tolist(), least)
+
+
+def test_tiles_of_long_repeats_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    ones = decontaminate.tile(np.ones(1000), np.ones(20_000), 5)
+    gaps = decontaminate.tile(np.ones(1000), np.where(np.arange(20_000) % 6 == 5, np.arange(20_000), 1), 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ones == [(0, 0, 1000)] and len(gaps) == 200 and most < 20_000_000
+
+
+def test_leaks_against_brute_force(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = [(r.item_id, words(r.text or "")) for r in items.collect()]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = []
+    for d, t in texts(docs):
+        w = words(t)
+        for item, x in held:
+            if grams(x) & grams(w):
+                tiles = tiled(x, w, 5)
+                if 2 * sum(n for *_, n in tiles) >= len(x):
+                    want.append((d, item, sum(n for *_, n in tiles) / len(x), len(tiles), sum(n for *_, n in tiles)))
+    assert all(len(x) >= 5 for _, x in held) and want
+    same(map(tuple, decontaminate.leaks(docs, items).collect()), want)
+    gone = {x[0] for x in want}
+    same((r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()), [d for d, _ in texts(docs) if d not in gone])
+
+
 @pytest.mark.parametrize("k", [0, 1])
 def test_quality_counts(spark, k):
     df, want = tables(spark)[k], []
