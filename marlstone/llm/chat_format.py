@@ -1,12 +1,13 @@
 """Chat formatting by schema fingerprint (DataFrame functions only).
 
-The nested field paths of a record are hashed; the hash selects a declarative
-mapping that yields canonical turns (role, text). A template writes the turns
-as one text and can be read back.
+The nested field paths of a record that any layout names are hashed; the hash selects a declarative
+mapping that yields canonical turns (role, text). Tables are told by their schema, JSON records row by row by
+their own paths; key and order columns of a table are no part of the fingerprint. A template writes the turns
+as one text with a run-length loss mask, and can be read back.
 
-Defined results: a null role or text is empty; turns are ordered by turn, null
+Defined results: a null role or text is empty; turns of row layouts are ordered by the order column, null
 first, then by role and text, so repeated rows give repeated turns; a record
-of an unknown layout raises no error and gives null turns; an empty table
+of an unknown layout, or one that mixes the paths of two, raises no error and gives null turns; an empty table
 gives an empty result; columns that no mapping names are ignored. All turns of
 one conversation make one text, which is the only thing held per conversation.
 """
@@ -19,21 +20,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Layout name: its field paths, and SQL over the parsed record r giving array<struct<role, text>>.
+#: Layout name: its field paths and what they mean. "each" turns every element of an array into a turn, by the fields for role
+#: and text and other names of roles; "fixed" lists roles and the fields whose lines make the text; "row" is one turn a row.
 LAYOUTS = {
-    "turn_rows": (("conv_id", "turn", "role", "text"), "array(struct(role as role, text as text))"),
-    "messages": (("messages[].role", "messages[].content"), "transform({0}, m -> struct(m.role as role, m.content as text))"),
-    "conversations": (
-        ("conversations[].from", "conversations[].value"),
-        "transform({0}, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))",
-    ),
-    "instruction": (
-        ("instruction", "input", "output"),
-        "array(struct('user' as role, concat(coalesce(instruction, ''), if(coalesce(input, '') = '', '', concat('\\n', input))) as text), "
-        "struct('assistant' as role, output as text))",
-    ),
-    "prompt": (("prompt", "completion"), "array(struct('user' as role, prompt as text), struct('assistant' as role, completion as text))"),
+    "turn_rows": (("role", "text"), ("row", "role", "text")),
+    "messages": (("messages[].role", "messages[].content"), ("each", "messages", "role", "content", {})),
+    "conversations": (("conversations[].from", "conversations[].value"), ("each", "conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
+    "instruction": (("instruction", "input", "output"), ("fixed", [("user", ["instruction", "input"]), ("assistant", ["output"])])),
+    "bare_instruction": (("instruction", "output"), ("fixed", [("user", ["instruction"]), ("assistant", ["output"])])),
+    "prompt": (("prompt", "completion"), ("fixed", [("user", ["prompt"]), ("assistant", ["completion"])])),
 }
+_TURNS = "array<struct<role: string, text: string>>"
+
+
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _turns(mapping: tuple, record: str) -> str:
+    """SQL for the turns that a mapping makes of a record: a struct that has the layout's fields."""
+    kind, *told = mapping
+    if kind == "row":
+        role, text = told
+        return f"array(struct({record}.{_tick(role)} as role, {record}.{_tick(text)} as text))"
+    if kind == "each":
+        top, role, text, names = told
+        said = f"m.{_tick(role)}"
+        named = f"case {said} {' '.join(f"when '{k}' then '{v}'" for k, v in names.items())} else {said} end" if names else said
+        return f"transform({record}.{_tick(top)}, m -> struct({named} as role, m.{_tick(text)} as text))"
+    lines = lambda fields: f"array_join(filter(array({', '.join(f'{record}.{_tick(x)}' for x in fields)}), (x, i) -> i = 0 or x <> ''), '\\n', '')"
+    return "array(" + ", ".join(f"struct('{role}' as role, {lines(fields)} as text)" for role, fields in told[0]) + ")"
+
+
+def _clean(turns: str) -> str:
+    return f"transform({turns}, t -> struct(coalesce(t.role, '') as role, coalesce(t.text, '') as text))"
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -43,53 +63,70 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return field_paths(kind.elementType, at + "[]") if isinstance(kind, T.ArrayType) else [at]
 
 
+_KNOWN = sorted({p for named, _ in LAYOUTS.values() for p in named})
+
+
 def fingerprint(paths) -> str:
     """Hash of the sorted paths that any layout names; others do not matter."""
-    known = {p for named, _ in LAYOUTS.values() for p in named}
-    return sha256("\n".join(sorted(set(paths) & known)).encode()).hexdigest()
+    return sha256("\n".join(sorted(set(paths) & set(_KNOWN))).encode()).hexdigest()
 
 
-_BY_PRINT = {sha256("\n".join(sorted(named)).encode()).hexdigest(): name for name, (named, _) in LAYOUTS.items()}
+_BY_PRINT = {fingerprint(named): name for name, (named, _) in LAYOUTS.items()}
 
 
-def layout_of(df: DataFrame) -> str | None:
-    """The layout whose fingerprint df's schema has."""
-    return _BY_PRINT.get(fingerprint(field_paths(df.schema)))
+def layout_of(df: DataFrame, *apart: str) -> str | None:
+    """The layout whose fingerprint df's schema has, the columns set apart left out."""
+    return _BY_PRINT.get(fingerprint(field_paths(T.StructType([f for f in df.schema.fields if f.name not in apart]))))
+
+
+def _json_print(variant: str) -> str:
+    """SQL for the fingerprint of a JSON record, from its own nested paths."""
+    keys = lambda x: f"coalesce(map_keys(try_variant_get({x}, '$', 'map<string, variant>')), array())"
+    inner = f"array_distinct(flatten(transform(try_variant_get(e.value, '$', 'array<variant>'), x -> {keys('x')})))"
+    paths = (
+        "case when schema_of_variant(e.value) like 'ARRAY<OBJECT<%' "
+        f"then transform({inner}, n -> concat(e.key, '[].', n)) "
+        "when schema_of_variant(e.value) like 'ARRAY<%' then array(concat(e.key, '[]')) "
+        f"when schema_of_variant(e.value) like 'OBJECT<%' then transform({keys('e.value')}, n -> concat(e.key, '.', n)) else array(e.key) end"
+    )
+    found = f"flatten(transform(map_entries(try_variant_get({variant}, '$', 'map<string, variant>')), e -> {paths}))"
+    known = ", ".join(f"'{p}'" for p in _KNOWN)
+    return f"sha2(array_join(array_sort(array_intersect({found}, array({known}))), '\n'), 256)"
+
+
+def _json_schema(named: tuple) -> str:
+    """DDL of the struct that holds a layout's paths, all leaves as text."""
+    tops: dict[str, list[str]] = {}
+    for p in named:
+        top, _, leaf = p.partition("[].")
+        tops.setdefault(top, []).extend([leaf] if leaf else [])
+    kind = lambda leaves: f"array<struct<{', '.join(f'{_tick(x)}: string' for x in leaves)}>>" if leaves else "string"
+    return ", ".join(f"{_tick(top)} {kind(leaves)}" for top, leaves in tops.items())
 
 
 def json_turns(column: str) -> F.Column:
-    """Canonical turns of JSON records of mixed layouts, chosen row by row by the fingerprint of the record's own paths."""
-    q = f"`{column}`"
-    v = f"try_parse_json({q})"
-    chain = "null"
-    for name, (named, _) in LAYOUTS.items():
-        if name == "turn_rows":
-            continue
-        top = sorted({p.split("[]")[0].split(".")[0] for p in named})
-        found = f"array_join(array_sort(array_intersect(coalesce(json_object_keys({q}), array()), array({', '.join(map(repr, sorted({t for n, (ps, _) in LAYOUTS.items() for t in {p.split('[]')[0] for p in ps}})))}))), ',')"
-        test = f"sha2({found}, 256) = '{sha256(','.join(top).encode()).hexdigest()}'"
-        if "[]" in named[0]:
-            fields = ", ".join(f"`{p.split('[].')[1]}`: string" for p in named)
-            made = LAYOUTS[name][1].format(f"from_json({q}, '{top[0]} array<struct<{fields}>>').{top[0]}")
-        else:
-            made = LAYOUTS[name][1]
-            for t in sorted(top, key=len, reverse=True):
-                made = made.replace(f"{t}, '')", f"get_json_object({q}, '$.{t}'), '')").replace(f"'\\n', {t})", f"'\\n', get_json_object({q}, '$.{t}'))").replace(f"{t} as text", f"get_json_object({q}, '$.{t}') as text")
-        chain = f"if({test}, {made}, {chain})"
-    return F.expr(f"if({v} is null, null, {chain})")
+    """Canonical turns of JSON records of mixed layouts, each by the mapping that its fingerprint selects."""
+    q, chain = _tick(column), f"cast(null as {_TURNS})"
+    for named, mapping in LAYOUTS.values():
+        record = f"element_at(transform(array(from_json({q}, '{_json_schema(named)}')), r -> {_clean(_turns(mapping, 'r'))}), 1)"
+        chain = f"if(p = '{fingerprint(named)}', {record}, {chain})"
+    return F.expr(f"if(try_parse_json({q}) is null, null, element_at(transform(array({_json_print(f'try_parse_json({q})')}), p -> {chain}), 1))")
 
 
 def canonical(df: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, turns) of a table in any layout; rows by turn are gathered by key."""
-    name = layout_of(df)
+    """(key, turns) of a table in any layout; the turns of a row layout are gathered by key, all others are a conversation a row."""
+    name = layout_of(df, key, order)
     if name is None:
-        raise ValueError("no layout has these field paths: " + ", ".join(field_paths(df.schema)))
-    if name != "turn_rows":
-        top = LAYOUTS[name][0][0].split("[]")[0]
-        return df.select(F.col(key), F.expr(LAYOUTS[name][1].format(f"`{top}`")).alias("turns"))
-    turn = F.struct(F.col(order).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.expr("transform(sort_array(t), x -> struct(x.role as role, x.text as text))")
-    return df.groupBy(key).agg(F.collect_list(turn).alias("t")).select(key, turns.alias("turns"))
+        return df.select(F.col(_tick(key)).alias(key), F.lit(None).cast(_TURNS).alias("turns"))
+    named, mapping = LAYOUTS[name]
+    tops = dict.fromkeys(p.partition("[]")[0] for p in named)
+    record = F.struct(*[F.col(_tick(t)).alias(t) for t in tops]).alias("record")
+    if mapping[0] != "row":
+        return df.select(F.col(_tick(key)).alias(key), record).select(_tick(key), F.expr(_clean(_turns(mapping, "record"))).alias("turns"))
+    held = df.select(F.col(_tick(key)).alias(key), F.col(_tick(order)).alias("at"), record)
+    held = held.select(_tick(key), "at", F.expr(_clean(_turns(mapping, "record"))).alias("own"))
+    gathered = held.groupBy(_tick(key)).agg(F.collect_list(F.struct("at", "own")).alias("all"))
+    return gathered.select(_tick(key), F.expr("flatten(transform(sort_array(all), x -> x.own))").alias("turns"))
 
 
 #: Template marks. A mark begins with "<|"; escaping leaves no "<" and no "[" in a text, so none can be in it.
@@ -109,16 +146,19 @@ def formatted(turns: str = "turns") -> F.Column:
     return F.expr(f"array_join(transform({turns}, x -> {one}), '')")
 
 
-def loss_spans(turns: str = "turns") -> F.Column:
-    """(start, length) in the formatted text of each assistant text, in code points."""
-    size = f"length({escaped("coalesce(x.role, '')")}) + length({escaped("coalesce(x.text, '')")}) + {len(OPEN + SAYS + CLOSE)}"
-    begin = f"a.at + {len(OPEN + SAYS)} + length({escaped("coalesce(x.role, '')")})"
-    step = (
-        f"named_struct('at', a.at + {size}, 'found', if(x.role = 'assistant', concat(a.found, array(named_struct('start', {begin}, "
-        f"'length', length({escaped("coalesce(x.text, '')")})))), a.found))"
-    )
-    empty = "cast(array() as array<struct<start: int, length: int>>)"
-    return F.expr(f"aggregate({turns}, named_struct('at', 0, 'found', {empty}), (a, x) -> {step}).found")
+def loss_mask(turns: str = "turns") -> F.Column:
+    """The loss mask as runs, one struct for each turn, in code points of the formatted text: so many outside the mask, so many
+    inside (an assistant's text), so many outside again."""
+    role, text = (f"cast(length({escaped(f"coalesce(x.{c}, '')")}) as bigint)" for c in ("role", "text"))
+    head, tail, said = len(OPEN + SAYS), len(CLOSE), "x.role <=> 'assistant'"
+    return F.expr(f"transform({turns}, x -> struct({head} + {role} + if({said}, 0, {text}) as before, if({said}, {text}, 0) as inside, {tail} as after))")
+
+
+def under_mask(text: str = "formatted", mask: str = "mask") -> F.Column:
+    """The parts of a formatted text inside its mask, unescaped, in order. Turns end at CLOSE marks, so no run is counted from the
+    text's begin and the work is linear."""
+    parts = f"split({text}, '<\\\\|end\\\\|>', -1)"
+    return F.expr(f"filter(zip_with({mask}, slice({parts}, 1, size({mask})), (m, p) -> if(m.inside > 0, {unescaped('substr(p, cast(m.before + 1 as int), cast(m.inside as int))')}, null)), x -> x is not null)")
 
 
 def read_back(text: str = "formatted") -> F.Column:
@@ -131,9 +171,8 @@ def read_back(text: str = "formatted") -> F.Column:
 
 def chat_report(rows: DataFrame) -> DataFrame:
     """Format every conversation and give digests of what reading the output back yields."""
-    made = canonical(rows).select("conv_id", formatted().alias("formatted"), loss_spans().alias("mask"))
-    masked = "transform(mask, s -> " + unescaped("substring(formatted, s.start + 1, s.length)") + ")"
-    read = made.select("conv_id", "formatted", read_back().alias("back"), F.expr(f"array_join({masked}, '')").alias("loss"))
+    made = canonical(rows).select("conv_id", formatted().alias("formatted"), loss_mask().alias("mask"))
+    read = made.select("conv_id", "formatted", read_back().alias("back"), F.array_join(under_mask(), "").alias("loss"))
     return read.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

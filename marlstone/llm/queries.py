@@ -82,7 +82,7 @@ PROBE = "</s>[INST] ok [/INST]"
 @_query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    probe = spark.sql("select * from values (-7, 0, 'user', :said), (-7, 1, 'assistant', :said)", {"said": PROBE}).toDF(*rows.columns).to(rows.schema)
     return chat_format.chat_report(rows.unionByName(probe))
 
 

@@ -146,6 +146,46 @@ def test_chat_layouts_give_the_same_turns(spark):
     assert all([tuple(t) for t in r.b] == turns and r.formatted.count("<|end|>") == 2 for r in back)
 
 
+def test_chat_tables_of_every_layout(spark):
+    turns = [("user", "hi"), ("assistant", "yes")]
+    said = {"messages": "array(struct('user' as role, 'hi' as content), struct('assistant' as role, 'yes' as content)) as messages", "prompt": "'hi' as prompt, 'yes' as completion",
+            "conversations": "array(struct('human' as `from`, 'hi' as value, 1 as weight), struct('gpt' as `from`, 'yes' as value, 2 as weight)) as conversations", "bare_instruction": "'hi' as instruction, 'yes' as output",
+            "instruction": "'hi' as instruction, cast(null as string) as input, 'yes' as output"}
+    for name, sql in said.items():
+        df = spark.sql(f"select 5L as conv_id, {sql}, 'x' as m, 1 as record, 2 as turns")
+        assert chat_format.layout_of(df, "conv_id") == name
+        assert [(r.conv_id, [tuple(t) for t in r.turns]) for r in chat_format.canonical(df).collect()] == [(5, turns)]
+    rows = spark.sql("select 5L as conv_id, 2 as turn, 'assistant' as role, 'yes' as text, 0 as at union all select 5L, 1, 'user', 'hi', 0")
+    assert [[tuple(t) for t in r.turns] for r in chat_format.canonical(rows).collect()] == [turns]
+    odd = spark.sql("select 5L as conv_id, array(struct('user' as `from`, 'hi' as value)) as messages")
+    assert [tuple(r) for r in chat_format.canonical(odd).collect()] == [(5, None)]
+
+
+def test_json_with_other_nested_fields_has_no_turns(spark):
+    import json
+
+    odd = [{"messages": [{"from": "user", "value": "x"}]}, {"messages": ["x"]}, {"messages": {"role": "user", "content": "x"}}, {"prompt": "x", "completion": "y", "messages": [{"role": "user", "content": "x"}]}, [1], "x", {}]
+    fine = {"id": 7, "messages": [{"role": "user", "content": "[a]", "name": "n"}, {"role": None, "content": None}], "meta": {"k": [1]}}
+    df = spark.createDataFrame([(json.dumps(x),) for x in [*odd, fine]], "j string").select(chat_format.json_turns("j").alias("turns"))
+    got = [r.turns for r in df.collect()]
+    assert got[:-1] == [None] * len(odd) and [tuple(t) for t in got[-1]] == [("user", "[a]"), ("", "")]
+
+
+def test_chat_mask_covers_the_assistants_text(spark):
+    rows = [(1, k, ["user", "assistant", "system", None][k % 4], f"<|end|> & turn [{k}] é𝒳" * (k % 3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = chat_format.canonical(df).select(chat_format.formatted().alias("formatted"), chat_format.loss_mask().alias("mask"))
+    r = made.select("formatted", "mask", chat_format.under_mask().alias("loss")).first()
+    runs = [n for m in r["mask"] for n in (m.before, m.inside, m.after)]
+    assert sum(runs) == len(r.formatted)
+    at, inside = 0, []
+    for k, n in enumerate(runs):
+        inside += [r.formatted[at : at + n]] if k % 3 == 1 and n else []
+        at += n
+    plain = lambda x: x.replace("&lb;", "[").replace("&lt;", "<").replace("&amp;", "&")
+    assert list(map(plain, inside)) == list(r.loss) == [t for _, k, role, t in rows if role == "assistant" and t]
+
+
 def test_chat_awkward_rows(spark):
     rows = spark.createDataFrame([(1, 0, None, None, 5), (1, 1, "assistant", "a", 5), (1, 1, "assistant", "a", 5), (None, None, "user", "", None), (2, 1, "assistant", "<|says|>&lt;", 1)], "conv_id long, turn long, role string, text string, formatted int")
     got = {r.conv_id: r for r in chat_format.chat_report(rows).collect()}
