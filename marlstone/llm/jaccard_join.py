@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .blocks import by_first, squeeze, unsqueeze
 from .words import _finish, windows, word_hashes, words
 
 WORDS = 5
@@ -155,23 +156,6 @@ def sign(docs: DataFrame, uri: str) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, said long, n long, node long, file long, chunk int, start long")
 
 
-def _squeeze(ascending: np.ndarray) -> bytes:
-    """Ascending numbers as differences, by planes of bytes."""
-    import zstandard
-
-    gaps = np.diff(ascending, prepend=np.uint64(0))
-    wide = 8 if gaps.max(initial=0) >> np.uint64(32) else 4
-    raw = gaps.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unsqueeze(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel(), dtype=np.uint64)
-
-
 def _in_order(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order of the shingles, their keys in that order, bounds of the parts): parts are ranges of keys."""
     order = np.argsort(shingles, kind="stable")
@@ -198,7 +182,7 @@ def shingle_keys(chunks: DataFrame, uri: str, parts: int) -> DataFrame:
             for file, chunk, held in zip(*(c.to_pylist() for c in batch.columns)):
                 _, keys, cuts = _in_order(_chunk(read, file, held), parts)
                 some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-                blocks = [_squeeze(keys[cuts[p] : cuts[p + 1]]) for p in some]
+                blocks = [squeeze(keys[cuts[p] : cuts[p + 1]]) for p in some]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([file] * n, pa.int64()), pa.array([chunk] * n, pa.int32()), pa.array(blocks, pa.binary())], ["part", "file", "chunk", "block"])
 
@@ -210,20 +194,6 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, 128 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def _by_part(batches: Iterator, flush) -> Iterator:
-    """flush(rows) for the rows of each value of the first column, which is sorted."""
-    part, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != part and rows:
-                yield from flush(rows)
-                rows = []
-            part = row[0]
-            rows.append(row)
-    if rows:
-        yield from flush(rows)
-
-
 def shingle_counts(keys: DataFrame) -> DataFrame:
     """(file, chunk, part, block): in how many sets each key of shingle_keys is, in the same order, as a byte."""
 
@@ -231,20 +201,20 @@ def shingle_counts(keys: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        each = [_unsqueeze(x[3]) for x in rows]
+        each = [unsqueeze(x[3]) for x in rows]
         every = np.concatenate(each)
         _, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
         found, at, blocks = _classes(times)[inverse], 0, []
-        squeeze = zstandard.ZstdCompressor(level=1)
+        small = zstandard.ZstdCompressor(level=1)
         for x in each:
-            blocks.append(squeeze.compress(found[at : at + len(x)].tobytes()))
+            blocks.append(small.compress(found[at : at + len(x)].tobytes()))
             at += len(x)
         part, file, chunk, _ = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], ["file", "chunk", "part", "block"])
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(n, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(lambda batches: _by_part(batches, count), "file long, chunk int, part int, block binary")
+    return dealt.mapInArrow(lambda batches: by_first(batches, count), "file long, chunk int, part int, block binary")
 
 
 _ENTRY = np.dtype([("t", "<u8"), ("p", "<u4"), ("c", "u1")])
@@ -285,7 +255,7 @@ def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFra
 
     def run(batches: Iterator) -> Iterator:
         read = SetFiles(uri)
-        yield from _by_part(batches, lambda rows: pick(rows, read))
+        yield from by_first(batches, lambda rows: pick(rows, read))
 
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct("file", "chunk").alias("key")
@@ -389,7 +359,7 @@ def within_clusters(live: DataFrame, labels: DataFrame, uri: str) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         read = SetFiles(uri)
-        yield from _by_part(batches, lambda rows: count(rows, read))
+        yield from by_first(batches, lambda rows: count(rows, read))
 
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.select(cell, "node", "file", "start", "n", "copies", "block", "lead").repartition(parts, "cell").sortWithinPartitions("cell")
@@ -472,7 +442,7 @@ def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        squeeze, held, size = zstandard.ZstdCompressor(level=1), [], 0
+        small, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
         def flush():
             e, hot = (np.concatenate(x) for x in zip(*held))
@@ -482,7 +452,7 @@ def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
             e, cuts = e[order], np.searchsorted(part[order], np.arange(parts + 1))
             some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
             # Column by column: a node's entries follow each other, so all but the hash shrinks to little.
-            blocks = [squeeze.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _POSTING.names)) for p in some]
+            blocks = [small.compress(b"".join(e[f][cuts[p] : cuts[p + 1]].tobytes() for f in _POSTING.names)) for p in some]
             n, m = len(some), len(h)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary()), *(pa.nulls(n, pa.int64()),) * len(_POSTING.names)], names)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(pa.array(np.ascontiguousarray(h[f]).astype("<u8").view("<i8")) for f in _POSTING.names)], names)
@@ -534,7 +504,7 @@ def across_clusters(packed: DataFrame, uri: str) -> DataFrame:
     def by(of):
         def run(batches: Iterator) -> Iterator:
             read = SetFiles(uri)
-            yield from _by_part(batches, lambda rows: of(rows, read))
+            yield from by_first(batches, lambda rows: of(rows, read))
 
         return run
 

@@ -1,22 +1,21 @@
 """N-gram language model in Elias-Fano trie levels.
 
-Training counts are gathered by task, sorted and compressed, and dealt by hash
-of the whole n-gram, so that neither a frequent word nor its many successors
-meet in one task. Each part writes its levels as one file:
+Texts are tokenised once, into chunk files of local word numbers. Then the orders follow each other: every chunk sends its
+distinct n-grams, with how often its training texts have them, to the parts that own them by the hash of the whole n-gram, so
+neither a frequent word nor its many successors meet in one task. A part adds up, writes its level and answers every
+chunk's n-grams from it. So look-ups are shuffled to the part that owns the key, and no task holds more than one part.
 
 * words: their hashes as a monotone Elias-Fano sequence, and exact counts;
-* successors: context hashes (Elias-Fano), monotone pointers to each context's
-  successors (Elias-Fano), and the successors made monotone by their context's
-  rank (Elias-Fano), each with its probability mass as one byte, quantised in
+* each higher order: context hashes (Elias-Fano), monotone pointers to each context's successors (Elias-Fano), the
+  successors made monotone by their context's rank (Elias-Fano), and each one's smoothed probability as one byte, quantised in
   the logarithm.
 
-Files are memory-mapped where the shared folder is a mounted one. A query finds
-the context's rank, takes the pointers' range and searches the successor in it.
-A token's probability is Dirichlet-smoothed: (c(h, w) + MASS * p(w)) / (c(h) + MASS),
-with p(w) = (c(w) + 1) / (N + V + 1).
+Levels are memory-mapped where the shared folder is a mounted one. A query finds the context's rank, takes the pointers'
+range and searches the successor in it. Probabilities are Dirichlet-smoothed from order to order:
+p(w | h) = (c(h, w) + MASS * p(w | shorter h)) / (c(h) + MASS), the shorter one as quantised in its level, and at the bottom
+p(w) = (c(w) + 1) / (N + V + 1). Texts begin with ORDER - 1 start marks.
 
-Order 2 is the production order: counts of order 3 of a text that rarely repeats would take more disk than is
-granted (see README).
+Words are 64-bit hashes; within a part a context is told by 32 bits and its successor by 16.
 
 Defined results: a null or empty text is only its end; a null id is learnt as the text ''; repeated rows are learnt
 and scored each; an empty table gives an empty result; extra columns are ignored.
@@ -25,8 +24,8 @@ and scored each; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 import io
+import posixpath
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .blocks import by_first, planes, squeeze, unplanes, unsqueeze
 from .words import _finish, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
 MASS = 8.0
-#: Tokens that are counted or looked up at a time.
-_AT_ONCE = 1_000_000
+#: What one task holds at a time.
+CHUNK_TOKENS, CHUNK_TEXTS = 1_000_000, 20_000
 _END, _START = np.uint64(0x8000000000000001), np.uint64(0x8000000000000003)
-#: Steps of the quantised natural logarithm of a count: 256 of them reach beyond e^25.
+#: Steps of the quantised natural logarithm of a probability: 255 of them reach below e^-25.
 _STEP = 0.1
-_MAGIC = b"MRLL0001"
+_MAGIC = b"MRLL0002"
+_CONTEXT, _SUCC = np.uint64(32), np.uint64(16)
 
 
 class EliasFano:
@@ -132,267 +134,328 @@ class EliasFano:
         return np.where((left < hi) & (self.low[np.minimum(left, self.n - 1)] == want), left, -1)
 
 
-_SUCC = np.uint64(32)
+def _code(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log(p) / _STEP), 0, 255).astype("<u1")
 
 
-def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _finish(_finish(context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + word)
+def _decode(code: np.ndarray) -> np.ndarray:
+    return np.exp(-_STEP * code.astype(np.float64))
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, hash of its context, number of tokens of each text); each text ends with the end token."""
-    each = [word_hashes(words(t)) for t in texts]
-    n = np.array([len(x) + 1 for x in each], np.int64)
-    stops = np.cumsum(n)
-    h = np.full(int(stops[-1]) if len(n) else 0, _END, np.uint64)
-    for x, stop in zip(each, stops.tolist()):
-        h[stop - 1 - len(x) : stop - 1] = x
-    context = np.empty_like(h)
-    context[1:] = h[:-1]
-    context[(stops - n)] = _START
-    return h, context, n
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 4 + 1
-        if size > _AT_ONCE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def _pack(columns) -> bytes:
-    """Columns as bytes; the first, sorted, as differences."""
-    first, *rest = columns
-    gaps = np.diff(first, prepend=np.uint64(0))
-    return zlib.compress(b"".join(x.tobytes() for x in (gaps, *rest)), 1)
-
-
-def _unpack(raw: bytes, kinds) -> list[np.ndarray]:
-    raw = zlib.decompress(raw)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from that of its first words and its last word."""
     with np.errstate(over="ignore"):
-        out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, first place of each, sums)."""
-    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, first, np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+        return _finish(_finish(context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + word)
 
 
-_WORD, _PAIR = ("<u8", "<u4"), ("<u8", "<u4", "<u4")
+def _value(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What a level tells an n-gram by: its context, then its successor."""
+    with np.errstate(over="ignore"):
+        return ((_finish(context + np.uint64(7)) >> _CONTEXT) << _SUCC) | (_finish(word + np.uint64(11)) >> np.uint64(48))
 
 
 def _held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def count_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, level, block): sorted, compressed counts of the training texts, added up within each task's chunks."""
+_OWN = "struct<words: bigint, ids: bigint, doc_ids: array<bigint>, held: array<boolean>, n: array<bigint>>"
+_KEY = "struct<file: bigint, start: bigint>"
+
+
+def tokenise(docs: DataFrame, uri: str) -> DataFrame:
+    """(key, own) of each chunk of texts: where its words and word numbers are, and its texts' ids, folds and lengths."""
+    most, most_texts = CHUNK_TOKENS, CHUNK_TEXTS
 
-    def count(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        file, out, at = TaskContext.get().taskAttemptId(), None, 0  # a file for each attempt
+        kinds = pa.struct([("file", pa.int64()), ("start", pa.int64())]), pa.struct([("words", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64()))])
+        ids, held, each, size = [], [], [], 0
+        pad = np.array([_START] * (ORDER - 1), np.uint64)
+
+        def flush():
+            nonlocal at
+            every = np.concatenate([y for x in each for y in (pad, x, [_END])])
+            local, number = np.unique(every, return_inverse=True)
+            a, b = squeeze(local), planes(number.astype(np.uint64))
+            out.write(a + b)
+            own = {"words": len(a), "ids": len(b), "doc_ids": ids, "held": held, "n": [len(x) + 1 for x in each]}
+            batch = pa.RecordBatch.from_arrays([pa.array([{"file": file, "start": at}], kinds[0]), pa.array([own], kinds[1])], ["key", "own"])
+            at += len(a) + len(b)
+            return batch
 
-        def blocks(h, context):
-            rows = []
-            w, _, c = _summed(h, np.ones(len(h)))
-            part = (w % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                k = order[cuts[p] : cuts[p + 1]]
-                if len(k):
-                    rows.append((p, 1, _pack((w[k], c[k].astype("<u4")))))
-            g, first, c = _summed(pair_hash(context, h), np.ones(len(h)))
-            part = (g % np.uint64(parts)).astype(np.int64)
-            ctx, succ = context[first], (h[first] >> _SUCC).astype("<u4")
-            order = np.lexsort((succ, ctx, part))
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                k = order[cuts[p] : cuts[p + 1]]
-                if len(k):
-                    rows.append((p, 2, _pack((ctx[k], succ[k], c[k].astype("<u4")))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["part", "level", "block"])
-
-        held, size = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _chunks(texts):
-                held.append(tokens(texts[a:b])[:2])
-                size += len(held[-1][0])
-                if size > 4 * _AT_ONCE:
-                    yield from blocks(*map(np.concatenate, zip(*held)))
-                    held, size = [], 0
-        if held:
-            yield from blocks(*map(np.concatenate, zip(*held)))
+            if out is None:
+                fs, path = store.filesystem(f"{uri}/{file}.chunks")
+                fs.create_dir(posixpath.dirname(path), recursive=True)
+                out = fs.open_output_stream(path)
+            for doc, out_of, text in zip(*(c.to_pylist() for c in batch.columns)):
+                x = word_hashes(words(text))
+                if each and (size + len(x) > most or len(each) >= most_texts):
+                    yield flush()
+                    ids, held, each, size = [], [], [], 0
+                ids.append(doc), held.append(out_of), each.append(x)
+                size += len(x)
+        if each:
+            yield flush()
+        if out is not None:
+            out.close()
+
+    return docs.select("doc_id", _held_out().alias("held"), "text").mapInArrow(run, f"key {_KEY}, own {_OWN}")
+
+
+class Chunk:
+    """One chunk's n-grams: distinct ones of each order with their context and last word, and which one each token ends."""
+
+    def __init__(self, uri: str, key: dict, own: dict):
+        fs, path = store.filesystem(f"{uri}/{key['file']}.chunks")
+        with fs.open_input_file(path) as f:
+            raw = f.read_at(own["words"] + own["ids"], key["start"])
+        self.words, ids = unsqueeze(raw[: own["words"]]), unplanes(raw[own["words"] :]).astype(np.int64)
+        self.n = np.array(own["n"], np.int64)
+        starts = np.cumsum(self.n + ORDER - 1) - (self.n + ORDER - 1)
+        token = np.ones(len(ids), bool)
+        for k in range(ORDER - 1):
+            token[starts + k] = False
+        self.first = np.cumsum(self.n) - self.n
+        self.train = np.repeat(~np.array(own["held"], bool), self.n)
+        self.last = ids[token]
+        self.start = int(np.searchsorted(self.words, _START))
+        #: By order: hashes of contexts and of n-grams, each n-gram's context and last word, each token's n-gram.
+        self.grams = {1: self.words}
+        self.context, self.word, self.of = {}, {1: np.arange(len(self.words))}, {1: self.last}
+
+    def order(self, k: int) -> None:
+        """Make order k from order k - 1. The n-grams of start marks alone are contexts without a token: they come last."""
+        if k in self.grams:
+            return
+        self.order(k - 1)
+        before, lower = self.of[k - 1], len(self.grams[k - 1])
+        if k == 2:
+            hashes, begin = self.words, self.start
+        else:
+            alone = np.array([_START], np.uint64)
+            for _ in range(k - 2):
+                alone = _mix(alone, np.array([_START], np.uint64))
+            hashes, begin = np.concatenate([self.grams[k - 1], alone]), lower
+        context = np.empty(len(before), np.int64)
+        context[1:] = before[:-1]
+        context[self.first] = begin
+        each, of = np.unique(context * len(self.words) + self.last, return_inverse=True)
+        self.context[k], self.word[k], self.of[k] = each // len(self.words), each % len(self.words), of
+        self.grams[k] = _mix(hashes[self.context[k]], self.words[self.word[k]])
+        self.hashes = hashes
+
+    def counts(self, k: int) -> np.ndarray:
+        return np.bincount(self.of[k], weights=self.train, minlength=len(self.grams[k])).astype(np.int64)
+
+    def dealt(self, k: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order in which order k's n-grams are sent, what tells them, bounds of the parts)."""
+        value = self.words if k == 1 else _value(self.hashes[self.context[k]], self.words[self.word[k]])
+        part = (_finish(self.grams[k]) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((value, part))
+        return order, value[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+
+class Scores:
+    """What a chunk knows of its n-grams from the answers of the levels so far: counts, and probabilities as codes or exact."""
+
+    def __init__(self, chunk: Chunk, answers: list[tuple], parts: int, totals: tuple[int, int, int]):
+        """answers: (order, found, code) in order of parts."""
+        self.chunk, (total, vocabulary, self.texts) = chunk, totals
+        self.count, self.p = {}, {}
+        for k in sorted({a[0] for a in answers}):
+            chunk.order(k)
+            order, _, _ = chunk.dealt(k, parts)
+            own = [a for a in answers if a[0] == k]
+            count = np.zeros(len(order), np.int64)
+            count[order] = np.concatenate([unplanes(a[1]) for a in own]) if own else 0
+            self.count[k] = count
+            if k == 1:
+                self.p[1] = (count + 1) / (total + vocabulary + 1)
+                continue
+            code = np.zeros(len(order), np.uint8)
+            code[order] = np.concatenate([unplanes(a[2]) for a in own])
+            context, below = self.context(k), self.below(k)
+            self.p[k] = np.where(count > 0, _decode(code), MASS * below / (context + MASS))
+
+    def context(self, k: int) -> np.ndarray:
+        """How often the context of each n-gram of order k was seen."""
+        lower = self.count[k - 1]
+        if k == 2:
+            lower = lower.copy()
+            lower[self.chunk.start] = self.texts
+        else:
+            lower = np.append(lower, self.texts)
+        return lower[self.chunk.context[k]]
+
+    def below(self, k: int) -> np.ndarray:
+        """The probability of the last word of each n-gram of order k in the next shorter context, as far as levels hold it."""
+        first = np.zeros(len(self.chunk.grams[k]), np.int64)
+        first[self.chunk.of[k]] = self.chunk.of[k - 1]  # any token that ends it ends the shorter one too
+        return self.p[k - 1][first]
+
+
+def _chunks(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Chunks with their answers, by chunk: key, order (0 is the chunk's own row), part, found, code, own."""
+    own = chunks.select("key", F.lit(0).alias("order"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("found"), F.lit(None).cast("binary").alias("code"), "own")
+    for a in answers:
+        own = own.unionByName(a.where(F.col("key").isNotNull()).select("key", "order", "part", "found", "code", F.lit(None).cast(_OWN).alias("own")))
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(n, "key").sortWithinPartitions("key", "order", "part")
+
+
+def send(chunks: DataFrame, answers: list[DataFrame], k: int, uri: str, parts: int, totals: tuple[int, int, int]) -> DataFrame:
+    """(part, key, value, times, context, below): each chunk's distinct n-grams of order k by part, with training counts, counts of
+    their contexts and the codes of their shorter probabilities."""
+
+    def one(rows: list[tuple]) -> Iterator:
+        import pyarrow as pa
 
-    return docs.where(~_held_out()).select("text").mapInArrow(count, "part int, level int, block binary")
+        key, own = rows[0][0], rows[0][5]
+        chunk = Chunk(uri, key, own)
+        scores = Scores(chunk, [(r[1], r[3], r[4]) for r in rows[1:]], parts, totals)
+        chunk.order(k)
+        order, value, cuts = chunk.dealt(k, parts)
+        columns = [chunk.counts(k)[order]]
+        if k > 1:
+            columns += [scores.context(k)[order], _code(scores.below(k))[order]]
+        some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+        cut = lambda x, f: [f(x[cuts[p] : cuts[p + 1]]) for p in some]
+        made = [cut(value, squeeze), *(cut(c.astype(np.uint64), planes) for c in columns)]
+        made += [[None] * len(some)] * (4 - len(made))
+        kind = pa.struct([("file", pa.int64()), ("start", pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key] * len(some), kind), *(pa.array(m, pa.binary()) for m in made)], ["part", "key", "value", "times", "context", "below"])
 
+    return _chunks(chunks, answers).mapInArrow(lambda batches: by_first(batches, one), f"part int, key {_KEY}, value binary, times binary, context binary, below binary")
 
-def build_levels(blocks: DataFrame, uri: str, parts: int) -> DataFrame:
-    """Write each part's levels; gives (part, tokens, words, starts, pairs)."""
 
-    def build(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
+class Level:
+    """One part's level of one order, memory-mapped where the file system is local."""
 
-        held: dict[int, dict[int, list]] = {}
-        for batch in batches:
-            for p, level, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(p, {1: [], 2: []})[level].append(raw)
-        for p, levels in held.items():
-            out = io.BytesIO()
-            out.write(_MAGIC)
-            got = [_unpack(x, _WORD) for x in levels[1]] or [[np.zeros(0, k) for k in _WORD]]
-            w, _, c = _summed(*(np.concatenate(x) for x in zip(*got)))
-            EliasFano.build(w, (1 << 64) - 1).write(out)
-            out.write(c.astype("<u8").tobytes())
-            got = [_unpack(x, _PAIR) for x in levels[2]] or [[np.zeros(0, k) for k in _PAIR]]
-            ctx, succ, n = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((succ, ctx))
-            ctx, succ, n = ctx[order], succ[order], n[order].astype(np.int64)
-            new = np.ones(len(ctx), bool)
-            new[1:] = (ctx[1:] != ctx[:-1]) | (succ[1:] != succ[:-1])
-            at = np.flatnonzero(new)
-            sums = np.add.reduceat(n, at) if len(at) else n
-            ctx, succ = ctx[at], succ[at]
-            contexts, begin = np.unique(ctx, return_index=True)
-            rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(begin, len(ctx))))
-            EliasFano.build(contexts, (1 << 64) - 1).write(out)
-            EliasFano.build(np.append(begin, len(ctx)), len(ctx)).write(out)
-            EliasFano.build((rank << _SUCC) | succ.astype(np.uint64), max(1, len(contexts)) << 32).write(out)
-            out.write(np.clip(np.rint(np.log(sums) / _STEP), 0, 255).astype("<u1").tobytes())
-            fs, path = store.filesystem(f"{uri}/part-{p:06d}.trie")
-            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            draft = f"{path}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(draft) as f:
-                f.write(out.getbuffer())
-            fs.move(draft, path)
-            ends = int(c[w == _END].sum())
-            kinds = (pa.int32(), *(pa.int64(),) * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((p, int(c.sum()), len(w), ends, len(ctx)), kinds)], ["part", "tokens", "words", "ends", "pairs"])
-
-    return blocks.repartition(parts, "part").mapInArrow(build, "part int, tokens long, words long, ends long, pairs long")
-
-
-class Part:
-    """One part's levels, memory-mapped where the file system is local."""
-
-    def __init__(self, uri: str, p: int):
+    def __init__(self, uri: str, k: int, part: int):
         import pyarrow as pa
         from pyarrow import fs as pafs
 
-        fs, path = store.filesystem(f"{uri}/part-{p:06d}.trie")
-        self.words = None
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
-            return
-        raw = pa.memory_map(path).read_buffer() if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path).read_buffer()
-        raw = memoryview(raw)
+        fs, path = store.filesystem(f"{uri}/level-{k}-{part:06d}.trie")
+        raw = memoryview(pa.memory_map(path).read_buffer() if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path).read_buffer())
         if bytes(raw[:8]) != _MAGIC:
-            raise ValueError("not a trie part")
-        self.words, at = EliasFano.read(raw, 8)
-        self.counts = np.frombuffer(raw, "<u8", self.words.n, at)
-        self.contexts, at = EliasFano.read(raw, at + 8 * self.words.n)
+            raise ValueError("not a level")
+        self.k = k
+        self.contexts, at = EliasFano.read(raw, 8)
+        if k == 1:
+            self.counts = np.frombuffer(raw, "<u8", self.contexts.n, at)
+            return
         self.pointers, at = EliasFano.read(raw, at)
         self.successors, at = EliasFano.read(raw, at)
         self.codes = np.frombuffer(raw, "<u1", self.successors.n, at)
 
-    def count(self, w: np.ndarray) -> np.ndarray:
-        if self.words is None:
-            return np.zeros(len(w), np.int64)
-        i = self.words.find(w)
-        return np.where(i >= 0, self.counts[np.maximum(i, 0)].astype(np.int64), 0) if self.words.n else np.zeros(len(w), np.int64)
-
-    def mass(self, ctx: np.ndarray, succ: np.ndarray) -> np.ndarray:
-        """Quantised count of each (context, successor); 0 if it was not seen."""
-        out = np.zeros(len(ctx))
-        if self.words is None or not self.successors.n:
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Place of each n-gram in the level, -1 for those that are not in it."""
+        if self.k == 1:
+            return self.contexts.find(value)
+        out = np.full(len(value), -1, np.int64)
+        if not self.successors.n:
             return out
-        rank = self.contexts.find(ctx)
+        rank = self.contexts.find(value >> _SUCC)
         seen = np.flatnonzero(rank >= 0)
         rank = rank[seen]
         begin, end = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
-        i = self.successors.find((rank.astype(np.uint64) << _SUCC) | succ[seen].astype(np.uint64), begin, end)
-        out[seen[i >= 0]] = np.exp(self.codes[i[i >= 0]] * _STEP)
-        return out
-
-
-class Model:
-    def __init__(self, uri: str, parts: int, total: int, vocabulary: int, texts: int):
-        self.parts = [Part(uri, p) for p in range(parts)]
-        self.total, self.vocabulary, self.texts = total, vocabulary, texts
-
-    def _dealt(self, keys: np.ndarray, of, *columns) -> np.ndarray:
-        part = (keys % np.uint64(len(self.parts))).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(len(self.parts) + 1))
-        out = np.zeros(len(keys))
-        for p, own in enumerate(self.parts):
-            if (k := order[cuts[p] : cuts[p + 1]]).size:
-                out[k] = getattr(own, of)(*(c[k] for c in columns))
+        low = value[seen] & np.uint64((1 << int(_SUCC)) - 1)
+        out[seen] = self.successors.find((rank.astype(np.uint64) << _SUCC) | low, begin, end)
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """(n_tokens, n_known, base score, score) of each text."""
-        h, context, n = tokens(texts)
-        starts = np.cumsum(n) - n
-        w, inverse = np.unique(h, return_inverse=True)
-        c = self._dealt(w, "count", w)[inverse]
-        p1 = (c + 1) / (self.total + self.vocabulary + 1)
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[starts] = self.texts
-        g, first, inverse = np.unique(pair_hash(context, h), return_index=True, return_inverse=True)
-        seen = self._dealt(g, "mass", context[first], (h[first] >> _SUCC).astype("<u4"))[inverse]
-        p = (np.minimum(seen, before) + MASS * p1) / (before + MASS)
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        return n, add((c > 0).astype(np.int64)), add(np.log10(p1)), add(np.log10(p))
-
-
-_models: dict[tuple, Model] = {}
 
+def _write_level(uri: str, k: int, part: int, value: np.ndarray, told: np.ndarray) -> None:
+    """value: ascending; told: counts of words or codes of probabilities."""
+    from pyspark import TaskContext
+
+    out = io.BytesIO()
+    out.write(_MAGIC)
+    if k == 1:
+        EliasFano.build(value, (1 << 64) - 1).write(out)
+        out.write(told.astype("<u8").tobytes())
+    else:
+        contexts, begin = np.unique(value >> _SUCC, return_index=True)
+        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(begin, len(value))))
+        low = value & np.uint64((1 << int(_SUCC)) - 1)
+        EliasFano.build(contexts, (1 << int(_CONTEXT)) - 1).write(out)
+        EliasFano.build(np.append(begin, len(value)), len(value)).write(out)
+        EliasFano.build((rank << _SUCC) | low, max(1, len(contexts)) << int(_SUCC)).write(out)
+        out.write(told.tobytes())
+    fs, path = store.filesystem(f"{uri}/level-{k}-{part:06d}.trie")
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    draft = f"{path}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(draft) as f:
+        f.write(out.getbuffer())
+    fs.move(draft, path)
+
+
+def answer(sent: DataFrame, k: int, uri: str) -> DataFrame:
+    """Write each part's level and answer every chunk's n-grams from it: (key, order, part, found, code); and one row a part
+    without a key: its tokens, n-grams and ends of text."""
+    names = ["key", "order", "part", "found", "code", "tokens", "grams", "ends"]
+
+    def one(rows: list[tuple]) -> Iterator:
+        import pyarrow as pa
 
-def learn(docs: DataFrame) -> tuple[str, int, int, int, int]:
-    """Train on the texts that are not held out: where the model is, its parts, tokens, vocabulary and texts."""
-    spark = docs.sparkSession
-    parts, uri = int(spark.conf.get("spark.sql.shuffle.partitions")), store.new_dir(spark, "trie")
-    sizes = store.materialise(build_levels(count_blocks(docs, parts), uri, parts), "trie-sizes")
-    total = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "ends")]).first()  # one row
-    return uri, parts, total[0], total[1], total[2]
+        part = rows[0][0]
+        each = [unsqueeze(r[2]) for r in rows]
+        times = np.concatenate([unplanes(r[3]) for r in rows]).astype(np.int64)
+        value, first, of = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        total = np.bincount(of, weights=times, minlength=len(value)).astype(np.int64)
+        seen, ends = total > 0, 0
+        if k == 1:
+            told, ends = total[seen], int(total[value == _END].sum())
+        else:
+            context, below = (np.concatenate([unplanes(r[c]) for r in rows])[first] for c in (4, 5))
+            told = _code((total + MASS * _decode(below)) / (context.astype(np.float64) + MASS))[seen]
+        _write_level(uri, k, part, value[seen], told)
+        level, total = Level(uri, k, part), total[seen]
+        found, code = [], []
+        for x in each:
+            i = level.find(x)
+            at = np.maximum(i, 0)
+            found.append(planes(np.where(i >= 0, (level.counts if k == 1 else total)[at], 0).astype(np.uint64) if len(total) else np.zeros(len(x), np.uint64)))
+            code.append(None if k == 1 else planes(np.where(i >= 0, level.codes[at], 0).astype(np.uint64) if len(total) else np.zeros(len(x), np.uint64)))
+        n, kind = len(rows), pa.struct([("file", pa.int64()), ("start", pa.int64())])
+        own = [None] * n
+        columns = [[*(r[1] for r in rows), None], [k] * (n + 1), [part] * (n + 1), [*found, None], [*code, None], [*own, int(total.sum())], [*own, len(total)], [*own, ends]]
+        kinds = (kind, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(n, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda batches: by_first(batches, one), f"key {_KEY}, order int, part int, found binary, code binary, tokens long, grams long, ends long")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Base and model score of every text."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri, made = store.new_dir(spark, "trie"), store.new_dir(spark, "chunks")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    made = learn(slim)
-
-    def score(batches: Iterator) -> Iterator:
+    chunks = store.materialise(tokenise(slim, made), "chunk-rows")
+    answers, totals = [], (0, 0, 0)
+    for k in range(1, ORDER + 1):
+        answers.append(store.materialise(answer(send(chunks, answers, k, made, parts, totals), k, uri), f"answers-{k}"))
+        if k == 1:
+            sums = answers[0].where(F.col("key").isNull()).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "grams", "ends")])
+            totals = tuple(sums.first())  # one row
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def one(rows: list[tuple]) -> Iterator:
         import pyarrow as pa
 
-        if made not in _models:
-            _models.clear()
-            _models[made] = Model(*made)
-        model = _models[made]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _chunks(texts):
-                n, known, base, score = model.score(texts[a:b])
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), made[2], np.int64)), pa.array(base), pa.array(score)], names
-                )
+        own = rows[0][5]
+        chunk = Chunk(made, rows[0][0], own)
+        scores = Scores(chunk, [(r[1], r[3], r[4]) for r in rows[1:]], parts, totals)
+        add = lambda x: np.add.reduceat(x, chunk.first)
+        known, base = scores.count[1] > 0, np.log10(scores.p[1])
+        sums = add(known[chunk.last].astype(np.int64)), np.full(len(chunk.n), totals[0], np.int64), add(base[chunk.last]), add(np.log10(scores.p[ORDER])[chunk.of[ORDER]])
+        yield pa.RecordBatch.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(chunk.n), *map(pa.array, sums)], names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return slim.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(score, schema)
+    return _chunks(chunks, answers).mapInArrow(lambda batches: by_first(batches, one), schema)

@@ -81,17 +81,21 @@ def test_many_repositories_of_one_owner_make_a_copied_example(spark):
     assert (report[10].n_copied, report[10].n_live, report[10].holders) == (0, 1, "2/3")
 
 
-@pytest.mark.parametrize("k", [0, 1])
-def test_language_model(spark, k):
-    df = tables(spark)[k]
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_language_model(spark, monkeypatch, k):
+    if k == 2:  # many chunks
+        monkeypatch.setattr(language_model, "CHUNK_TOKENS", 3000)
+    df = tables(spark)[k % 2]
     each = [(d, words(t) + [None], zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2) for d, t in texts(df)]
     c = Counter(w for _, ws, out in each if not out for w in ws)
     pairs = Counter(x for _, ws, out in each if not out for x in zip([0, *ws], ws))
+    threes = Counter(x for _, ws, out in each if not out for x in zip([0, 0, *ws], [0, *ws], ws))
     n, v, starts = sum(c.values()), len(c), sum(not out for *_, out in each)
     want = {}
     for d, ws, out in each:
         p1 = [(c[w] + 1) / (n + v + 1) for w in ws]
-        exact = [(pairs[x] + 8 * p) / ((starts if x[0] == 0 else c[x[0]]) + 8) for x, p in zip(zip([0, *ws], ws), p1)]
+        p2 = [(pairs[x] + 8 * p) / ((starts if x[0] == 0 else c[x[0]]) + 8) for x, p in zip(zip([0, *ws], ws), p1)]
+        exact = [(threes[x] + 8 * p) / ((starts if x[1] == 0 else pairs[x[:2]]) + 8) for x, p in zip(zip([0, 0, *ws], [0, *ws], ws), p2)]
         want.setdefault(d, []).append((out, len(ws), sum(c[w] > 0 for w in ws), n, sum(map(math.log10, p1)), sum(map(math.log10, exact))))
     for r in language_model.score_documents(df).collect():
         w = want[r.doc_id][0]
