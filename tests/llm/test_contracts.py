@@ -127,6 +127,48 @@ def test_license_phrases(spark, k):
     same(map(tuple, got.collect()), want)
 
 
+def as_pattern(template):
+    """A template as a regular expression over words that each end with a space."""
+    out = []
+    for mark, word in re.findall(r"<<(opt|end|var:\d+)>>|([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)", template.lower()):
+        out.append(re.escape(word) + " " if word else "(?:" if mark == "opt" else ")?" if mark == "end" else r"(?:[^ ]+ ){0,%s}" % mark[4:])
+    return re.compile("".join(out))
+
+
+def test_template_labels_and_scores_against_patterns():
+    rng = np.random.default_rng(6)
+    patterns = [(as_pattern(t), label) for t, label in license_scan.TEMPLATES]
+    labels, made = {x for _, x in license_scan.TEMPLATES}, ["", "nothing at all", "licensed under the apache license version 2"]
+    for t, _ in license_scan.TEMPLATES:  # each wording with regions left out or filled, and with a word changed
+        for k in range(6):
+            said = re.sub(r"<<var:(\d+)>>", lambda m: " ".join(f"w{i}" for i in range(int(rng.integers(0, int(m[1]) + 1)))), t)
+            while "<<opt>>" in said:
+                said = re.sub(r"<<opt>>((?:(?!<<opt>>|<<end>>).)*)<<end>>", lambda m: m[1] if rng.random() < 0.5 else "", said, flags=re.S)
+            ws = re.findall(license_scan.WORD, said.lower())
+            if k == 5:
+                ws[int(rng.integers(len(ws)))] = "changed"
+            made.append(" ".join(["before"] * int(rng.integers(3)) + ws + ["after"] * int(rng.integers(3))))
+    found = set()
+    for text in made:
+        ws = text.split()
+        more, covered = set(), 0
+        for pattern, label in patterns:
+            for i in range(len(ws)):
+                tail = "".join(w + " " for w in ws[i:])
+                if not pattern.match(tail):
+                    continue
+                j = next(j for j in range(len(ws), i - 1, -1) if pattern.fullmatch("".join(w + " " for w in ws[i:j])))
+                if j > i:
+                    more.add(label)
+                    covered = max(covered, j - i)
+        base = {label for phrase, label in license_scan.PHRASES if f" {phrase} " in f" {text} "}
+        *_, got_base, got, score = license_scan.Scanner().scan(text.upper())
+        assert got == ",".join(sorted(base | more)), text
+        assert score == pytest.approx(0 if not base | more else 0.5 if not more else 0.5 + 0.5 * covered / len(ws))
+        found |= more
+    assert found == labels
+
+
 def test_template_regions():
     a = license_scan.Automaton("x <<opt>>y <<end>>z <<var:2>> w")
     for yes in ("x z w", "x y z w", "x z q w", "x y z q r w"):
