@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .expressions import let
 
 #: White space that parts words: \x20 and \x09-\x0D.
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -34,11 +35,6 @@ SHRINK = 50.0
 SKETCH_K = 2000
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """Evaluate value once and use it as name in body."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _repeat_sql() -> str:
     """Words within windows that occur twice or more, from the word hashes h.
 
@@ -47,19 +43,19 @@ def _repeat_sql() -> str:
     """
     hashed = ", ".join(f"h[i + {k}]" for k in range(_WINDOW))
     shingles = f"transform(sequence(0, size(h) - {_WINDOW}), i -> xxhash64({hashed}))"
-    repeated = _let("sort_array(sh)", "o", "array_distinct(filter(o, (g, i) -> i > 0 and o[i - 1] = g))")
+    repeated = let("sort_array(sh)", "o", "array_distinct(filter(o, (g, i) -> i > 0 and o[i - 1] = g))")
     looked_up = "array_remove(transform(sh, (g, i) -> if(array_contains(r, g), i, -1)), -1)"
     marked = (
         "sort_array(filter(transform(s, (x, j) -> if((j > 0 and s[j - 1].g = x.g) or "
         "(j < size(s) - 1 and s[j + 1].g = x.g), x.i, -1)), p -> p >= 0))"
     )
-    by_order = _let("sort_array(transform(sh, (g, i) -> struct(g as g, i as i)))", "s", marked)
+    by_order = let("sort_array(transform(sh, (g, i) -> struct(g as g, i as i)))", "s", marked)
     covered = (
         f"aggregate(transform(d, (p, k) -> if(k = size(d) - 1, {_WINDOW}, "
         f"least({_WINDOW}, d[k + 1] - p))), 0L, (a, x) -> a + x)"
     )
-    found = _let(repeated, "r", _let(f"if(size(r) <= 64, {looked_up}, {by_order})", "d", covered))
-    return f"if(size(h) < {_WINDOW}, 0L, " + _let(shingles, "sh", f"if(size(array_distinct(sh)) = size(sh), 0L, {found})") + ")"
+    found = let(repeated, "r", let(f"if(size(r) <= 64, {looked_up}, {by_order})", "d", covered))
+    return f"if(size(h) < {_WINDOW}, 0L, " + let(shingles, "sh", f"if(size(array_distinct(sh)) = size(sh), 0L, {found})") + ")"
 
 
 def counts(text: str = "text") -> F.Column:
@@ -67,17 +63,17 @@ def counts(text: str = "text") -> F.Column:
     q = "`" + text.replace("`", "``") + "`"
     words = f"array_remove(split(coalesce({q}, ''), '{_SPACE}', -1), '')"
     lines = f"filter(split(coalesce({q}, ''), '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    of_words = _let(
+    of_words = let(
         words,
         "w",
         "struct(cast(size(w) as bigint) as n_words, cast(length(concat_ws('', w)) as bigint) as word_chars, "
-        + _let("transform(w, x -> xxhash64(x))", "h", _repeat_sql())
+        + let("transform(w, x -> xxhash64(x))", "h", _repeat_sql())
         + " as n_repeat_words)",
     )
-    of_lines = _let(lines, "l", "struct(cast(size(l) as bigint) as n_lines, cast(size(l) - size(array_distinct(l)) as bigint) as n_dup_lines)")
+    of_lines = let(lines, "l", "struct(cast(size(l) as bigint) as n_lines, cast(size(l) - size(array_distinct(l)) as bigint) as n_dup_lines)")
     symbols = f"cast(length(regexp_replace(coalesce({q}, ''), '[^#*$%&|<>]+', '')) as bigint)"
     return F.expr(
-        _let(
+        let(
             f"struct({of_words} as a, {of_lines} as b, {symbols} as c)",
             "m",
             "struct(m.a.n_words as n_words, m.a.word_chars as word_chars, m.c as n_symbols, m.b.n_lines as n_lines, "

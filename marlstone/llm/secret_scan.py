@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .expressions import cut, let, pieces, running
 
 #: The kinds in the order of listing, their patterns, the group that must be long, and its least length.
 KINDS = [
@@ -43,16 +44,11 @@ def _spans_of(kind: int, text: str) -> str:
     p = _quote(pattern)
     gaps, whole = f"split({text}, '{p}', -1)", f"regexp_extract_all({text}, '{p}', 0)"
     value = whole if group == 0 else f"regexp_extract_all({text}, '{p}', {group})"
-    step = (
-        "named_struct('at', a.at + length(g[i]) + length(w[i]), 'found', "
-        f"if(length(v[i]) >= {least}, concat(a.found, array(named_struct('start', a.at + length(g[i]), 'kind', {kind}, "
-        "'end', a.at + length(g[i]) + length(w[i]), 'hash', sha2(v[i], 256)))), a.found))"
-    )
-    empty = "cast(array() as array<struct<start: int, kind: int, end: int, hash: string>>)"
-    walk = f"aggregate(sequence(0, size(w) - 1), named_struct('at', 0, 'found', {empty}), (a, i) -> {step}).found"
-    bound = f"element_at(transform(array(named_struct('g', {gaps}, 'w', {whole}, 'v', {value})), "
-    inner = walk.replace("g[i]", "s.g[i]").replace("w[i]", "s.w[i]").replace("v[i]", "s.v[i]").replace("size(w)", "size(s.w)")
-    return f"if({text} rlike '{p}', {bound} s -> {inner}), 1), {empty})"
+    at = running("transform(m.w, (x, i) -> length(m.g[i]) + length(x))", "0", "a + x")
+    start = "c[i] + length(m.g[i])"
+    span = f"if(length(m.v[i]) >= {least}, named_struct('start', {start}, 'kind', {kind}, 'end', {start} + length(x), 'hash', sha2(m.v[i], 256)), null)"
+    found = let(f"named_struct('g', {gaps}, 'w', {whole}, 'v', {value})", "m", let(at, "c", f"filter(transform(m.w, (x, i) -> {span}), x -> x is not null)"))
+    return f"if({text} rlike '{p}', {found}, cast(array() as array<struct<start: int, kind: int, end: int, hash: string>>))"
 
 
 def spans(text: str = "text") -> F.Column:
@@ -82,6 +78,12 @@ def classify(scanned: DataFrame) -> DataFrame:
     return joined.withColumn("copied", F.expr(f"filter(shared, h -> h.owners >= {COPIED_OWNERS} or h.repos >= {COPIED_REPOS}).hash"))
 
 
+def _repository(owner: F.Column, repo: F.Column) -> F.Column:
+    """A string for an owner's part of a repo value that tells null from any value."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    return F.concat(told(owner), F.lit("/"), told(repo))
+
+
 _NAMES = "array(" + ", ".join(f"'{k[0]}'" for k in KINDS) + ")"
 
 
@@ -94,7 +96,7 @@ def secret_report(docs: DataFrame, owner: str = "source", repo: str = "lang") ->
 
     A repository is an owner's part of one repo value.
     """
-    scanned = docs.select("doc_id", spans().alias("spans"), F.col(owner).alias("owner"), F.concat_ws("/", owner, repo).alias("repo"))
+    scanned = docs.select("doc_id", spans().alias("spans"), F.col(owner).alias("owner"), _repository(F.col(owner), F.col(repo)).alias("repo"))
     held = store.materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
     out = classify(held)
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)")
@@ -118,16 +120,15 @@ def mask_live(docs: DataFrame, owner: str = "source", repo: str = "lang", text:
     """docs with every live-looking span of the text replaced by mask; copied examples stay."""
     tick = lambda c: F.col("`" + c.replace("`", "``") + "`")
     packed = F.struct(*[tick(c).alias(c) for c in docs.columns]).alias("doc")
-    scanned = docs.select(packed, spans(text).alias("spans"), tick(owner).alias("owner"), F.concat_ws("/", tick(owner), tick(repo)).alias("repo"))
+    scanned = docs.select(packed, spans(text).alias("spans"), tick(owner).alias("owner"), _repository(tick(owner), tick(repo)).alias("repo"))
     held = store.materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
     rest = classify(held.where(F.size("spans") > 0)).drop("shared").unionByName(held.where(F.size("spans") == 0).withColumn("copied", F.array().cast("array<string>")))
     q = "doc.`" + text.replace("`", "``") + "`"
-    # Spans may overlap: cut to the parts after what is masked already.
-    step = (
-        "named_struct('at', greatest(a.at, s.end), 'out', if(s.start >= a.at, concat(a.out, substring(t, a.at + 1, s.start - a.at), "
-        f"'{mask}'), a.out))"
-    )
-    walk = f"aggregate(l, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(t, a.at + 1)))"
+    # Spans may overlap: a span that begins inside what is masked already adds nothing but its end.
     live = "filter(spans, s -> not array_contains(copied, s.hash))"
-    masked = F.expr(f"if(size({live}) = 0, {q}, element_at(transform(array({live}), l -> element_at(transform(array({q}), t -> {walk}), 1)), 1))")
+    ends = running("transform(l, s -> s.end)", "0", "greatest(a, x)")
+    each = f"if(s.start >= e[i], concat({cut('p', 'e[i]', 's.start')}, '{mask}'), '')"
+    tail = cut("p", "array_max(transform(l, s -> s.end))", f"length({q})")
+    whole = f"array_join(concat(transform(l, (s, i) -> {each}), array({tail})), '')"
+    masked = F.expr(f"if(size({live}) = 0, {q}, {let(live, 'l', let(ends, 'e', let(pieces(q), 'p', whole)))})")
     return rest.select(*[(masked if c == text else F.col("doc.`" + c.replace("`", "``") + "`")).alias(c) for c in docs.columns])

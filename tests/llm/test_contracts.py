@@ -61,6 +61,46 @@ def test_secret_spans(spark, k):
     same(map(tuple, got.collect()), want)
 
 
+def test_spans_of_all_kinds_and_what_is_masked(spark):
+    """Dense texts against brute force: spans of every kind, overlaps, holders, copied and live ones, and the masked text."""
+    rng = np.random.default_rng(9)
+    parts = ["password=hunter2", "token: Bearer abcdefghijklmnopqrstuv", "api_key='example1'", "AKIA" + "B" * 18, "gh" + "p_" + "A1" * 20, "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh123", "0123456789abcdef" * 2, "é𝒳", "plain words", "secret=" + "f" * 30, "\n", "bearer " + "x" * 24]
+    rows = [(i, "".join(parts[k] + ("" if rng.random() < 0.2 else " ") for k in rng.integers(0, len(parts), rng.integers(0, 25))), ["en", "de", None][i % 3], ["a", "b", None][i // 3 % 3], 1, "x", 1, 1) for i in range(60)]
+    found, holders = [], {}
+    for _, t, lang, source, *_ in rows:
+        own = []
+        for kind, (_, pattern, group, least) in enumerate(secret_scan.KINDS):
+            own += [(m.start(), kind, m.end(), m[group]) for m in re.finditer(pattern.replace("(?i:", "(?ai:"), t) if len(m[group]) >= least]
+        found.append(sorted(own))
+        for *_, v in own:
+            holders.setdefault(v, set()).add((source, lang))
+    owners = lambda v: len({s for s, _ in holders[v]})
+    copied = {v for v in holders if owners(v) >= secret_scan.COPIED_OWNERS or len(holders[v]) >= secret_scan.COPIED_REPOS}
+    assert copied and len(copied) < len(holders)
+    names, want, masked = [k[0] for k in secret_scan.KINDS], [], {}
+    for (d, t, *_), own in zip(rows, found):
+        live = [x for x in own if x[3] not in copied]
+        want.append((d, ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in own), len(live), len(own) - len(live), ",".join(f"{owners(v)}/{len(holders[v])}" for *_, v in own)))
+        at, out = 0, ""
+        for a, _, b, _ in live:
+            out, at = (out + t[at:a] + "[secret]" if a >= at else out), max(at, b)
+        masked[d] = out + t[at:]
+    got = secret_scan.secret_report(awkward(spark, rows)).select("doc_id", "spans", "n_live", "n_copied", "holders")
+    same(map(tuple, got.collect()), want)
+    assert {r.doc_id: r.text for r in secret_scan.mask_live(awkward(spark, rows)).collect()} == masked
+
+
+def test_a_text_of_many_spans_takes_little_time(spark):
+    import time
+
+    text = "".join(f"password=value{i}x " for i in range(20_000))
+    rows = [(1, text, "en", "a", 1, "x", 1, 1)]
+    began = time.time()
+    r = secret_scan.secret_report(awkward(spark, rows)).first()
+    assert r.n_assign == 20_000 and secret_scan.mask_live(awkward(spark, rows)).first().text == "[secret] " * 20_000
+    assert time.time() - began < 40
+
+
 def test_copied_examples_stay_and_live_secrets_go(spark):
     rows = [(i, f"password=example123 and token=live{i}abcdef", "en", f"s{i}", 1, "x", 1, 1) for i in range(4)]
     out = {r.doc_id: r.text for r in secret_scan.mask_live(awkward(spark, rows)).collect()}
