@@ -161,11 +161,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_warc"] = """
 with p as (
-  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www[0-9]*\\.', ''), '.')), ',')
+      || ')' || coalesce(nullif(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), ''), '/')
+      || lower(regexp_extract(url, '^[^?#]*(\\?[^#]+)?', 1)) as urlkey
+  from pages
 ), f as (select digest, min(page_id) as first from p where n >= 100 group by digest)
 select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
   case when p.n >= 100 and p.page_id <> f.first then 'revisit' else 'response' end as record_type,
-  case when p.n >= 100 and p.page_id <> f.first then f.first end as refers_to
+  case when p.n >= 100 and p.page_id <> f.first then f.first end as refers_to,
+  row_number() over (order by p.urlkey, p.page_id) - 1 as place
 from p left join f on p.digest = f.digest
 """
 
