@@ -1,7 +1,8 @@
 """Intermediate tables and files in the folder that driver and executors share.
 
 Lineage is cut by writing a table here and reading it again, so a lost
-executor costs a re-read and not a recomputation.
+executor costs a re-read and not a recomputation. Operators drop what nothing reads any more; what a
+query's result still reads stays until release() is called or the stage that made it has ended.
 """
 
 from __future__ import annotations
@@ -9,20 +10,25 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _UNSET = ""
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders made for each scope of this process, for release().
+#: Folders made in each scope, for release(). A scope belongs to its thread, so queries may run side by side.
 _MADE: dict[str, list[str]] = {}
-_scope = "query"
+_scope: ContextVar[str] = ContextVar("scope", default="query")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of ours only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error,
+    as other machines do not see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", _UNSET)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found else "file://" + posixpath.abspath(found)
@@ -30,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    _MADE.setdefault(_scope, []).append(path)
+    path = posixpath.join(shared_dir(spark), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
+    _MADE.setdefault(_scope.get(), []).append(path)
     return path
 
 
@@ -56,37 +62,37 @@ def drop(*tables: DataFrame) -> None:
     """Remove what materialise wrote for tables; nothing may read them afterwards."""
     for df in tables:
         for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
-            remove(df.sparkSession, folder)
-
-
-def materialise_kept(df: DataFrame, name: str) -> DataFrame:
-    """As materialise, in a folder that no later scope removes."""
-    path = posixpath.join(shared_dir(df.sparkSession), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
-    return _write(df, path)
+            own = folder.split("://")[-1].split(":")[-1].lstrip("/")
+            remove(df.sparkSession, next((p for made in _MADE.values() for p in made if p.split("://")[-1].lstrip("/") == own), folder))
 
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for made in _MADE.values():
+        if path in made:
+            made.remove(path)
+
+
+def release(spark: SparkSession, *in_use: DataFrame, scope: str | None = None) -> None:
+    """Remove the folders made so far (in one scope, if it is named) but those that the tables in_use still read."""
+    read = [f.split("://")[-1] for t in in_use for f in t.inputFiles()]
+    for own in [scope] if scope is not None else list(_MADE):
+        for path in list(_MADE.get(own, ())):
+            if not any(path.split("://")[-1] in f for f in read):
+                remove(spark, path)
 
 
 def enter_scope(name: str, docs: DataFrame) -> None:
     """Begin a stage: earlier stages' folders go, unless docs still reads from them."""
-    global _scope
-    spark, read = docs.sparkSession, docs.inputFiles()
     for scope in [s for s in _MADE if s.startswith("stage")]:
-        keep = [p for p in _MADE[scope] if any(p.split("://")[-1] in f for f in read)]
-        for path in _MADE[scope]:
-            if path not in keep:
-                remove(spark, path)
-        _MADE[scope] = keep
-    _scope = name
+        release(docs.sparkSession, docs, scope=scope)
+    _scope.set(name)
 
 
 def leave_scope() -> None:
-    global _scope
-    _scope = "query"
+    _scope.set("query")
 
 
 def filesystem(uri: str):
