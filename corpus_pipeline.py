@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. A stage's table goes when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = store.materialise_kept(stage(spark, docs, sf_dir), name)
+        docs = store.materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            store.drop(before)
+        before = docs
     out = STAGES[-1][1](spark, docs, sf_dir)
+    store.drop(docs)  # the last stage has written its pieces
     store.leave_scope()
     return out
