@@ -60,34 +60,87 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return digest(outer, digest(inner, message))
 
 
-def actor_bytes_v4(ip: Column) -> Column:
-    """0x04 and the four bytes of a dotted address."""
-    parts = F.split(ip, r"\.")
-    return F.unhex(F.concat(F.lit("04"), *[F.lpad(F.hex(parts[i].cast("int")), 2, "0") for i in range(4)]))
+def _let(value: Column, body) -> Column:
+    """Evaluate value once and use it in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def ipv4(ip: Column) -> Column:
-    """A dotted address as a number."""
-    parts = F.split(ip, r"\.")
-    total = parts[0].cast("long")
-    for i in range(1, 4):
-        total = total * 256 + parts[i].cast("long")
-    return total
+    """A dotted address as a number; null if it is none."""
+
+    def number(parts):
+        part = lambda i: F.get(parts, F.lit(i)).try_cast("long")
+        total, sane = F.lit(0).cast("long"), F.size(parts) == 4
+        for i in range(4):
+            total, sane = total * 256 + part(i), sane & part(i).between(0, 255)
+        return F.when(sane, total)
+
+    return F.when(ip.rlike(r"^[0-9.]+$"), _let(F.split(ip, r"\."), number))
+
+
+def ipv6(ip: Column) -> Column:
+    """An address with colons as 32 hex digits; null if it is none. A dotted tail stands for the last two groups."""
+    tail = F.regexp_extract(ip, r"([0-9]+\.[0-9.]+)$", 1)
+    head = F.regexp_replace(ip, r"[0-9]+\.[0-9.]+$", "")
+    dotted = _let(ipv4(tail), lambda low: F.concat(head, F.hex(F.floor(low / 65536).cast("long")), F.lit(":"), F.hex((low % 65536).cast("long"))))
+    groups = lambda c: F.filter(F.split(c, ":"), lambda x: x != "")
+
+    def digits(plain):
+        short = plain.contains("::")
+        halves = F.struct(groups(F.substring_index(plain, "::", 1)).alias("a"), groups(F.when(short, F.substring_index(plain, "::", -1)).otherwise("")).alias("b"))
+
+        def filled(h):
+            gap = F.lit(8) - F.size(h["a"]) - F.size(h["b"])
+            every = F.concat(h["a"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), h["b"])
+            sane = F.when(short, gap >= 1).otherwise(gap == 0) & F.forall(every, lambda x: F.length(x) <= 4)
+            return F.when(sane, F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
+
+        return F.when(plain.rlike(r"^[0-9a-f:]+$") & plain.contains(":"), _let(halves, filled))
+
+    return _let(F.lower(F.when(tail != "", dotted).otherwise(ip)), digits)
+
+
+_MAPPED = "00000000000000000000ffff"
+
+
+def _either(ip: Column, body) -> Column:
+    """body(the address as an IPv4 number, as 32 hex digits of IPv6): one of them or none; a mapped address is IPv4."""
+
+    def told(six):
+        mapped = F.conv(F.substring(six, 25, 8), 16, 10).cast("long")
+        both = F.struct(F.coalesce(ipv4(ip), F.when(six.startswith(_MAPPED), mapped)).alias("four"), F.when(~six.startswith(_MAPPED), six).alias("six"))
+        return _let(both, lambda x: body(x["four"], x["six"]))
+
+    return _let(ipv6(ip), told)
+
+
+def actor_bytes(ip: Column) -> Column:
+    """0x04 and the four bytes of an IPv4 address, 0x06 and the first eight of an IPv6 address; null for anything else."""
+    return F.unhex(_either(ip, lambda four, six: F.coalesce(F.concat(F.lit("04"), F.lpad(F.hex(four), 8, "0")), F.concat(F.lit("06"), F.substring(six, 1, 16)))))
 
 
 #: Address ranges that are not public.
 RESERVED = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
-            "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3"]
+            "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+            "::/128", "::1/128", "100::/64", "2001:2::/48", "2001:db8::/32", "2001:10::/28", "fc00::/7", "fe80::/10", "ff00::/8"]
 
 
-def public_v4(ip: Column, blocked: tuple[str, ...] = ()) -> Column:
-    """Whether a dotted address is in no reserved or blocked range."""
+def public_address(ip: Column, blocked: tuple[str, ...] = ()) -> Column:
+    """Whether an IPv4 or IPv6 address is in no reserved or blocked range; false for anything else."""
     import ipaddress
 
-    n, out = ipv4(ip), F.lit(True)
-    for net in map(ipaddress.ip_network, [*RESERVED, *blocked]):
-        out = out & ~n.between(int(net.network_address), int(net.broadcast_address))
-    return out
+
+    def outside(four, six):
+        out_4, out_6 = four.isNotNull(), six.isNotNull()
+        for net in map(ipaddress.ip_network, [*RESERVED, *blocked]):
+            first, last = int(net.network_address), int(net.broadcast_address)
+            if net.version == 4:
+                out_4 = out_4 & ~four.between(first, last)
+            else:
+                out_6 = out_6 & ~six.between(f"{first:032x}", f"{last:032x}")
+        return F.coalesce(out_4, F.lit(False)) | F.coalesce(out_6, F.lit(False))
+
+    return _either(ip, outside)
 
 
 def sampled(key: Column, one_in: int) -> Column:

@@ -268,8 +268,46 @@ def xor_nearest(df: DataFrame, key: str, target: int, k: int) -> DataFrame:
 def ttl_first(df: DataFrame, key: str, t: str, ttl: int) -> DataFrame:
     """Rows that a TTL deduplicator admits: the first of a key, then the next after the admitted one's TTL has run out.
 
-    Whether a row is admitted depends on the last admitted one, so each key's times are folded in order, in the JVM.
+    Whether a row is admitted depends on the last admitted one. Times after a pause of a TTL or more begin a chain of their own,
+    so a key with pauses is split into its chains; a chain's times arrive sorted and are gone through once, none kept.
     """
-    times = df.groupBy(key).agg(F.sort_array(F.collect_set(t)).alias("ts"))
-    fold = F.aggregate("ts", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= ttl), F.concat(a, F.array(x))).otherwise(a))
-    return times.select(key, F.explode(F.when(F.size("ts") > 0, fold)).alias(t))
+    times = df.where(F.col(t).isNotNull()).select(F.col(key).alias("k"), F.col(t).cast("long").alias("t")).distinct()
+    order = Window.partitionBy("k").orderBy("t")
+    begins = F.coalesce(F.col("t") - F.lag("t").over(order) >= ttl, F.lit(True)).cast("long")
+    chained = times.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order)).select("k", "chain", "t")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def admit(batches):
+        import pyarrow as pa
+
+        chain, last = None, 0
+        for batch in batches:
+            keep = []
+            for k, c, x in zip(*(col.to_pylist() for col in batch.columns)):
+                keep.append((k, c) != chain or x - last >= ttl)
+                if keep[-1]:
+                    chain, last = (k, c), x
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["chain"])
+
+    dealt = chained.repartition(n, "k", "chain").sortWithinPartitions("k", "chain", "t")
+    made = dealt.mapInArrow(admit, times.schema)
+    return made.select(F.col("k").alias(key), F.col("t").alias(t))
+
+
+def ranked(rows: DataFrame, by: str, value: str, tie: str) -> DataFrame:
+    """rows with rank, from 1 in each group of by: the largest value first, then the smallest tie.
+
+    Rows are counted by value first, so that a group's window is over its distinct values and not over its rows.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy(by).orderBy(F.desc(value))) - F.col("c")
+    before = counts.select(F.col(by).alias("of_group"), F.col(value).alias("of_value"), before.alias("before"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy(by, value).orderBy(tie)))
+    same = F.col(by).eqNullSafe(F.col("of_group")) & F.col(value).eqNullSafe(F.col("of_value"))
+    return own.join(before, same).select(*rows.columns, (F.col("own") + F.col("before")).alias("rank"))
+
+
+def chunked(values: Column, size: int) -> Column:
+    """An array cut into arrays of size at most."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(values, k * size + 1, F.lit(size)))

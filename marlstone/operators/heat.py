@@ -34,15 +34,10 @@ def window_heat(daily: DataFrame, day: int) -> DataFrame:
 
 
 def incremental_heat(daily: DataFrame, day: int) -> DataFrame:
-    """Vectors of the keys whose vector differs from the day before's, those that fell to 0 included.
-
-    Only days at a window's edge can change a vector: keys of other days need not be looked at.
-    """
-    edges = sorted({day, *(day - w for w in WINDOWS)})
-    touched = daily.where(F.col("day").isin(edges)).select("k").distinct()
-    near = daily.where(F.col("day").between(day - max(WINDOWS), day)).join(touched, "k", "left_semi")
+    """Vectors of the keys whose vector differs from the day before's, those that fell to 0 included: both vectors of a key
+    come from one pass over the days that either window holds."""
     before = [c.alias(f"was{w}") for c, w in zip(_sums(day - 1), WINDOWS)]
-    both = near.groupBy("k").agg(*_sums(day), *before)
+    both = daily.where(F.col("day").between(day - max(WINDOWS), day)).groupBy("k").agg(*_sums(day), *before)
     changed = F.lit(False)
     for w in WINDOWS:
         changed = changed | (F.col(f"heat{w}d") != F.col(f"was{w}"))

@@ -100,24 +100,17 @@ def _(read):
     return analysis.efficiency(y, "y", "q", "r")
 
 
-_RUNS = """runs as (select o_orderpriority as cohort, o_orderkey as seq, case when o_orderstatus = 'O' then 'A' else 'B' end as arm, o_totalprice as rate from orders where o_orderkey <= 400)"""
+_RUNS = """runs as (select o_orderpriority as cohort, o_orderkey as seq, case when o_orderstatus = 'O' then 'A' else 'B' end as arm, o_totalprice as rate from orders)"""
 
 
-def _all_runs(read):
+def _runs(read):
     arm = F.when(F.col("o_orderstatus") == "O", "A").otherwise("B")
     return read("orders").select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderkey").alias("seq"), arm.alias("arm"), F.col("o_totalprice").alias("rate"))
 
 
-def _runs(read):
-    return _all_runs(read).where("seq <= 400")
-
-
 _PAIRS = f"""{_RUNS}, n as (select *, row_number() over (partition by cohort order by seq) - 1 as n from runs),
 j as (select a.cohort, a.n // 2 as block, a.arm = b.arm as control, case when a.arm > b.arm then b.rate else a.rate end as base, case when a.arm > b.arm then a.rate else b.rate end as other
 from n a join n b on a.cohort = b.cohort and a.n + 1 = b.n where a.n % 2 = 0), p as (select cohort, block, control, other - base as delta, (other - base) * 100 / base as percent, ln(other / base) as log_ratio from j)"""
-#: The same over all of orders, for the queries named _whole.
-_ALL_PAIRS = _PAIRS.replace(" where o_orderkey <= 400", "")
-
 
 _DELTAS = "select cohort, block, control, round(delta, 6) as delta, round(percent, 6) as percent, round(log_ratio, 6) as log_ratio from p"
 
@@ -132,14 +125,9 @@ def _(read):
     return _deltas(_runs(read))
 
 
-@query("pair_deltas_whole", f"with {_ALL_PAIRS} {_DELTAS}")
-def _(read):
-    return _deltas(_all_runs(read))
-
-
 @query("effect_summary")
 def _(read):
-    return analysis.effect(analysis.pair_runs(_all_runs(read)))
+    return analysis.effect(analysis.pair_runs(_runs(read)))
 
 
 _SIGNS = "select cohort, count(*) as pairs, count(*) filter (where delta > 0) as positive, count(*) filter (where delta < 0) as negative, round(median(delta), 6) as median from p where not control group by cohort"
@@ -155,43 +143,24 @@ def _(read):
     return _signs(_runs(read))
 
 
-@query("sign_counts_whole", f"with {_ALL_PAIRS} {_SIGNS}")
-def _(read):
-    return _signs(_all_runs(read))
-
-
 _JUDGED = """hits as (select lang as query, doc_id as doc, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents),
-judged as (select lang as query, d.doc_id as doc, 1 + l.quality * 2 as grade from documents d join labels l on d.doc_id = l.doc_id where d.doc_id % 7 = 0)"""
+judged as (select lang as query, d.doc_id as doc, 1 + l.quality * 2 as grade from documents d join labels l on d.doc_id = l.doc_id)"""
 
 
-#: The same with all of labels as judgements, for the query named _whole.
-_ALL_JUDGED = _JUDGED.replace(" where d.doc_id % 7 = 0", "")
 _QUALITY = """i as (select query, count(*) as relevant, sum(case when r <= 10 then (power(2, grade) - 1) / log2(r + 1) else 0 end) as ideal
 from (select *, row_number() over (partition by query order by grade desc, doc) as r from judged) group by query),
 g as (select j.query, count(*) filter (where rank <= 20) as in20, sum(case when rank <= 10 then (power(2, grade) - 1) / log2(rank + 1) else 0 end) as dcg, min(rank) as first from judged j join hits h on j.query = h.query and j.doc = h.doc group by j.query)
 select i.query, round(coalesce(in20 / relevant, 0), 8) as recall20, round(coalesce(dcg / ideal, 0), 8) as ndcg10, round(coalesce(1.0 / first, 0), 8) as mrr from i left join g on i.query = g.query"""
 
 
-def _quality(read, judged):
-    from pyspark.sql import Window
-
+@query("retrieval_metrics", f"with {_JUDGED}, {_QUALITY}")
+def _(read):
     d = read("documents").select(F.col("lang").alias("query"), F.col("doc_id").alias("doc"), "n_chars")
-    hits = d.select("query", "doc", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc")).alias("rank"))
     l = read("labels").select(F.col("doc_id").alias("doc"), (1 + F.col("quality") * 2).alias("grade"))
-    q = analysis.retrieval_quality(hits, judged(d).select("query", "doc").join(l, "doc"))
+    q = analysis.retrieval_quality(analysis.ranked(d, "query", "n_chars", "doc").select("query", "doc", "rank"), d.select("query", "doc").join(l, "doc"))
     return q.select("query", *[F.round(c, 8).alias(c) for c in ("recall20", "ndcg10", "mrr")])
 
 
-@query("retrieval_metrics", f"with {_JUDGED}, {_QUALITY}")
-def _(read):
-    return _quality(read, lambda d: d.where("doc % 7 = 0"))
-
-
-@query("retrieval_metrics_whole", f"with {_ALL_JUDGED}, {_QUALITY}")
-def _(read):
-    return _quality(read, lambda d: d)
-
-
 _RETRY = f"""with {OBS}, a as (select event_id, seconds // 60 - lag(seconds // 60) over (partition by k, actor order by seconds // 60, event_id) as age from obs),
 c as (select event_id, case when age is null then 'first' when age < 120 then 'under_2m' when age < 480 then '2m_8m' when age < 960 then '8m_16m' when age < 1860 then '16m_31m' else 'first' end as class from a)"""
 
@@ -241,7 +210,9 @@ def _(read):
     return analysis.xor_nearest(read("orders").select(F.col("o_orderkey").alias("id")), "id", 1234, 8)
 
 
-@query("ttl_dedupe")
+@query("ttl_dedupe", f"""with recursive {OBS}, admitted as (select k, min(seconds) as seconds from obs group by k
+union all select a.k, n.seconds from admitted a, lateral (select min(o.seconds) as seconds from obs o where o.k = a.k and o.seconds >= a.seconds + 86400) n where n.seconds is not null)
+select k, seconds from admitted""")
 def _(read):
     return analysis.ttl_first(observations(read("events")), "k", "seconds", 86400)
 
@@ -267,11 +238,6 @@ def _(read):
 _PLAN = "select o_orderkey as id, case when (row_number() over (order by o_orderkey) - 1) // 2 % 2 = (row_number() over (order by o_orderkey) - 1) % 2 then 'A' else 'B' end as arm from orders"
 
 
-@query("arm_plan", f"{_PLAN} where o_orderkey <= 64")
-def _(read):
-    return analysis.arm_plan(read("orders").where("o_orderkey <= 64").select(F.col("o_orderkey").alias("id")))
-
-
-@query("arm_plan_whole", _PLAN)
+@query("arm_plan", _PLAN)
 def _(read):
     return analysis.arm_plan(read("orders").select(F.col("o_orderkey").alias("id")))

@@ -66,14 +66,8 @@ def _(read):
     return n.select("page_id", "path", text.base_name(F.col("path")).alias("base"), text.stem(F.col("path")).alias("stem"), text.extension_key(F.col("path")).alias("ext"))
 
 
-@query("str_bounded", "select item_id, text[1:20] as first, octet_length(encode(text)) as bytes from benchmark where regexp_full_match(text, '[\\x00-\\x7F]*') and text[20:20] <> ' '")
-def _(read):
-    ascii_only = F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.substring("text", 20, 1) != " ")
-    return read("benchmark").where(ascii_only).select("item_id", text.bounded(F.col("text"), 20).alias("first"), F.octet_length("text").cast("long").alias("bytes"))
-
-
 #: The longest prefix of whole characters within 20 bytes, of all items.
-@query("str_bounded_whole", """with c as (select item_id, trim(replace(text, chr(0), '')) as t, octet_length(encode(text)) as bytes from benchmark)
+@query("str_bounded", """with c as (select item_id, trim(replace(text, chr(0), '')) as t, octet_length(encode(text)) as bytes from benchmark)
 select item_id, t[1:list_max(list_filter(range(0, 21), lambda k: octet_length(encode(t[1:k])) <= 20))] as first, bytes from c""")
 def _(read):
     return read("benchmark").select("item_id", text.bounded(F.col("text"), 20).alias("first"), F.octet_length("text").cast("long").alias("bytes"))
@@ -127,12 +121,32 @@ def _(read):
     return read("orders").select(k, k.bitwiseAND(F.lit(63)).alias("shard"), F.shiftright(k, 6).alias("quotient"), F.bit_count(k).alias("ones"))
 
 
-@query("public_address", """with a as (select o_orderkey, o_orderkey % 256 as a, o_orderkey % 251 as b from orders) select o_orderkey, not (a = 0 or a = 10 or (a = 100 and b between 64 and 127) or a = 127 or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)
-or (a = 192 and b = 168) or (a = 192 and b = 0) or (a = 198 and b in (18, 19)) or a >= 224) as public from a""")
-def _(read):
+_IPS = """ips as (select o_orderkey, case o_orderkey % 3 when 0 then concat_ws('.', o_orderkey % 256, o_orderkey % 251, case when o_orderkey % 256 = 192 and o_orderkey % 251 = 0 then '0' else '9' end, '7')
+  when 1 then ['2a00', 'fe80', '2001:db8', 'fd00', '2001:10', 'ff02', '2600:1f'][1 + o_orderkey % 7] || '::' || printf('%x', o_orderkey % 65536) else '::ffff:8.8.4.' || o_orderkey % 256 end as ip from orders)"""
+
+
+def _ips(read):
     k = F.col("o_orderkey")
-    ip = F.concat_ws(".", (k % 256).cast("string"), (k % 251).cast("string"), F.when((k % 256 == 192) & (k % 251 == 0), "0").otherwise("9").cast("string"), F.lit("7"))
-    return read("orders").select(k, numbers.public_v4(ip).alias("public"))
+    v4 = F.concat_ws(".", (k % 256).cast("string"), (k % 251).cast("string"), F.when((k % 256 == 192) & (k % 251 == 0), "0").otherwise("9"), F.lit("7"))
+    tops = F.array(*map(F.lit, ["2a00", "fe80", "2001:db8", "fd00", "2001:10", "ff02", "2600:1f"]))
+    v6 = F.concat(F.element_at(tops, (1 + k % 7).cast("int")), F.lit("::"), F.lower(F.hex(k % 65536)))
+    ip = F.when(k % 3 == 0, v4).when(k % 3 == 1, v6).otherwise(F.concat(F.lit("::ffff:8.8.4."), (k % 256).cast("string")))
+    return read("orders").select(k, ip.alias("ip"))
+
+
+@query("public_address", f"""with {_IPS}, a as (select *, o_orderkey % 256 as a, o_orderkey % 251 as b, o_orderkey % 7 as t from ips) select o_orderkey, case o_orderkey % 3
+when 0 then not (a = 0 or a = 10 or (a = 100 and b between 64 and 127) or a = 127 or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)
+or (a = 192 and b = 168) or (a = 192 and b = 0) or (a = 198 and b in (18, 19)) or a >= 224) when 1 then t in (0, 6) else true end as public from a""")
+def _(read):
+    return _ips(read).select("o_orderkey", numbers.public_address(F.col("ip")).alias("public"))
+
+
+@query("actor_bytes", f"""with {_IPS} select o_orderkey, case o_orderkey % 3
+when 0 then '04' || printf('%02X', o_orderkey % 256) || printf('%02X', o_orderkey % 251) || case when o_orderkey % 256 = 192 and o_orderkey % 251 = 0 then '00' else '09' end || '07'
+when 1 then '06' || ['2A00000000000000', 'FE80000000000000', '20010DB800000000', 'FD00000000000000', '2001001000000000', 'FF02000000000000', '2600001F00000000'][1 + o_orderkey % 7]
+else '04080804' || printf('%02X', o_orderkey % 256) end as actor from ips""")
+def _(read):
+    return _ips(read).select("o_orderkey", F.hex(numbers.actor_bytes(F.col("ip"))).alias("actor"))
 
 
 @query("array_functions", "select conv_id, cast(sum(length(text)) as bigint) as chars, bool_or(role = 'system') as any_system, bool_and(length(text) > 20) as all_long from conversations group by conv_id")

@@ -6,7 +6,7 @@ from .compare import oracle, rows
 
 SF = "/root/testdata/sf0.001"
 #: Empty at this scale: a filter of theirs holds only for larger tables.
-MAY_BE_EMPTY = {"heat_fanout_filter", "str_bounded", "recent_top", "text_search", "outbox_complete"}
+MAY_BE_EMPTY = {"heat_fanout_filter", "recent_top", "text_search", "outbox_complete"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

@@ -53,12 +53,12 @@ def test_bootstrap_follows_the_generator():
         assert analysis.bootstrap_ci(values) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("name", ["pair_deltas_whole", "sign_counts_whole", "arm_plan_whole"])
+@pytest.mark.parametrize("name", ["pair_deltas", "sign_counts", "arm_plan"])
 def test_all_orders_are_used(spark, name):
     got, orders = registry.QUERIES[name](spark, SF), spark.read.parquet(f"{SF}/orders.parquet")
-    if name == "arm_plan_whole":
+    if name == "arm_plan":
         assert got.count() == orders.count()
-    elif name == "pair_deltas_whole":
+    elif name == "pair_deltas":
         assert got.count() == sum(r["count"] // 2 for r in orders.groupBy("o_orderpriority").count().collect())
     else:
         assert {r.cohort: r.pairs for r in got.collect()} == {c: len(d) for c, d in pairs_by_cohort().items()}
@@ -83,12 +83,12 @@ def test_bounded_cuts_bytes_between_characters(spark):
 
 
 def test_bounded_takes_all_items(spark):
-    rows = registry.QUERIES["str_bounded_whole"](spark, SF).collect()
+    rows = registry.QUERIES["str_bounded"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/benchmark.parquet").count() and all(len(r.first.encode()) <= 20 for r in rows)
 
 
 def test_all_labels_are_judgements(spark):
-    got = {r.query: r.recall20 for r in registry.QUERIES["retrieval_metrics_whole"](spark, SF).collect()}
+    got = {r.query: r.recall20 for r in registry.QUERIES["retrieval_metrics"](spark, SF).collect()}
     sql = f"""with h as (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from '{SF}/documents.parquet')
     select lang, count(*) filter (where rank <= 20) / count(*) from h join '{SF}/labels.parquet' using (doc_id) group by lang"""
     assert got == pytest.approx(dict(duckdb.sql(sql).fetchall()), abs=1e-7)
