@@ -95,7 +95,8 @@ def ipv6(ip: Column) -> Column:
             sane = F.when(short, gap >= 1).otherwise(gap == 0) & F.forall(every, lambda x: F.length(x) <= 4)
             return F.when(sane, F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
 
-        return F.when(plain.rlike(r"^[0-9a-f:]+$") & plain.contains(":"), _let(halves, filled))
+        odd = plain.rlike(r"::.*::|:::|^:[^:]|[^:]:$")
+        return F.when(plain.rlike(r"^[0-9a-f:]+$") & plain.contains(":") & ~odd, _let(halves, filled))
 
     return _let(F.lower(F.when(tail != "", dotted).otherwise(ip)), digits)
 

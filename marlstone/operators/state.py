@@ -9,9 +9,24 @@ from .analysis import best_kind
 
 
 def upsert_receipts(stored: DataFrame, batches: DataFrame) -> DataFrame:
-    """(stream, epoch, last_end, accepted, duplicates): batches of contiguous ranges added to the stored counters."""
-    both = stored.unionByName(batches.select("stream", "epoch", F.col("end_sequence").alias("last_end"), "accepted", "duplicates"))
-    return both.groupBy("stream", "epoch").agg(F.max("last_end").alias("last_end"), F.sum("accepted").alias("accepted"), F.sum("duplicates").alias("duplicates"))
+    """(stream, epoch, last_end, accepted, duplicates): batches (stream, epoch, start_sequence, end_sequence, digest, accepted,
+    duplicates) added to the stored counters.
+
+    A batch that is delivered again adds nothing. Of a stream's batches those count that continue the stored range without a
+    gap; a range that was stored already, one that leaves a gap, and one that comes with two digests are left out, and so is all after.
+    """
+    key = ["stream", "epoch"]
+    once = batches.groupBy(*key, "start_sequence").agg(
+        F.count_distinct("end_sequence", "digest").alias("kinds"), F.max("end_sequence").alias("end_sequence"), F.max("accepted").alias("accepted"), F.max("duplicates").alias("duplicates")
+    )
+    head = stored.select(F.col("stream").alias("s"), F.col("epoch").alias("e"), F.col("last_end").alias("head"))
+    same = F.col("stream").eqNullSafe(F.col("s")) & F.col("epoch").eqNullSafe(F.col("e"))
+    after = once.join(head, same, "left").where(F.col("start_sequence") > F.coalesce("head", F.lit(0)))
+    order = Window.partitionBy(*key).orderBy("start_sequence")
+    fits = (F.col("start_sequence") == F.coalesce(F.lag("end_sequence").over(order), "head", F.lit(0)) + 1) & (F.col("kinds") == 1)
+    new = after.withColumn("fits", fits).withColumn("sound", F.min(F.col("fits").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).where("sound")
+    both = stored.select(*key, "last_end", "accepted", "duplicates").unionByName(new.select(*key, F.col("end_sequence").alias("last_end"), "accepted", "duplicates"))
+    return both.groupBy(*key).agg(F.max("last_end").alias("last_end"), F.sum("accepted").alias("accepted"), F.sum("duplicates").alias("duplicates"))
 
 
 def receipt_faults(receipts: DataFrame) -> DataFrame:
@@ -57,12 +72,33 @@ def map_observed(counts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def within_ranges(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
-    """Rows whose number lies in a range (low, high). A range joins by the 65,536-blocks that it touches, so the join is by equality."""
-    size = 65536
-    r = ranges.select("low", "high", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))).alias("block"))
-    keyed = df.withColumn("__block", F.floor(F.col(value) / size))
-    inside = (F.col("__block") == F.col("block")) & F.col(value).between(F.col("low"), F.col("high"))
-    return keyed.join(r, inside, "left_semi").drop("__block")
+    """Rows whose number, from 0 to 2^62, lies in a range (low, high).
+
+    A range joins by the blocks that make it up, at levels of 256 times the last one's size: at most 510 blocks a level however wide
+    it is, and a row joins by its block at each level, so the join is by equality.
+    """
+    levels = range(8)
+    at_level = lambda blocks, k: F.transform(blocks, lambda b: F.struct(F.lit(k).alias("level"), b.alias("block")))
+    # A level's blocks are those of the range's ends that the next level's whole blocks do not hold.
+    pieces = []
+    floor = lambda x, k: F.shiftright(x.cast("long"), 8 * k)
+    ceil = lambda x, k: F.shiftright(x.cast("long") + F.lit((1 << 8 * k) - 1), 8 * k)
+    for k in levels:
+        first, last = ceil(F.col("low"), k), floor(F.col("high") + 1, k) - 1
+        if k < len(levels) - 1:
+            whole_first, whole_last = ceil(F.col("low"), k + 1), floor(F.col("high") + 1, k + 1) - 1
+            has = whole_first <= whole_last
+        else:
+            whole_first, whole_last, has = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(False)
+        some = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        left = some(first, F.when(has, whole_first * 256 - 1).otherwise(last))
+        right = F.when(has, some((whole_last + 1) * 256, last)).otherwise(F.array().cast("array<bigint>"))
+        pieces.append(at_level(F.concat(left, right), k))
+    r = ranges.where("low <= high").select(F.explode(F.concat(*pieces)).alias("piece")).distinct()
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(value).cast("long"), 8 * k).alias("block")) for k in levels])
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    found = numbered.select("__row", F.explode(own).alias("own")).join(r, F.col("own") == F.col("piece"), "left_semi").select("__row").distinct()
+    return numbered.join(found, "__row", "left_semi").drop("__row")
 
 
 def denied(attempts: DataFrame, denials: DataFrame, ttl: int) -> DataFrame:

@@ -10,16 +10,30 @@ from .adapters import DAILY, OBS, observations
 from .registry import query
 
 
-def _grouped(df, key: str, columns: list[str], encode):
-    """(path, content) of each group's rows, encoded. A group is one batch or frame, whose size its format bounds."""
+#: Records in a batch at most.
+BATCH = 4096
+
 
+def _encoded(df, keys: list[str], columns: list[str], encode):
     def run(k, table):
         import pyarrow as pa
 
         rows = list(zip(*(table.column(c).to_pylist() for c in columns)))
         return pa.table({"path": [str(k[0].as_py())], "content": pa.array([encode(k[0].as_py(), rows)], pa.binary())})
 
-    return df.groupBy(key).applyInArrow(run, "path string, content binary")
+    return df.groupBy(*keys).applyInArrow(run, "path string, content binary")
+
+
+def _grouped(df, key: str, columns: list[str], encode):
+    """(path, content) of each group's rows, encoded: for groups that are small by nature, as an order's lines."""
+    return _encoded(df, [key], columns, encode)
+
+
+def _batches(df, key: str, columns: list[str], encode):
+    """(path, content) of each group's rows, encoded in batches of about BATCH rows at most: a large group makes many."""
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("batches")).withColumnRenamed(key, "of")
+    dealt = df.join(sizes, F.col(key).eqNullSafe(F.col("of"))).withColumn("batch", F.expr(f"pmod(xxhash64({', '.join(columns)}, monotonically_increasing_id()), batches)"))
+    return _encoded(dealt.select(key, "batch", *columns), [key, "batch"], columns, encode)
 
 
 def _hash(k: int) -> bytes:
@@ -28,7 +42,7 @@ def _hash(k: int) -> bytes:
 
 @query("codec_heat_batches", f"with {OBS} select distinct hour as unix_hour, k, actor from obs")
 def _(read):
-    files = _grouped(observations(read("events")).select("hour", "k", "actor").distinct(), "hour", ["k", "actor"], lambda h, rows: codecs.encode_batch(h // 24, h % 24, [(_hash(k), a) for k, a in rows]))
+    files = _batches(observations(read("events")).select("hour", "k", "actor").distinct(), "hour", ["k", "actor"], lambda h, rows: codecs.encode_batch(h // 24, h % 24, [(_hash(k), a) for k, a in rows]))
     back = readers.decoded(files, readers._batch, "path string, unix_hour long, info_hash binary, actor long")
     return back.select("unix_hour", F.conv(F.hex(F.expr("substring(info_hash, 13, 8)")), 16, 10).cast("int").alias("k"), "actor")
 
@@ -44,7 +58,7 @@ def _(read):
     def encode(_, rows):
         return b"".join(codecs.put_uvarint(n) + codecs.put_uvarint(len(p)) + p for _, n, p in codecs.encode_frames(sorted(rows)))
 
-    files = _grouped(heat.daily_distinct(observations(read("events"))), "day", ["k", "n"], encode)
+    files = _batches(heat.daily_distinct(observations(read("events"))), "day", ["k", "n"], encode)
     return readers.decoded(files, decode, "path string, id int, n long").select(F.col("path").cast("long").alias("day"), "id", "n")
 
 
@@ -53,7 +67,7 @@ def _(read):
     def encode(hour, rows):
         return codecs.encode_actor_hour(hour, 2, 2, 0, 1000, 1 << 20, 0, 0, [(_hash(k), n) for k, n in rows])
 
-    files = _grouped(heat.actor_hour_counts(observations(read("events"))), "hour", ["k", "n"], encode)
+    files = _batches(heat.actor_hour_counts(observations(read("events"))), "hour", ["k", "n"], encode)
     back = readers.decoded(files, lambda raw: ((int.from_bytes(h, "big"), n) for h, n in codecs.decode_actor_hour(raw)[1]), "path string, k int, n long")
     return back.select(F.col("path").cast("long").alias("hour"), "k", "n")
 
@@ -69,7 +83,7 @@ def _(read):
 @query("codec_overlays", "select event_type as src, user_id, count(*) as n from events group by all")
 def _(read):
     kinds = {"view": b"F", "click": b"S", "purchase": b"H", "error": b"R", "signup": b"M"}
-    files = _grouped(read("events").select("event_type", "user_id"), "event_type", ["user_id"], lambda t, rows: b"".join(kinds[t] + _hash(u) for (u,) in rows))
+    files = _batches(read("events").select("event_type", "user_id"), "event_type", ["user_id"], lambda t, rows: b"".join(kinds[t] + _hash(u) for (u,) in rows))
     back = readers.decoded(files, lambda raw: ((k, int.from_bytes(h, "big")) for k, h in codecs.decode_overlay(raw)), "path string, kind string, user_id long")
     return back.groupBy(F.col("path").alias("src"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 

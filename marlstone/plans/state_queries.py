@@ -11,14 +11,23 @@ from .registry import query
 _CAT = "cat as (select distinct info_hash from hashed where ordinal % 3 = 0)"
 
 
-@query("receipts_upsert", """with s as (select conv_id as stream, 1 as epoch, 0 as last_end, 1 as accepted, 0 as duplicates from conversations group by conv_id)
-select stream, epoch, max(last_end) as last_end, cast(sum(accepted) as bigint) as accepted, cast(sum(duplicates) as bigint) as duplicates from
-(select * from s union all select conv_id, 1, turn, case when role = 'assistant' then 1 else 0 end, case when role = 'assistant' then 0 else 1 end from conversations) group by stream, epoch""")
+_BATCHES = """turns as (select conv_id as stream, 1 as epoch, row_number() over (partition by conv_id order by turn) as n, count(*) over (partition by conv_id) as most, role from conversations),
+b as (select *, n = 3 and stream % 5 = 0 as gap from turns)"""
+
+
+#: Every turn is a batch; turns of every second stream come twice, turn 3 of every fifth leaves a gap, and turn 1 is stored already.
+@query("receipts_upsert", f"""with {_BATCHES}, g as (select *, max(cast(gap as integer)) over (partition by stream order by n) as lost from b)
+select stream, epoch, greatest(1, max(n) filter (where lost = 0)) as last_end, cast(1 + coalesce(sum(case when role = 'assistant' then 1 else 0 end) filter (where lost = 0 and n > 1), 0) as bigint) as accepted,
+cast(coalesce(sum(case when role = 'assistant' then 0 else 1 end) filter (where lost = 0 and n > 1), 0) as bigint) as duplicates from g group by stream, epoch""")
 def _(read):
-    c = read("conversations")
+    from pyspark.sql import Window
+
+    c = read("conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
     a = F.when(F.col("role") == "assistant", 1).otherwise(0)
-    one = c.select(F.col("conv_id").alias("stream"), F.lit(1).alias("epoch"), F.lit(0).cast("long").alias("last_end"), F.lit(1).alias("accepted"), F.lit(0).alias("duplicates")).distinct()
-    return state.upsert_receipts(one, c.select(F.col("conv_id").alias("stream"), F.lit(1).alias("epoch"), F.col("turn").alias("end_sequence"), a.alias("accepted"), (1 - a).alias("duplicates")))
+    gap = F.when((F.col("n") == 3) & (F.col("conv_id") % 5 == 0), 1).otherwise(0)
+    one = c.select(F.col("conv_id").alias("stream"), F.lit(1).alias("epoch"), F.lit(1).cast("long").alias("last_end"), F.lit(1).alias("accepted"), F.lit(0).alias("duplicates")).distinct()
+    b = c.select(F.col("conv_id").alias("stream"), F.lit(1).alias("epoch"), (F.col("n") + gap).alias("start_sequence"), (F.col("n") + gap).alias("end_sequence"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), a.alias("accepted"), (1 - a).alias("duplicates"))
+    return state.upsert_receipts(one, b.unionByName(b.where("stream % 2 = 0")))
 
 
 @query("receipt_faults", "select conv_id, count(*) as delivered from conversations group by conv_id having count(*) % 5 = 0")
