@@ -71,12 +71,21 @@ def first_filled(*columns: Column) -> Column:
 
 
 def join_path(parts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), "/")
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), "/")
 
 
 def fix_encoding(raw: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else GBK."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), F.trim(raw.cast("string"))).otherwise(F.trim(F.decode(raw, "GBK")))
+    """Bytes as text: UTF-8 if valid, else GBK, which the JVM's own decode does not offer. Only the invalid bytes go to Python."""
+    import pandas as pd
+
+    def gbk(batch):
+        return batch.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+    gbk.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+
+    said = raw.cast("string")
+    valid = F.is_valid_utf8(said)
+    return F.when(valid, F.trim(said)).otherwise(F.trim(F.pandas_udf(gbk, "string")(F.when(~valid, raw))))
 
 
 def human_size(c: Column) -> Column:
@@ -130,3 +139,34 @@ def key_values(c: Column) -> Column:
     pairs = F.str_to_map(c, F.lit(" "), F.lit("="))
     value = lambda _, v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double"))
     return F.map_filter(F.transform_values(pairs, value), lambda _, v: v.isNotNull())
+
+
+#: The icon of a file by its extension.
+ICONS = {
+    "mkv": "🎬", "mp4": "🎬", "avi": "🎬", "mov": "🎬", "flac": "🎵", "mp3": "🎵", "m4a": "🎵", "iso": "💿", "exe": "⚙️", "rar": "📦", "zip": "📦", "7z": "📦",
+    "pdf": "📕", "epub": "📚", "jpg": "🖼️", "png": "🖼️", "txt": "📝", "srt": "💬", "sfv": "✅",
+}
+
+
+def file_icon(name: Column) -> Column:
+    """The icon of what stands after the last dot; that of any file for an unknown extension or none."""
+    known = F.create_map(*[F.lit(x) for kv in ICONS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.lower(F.substring_index(name, ".", -1))), F.lit("📄"))
+
+
+def set_path(options: Column, path: str, value: Column) -> Column:
+    """A map of dotted paths to values with one path set: what lay below it goes, and a plain value above it gives way."""
+    parts = path.split(".")
+    above = [".".join(parts[:k]) for k in range(1, len(parts))]
+    kept = F.map_filter(options, lambda k, _: (k != path) & ~k.startswith(path + ".") & ~k.isin(above))
+    return F.map_concat(kept, F.create_map(F.lit(path), value))
+
+
+def clamp(c: Column, low, high) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def composite_key(*columns: Column) -> Column:
+    """Parts as one key, with their lengths, so that different parts never make the same key."""
+    told = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.concat_ws("/", *told)

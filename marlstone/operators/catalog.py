@@ -251,3 +251,21 @@ def search(catalog: DataFrame, heat: DataFrame, query: str, window: str = "heat7
     h = heat.select(F.col("id").alias("hid"), F.col(window).alias("heat"))
     joined = scored.join(h, F.col("id") == F.col("hid"), "left").select("id", "name", "created", "score", F.coalesce("heat", F.lit(0)).alias("heat"))
     return joined.orderBy(F.desc("score"), F.desc("heat"), F.desc("created"), "id").offset((max(page, 1) - 1) * size).limit(size)
+
+
+def file_page(files: DataFrame, text: str = "", by: str = "path", ascending: bool = True, page: int = 1, size: int = 50, most: int = 500) -> DataFrame:
+    """(id, path, length, place) of one page of each item's file list (id, ordinal, path, length): its first files, filtered by a
+    part of the path in any case, sorted by a column and then by ordinal."""
+    first = files.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ordinal"))).where(F.col("n") <= most)
+    kept = first.where(F.instr(F.lower("path"), text.lower()) > 0) if text else first
+    order = F.col(by).asc() if ascending else F.col(by).desc()
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(order, "ordinal")))
+    return placed.where(F.col("place").between((page - 1) * size + 1, page * size)).select("id", "path", "length", "place")
+
+
+def next_batch(spool: DataFrame, heads: DataFrame, most: int) -> DataFrame:
+    """(stream, ordinal, payload): of each stream's spool the rows that follow its head (stream, head) without a gap, most at most."""
+    h = heads.select(F.col("stream").alias("s"), "head")
+    after = spool.join(h, F.col("stream") == F.col("s"), "left").withColumn("head", F.coalesce("head", F.lit(-1))).where("ordinal > head")
+    n = F.row_number().over(Window.partitionBy("stream").orderBy("ordinal"))
+    return after.withColumn("n", n).where((F.col("ordinal") == F.col("head") + F.col("n")) & (F.col("n") <= most)).select("stream", "ordinal", "payload")

@@ -110,7 +110,10 @@ def _(read):
     return read("documents").select("doc_id", F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"))
 
 
-@query("hmac_actor")
+_PAD = lambda x: "".join(f"{b ^ x:02x}" for b in b"marl".ljust(64, b"\0"))
+
+
+@query("hmac_actor", f"select event_id, sha256(from_hex('{_PAD(0x5C)}' || sha256(from_hex('{_PAD(0x36)}' || hex(cast(user_id as varchar)))))) as actor from events")
 def _(read):
     return read("events").select("event_id", F.lower(F.hex(numbers.hmac_sha256(b"marl", F.col("user_id").cast("string").cast("binary")))).alias("actor"))
 

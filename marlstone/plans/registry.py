@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-for _name in ("heat_queries", "catalog_queries", "analysis_queries", "function_queries", "codec_queries", "state_queries"):
+for _name in ("heat_queries", "catalog_queries", "analysis_queries", "function_queries", "codec_queries", "state_queries", "helper_queries"):
     importlib.import_module(f"marlstone.plans.{_name}")

@@ -97,7 +97,10 @@ def _(read):
     return g.select("id", state.summary_valid(F.array(F.lit("a")), F.col("x"), F.lit(150), F.lit(0)).alias("valid"))
 
 
-@query("xor_nearest_hash")
+_PART = lambda a, n: f"xor(cast('0x' || substr(info_hash, {a}, {n}) as bigint), {int(('0f' * 20)[a - 1 : a - 1 + n], 16)})"
+
+
+@query("xor_nearest_hash", f"with {ITEMS} select id, info_hash from items order by {_PART(1, 14)}, {_PART(15, 14)}, {_PART(29, 12)}, info_hash limit 8")
 def _(read):
     return state.xor_nearest_hash(items(read("orders")), "info_hash", "0f" * 20, 8).select("id", "info_hash")
 

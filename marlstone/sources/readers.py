@@ -51,15 +51,19 @@ def spool(spark: SparkSession, path: str) -> DataFrame:
     return decoded(_files(spark, path), lambda raw: ((i, p) for i, p in enumerate(codecs.decode_spool(raw)[0])), "path string, ordinal long, payload binary")
 
 
-def runtime_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ts, values) of lines '<time> runtime 30s: k=v ...'."""
+def runtime_lines(lines: DataFrame) -> DataFrame:
+    """(ts, values) of lines (value) '<time> runtime 30s: k=v ...'; other lines are left out."""
     from ..functions.text import key_values
 
     line = r"^(\S+(?: \S+)?)\s+runtime \d+s: (.*)$"
-    found = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("ts"), F.regexp_extract("value", line, 2).alias("rest")).where("ts <> ''")
+    found = lines.select(F.regexp_extract("value", line, 1).alias("ts"), F.regexp_extract("value", line, 2).alias("rest")).where("ts <> ''")
     return found.select(F.try_to_timestamp(F.col("ts")).alias("ts"), key_values(F.col("rest")).alias("values"))
 
 
+def runtime_log(spark: SparkSession, path: str) -> DataFrame:
+    return runtime_lines(spark.read.text(path))
+
+
 def host_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, nanValue="nan")
 
