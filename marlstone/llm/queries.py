@@ -75,6 +75,36 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _secrets_sql() -> str:
+    q = lambda p: p.replace("'", "''")
+    found = " union all ".join(
+        f"select doc_id, source, lang, {k} as kind, {least} as least, regexp_extract_all(t, '{q(p)}') as w, regexp_extract_all(t, '{q(p)}', {group}) as v, string_split_regex(t, '{q(p)}') as g from t"
+        for k, (_, p, group, least) in enumerate(secret_scan.KINDS)
+    )
+    names = ", ".join(f"'{k[0]}'" for k in secret_scan.KINDS)
+    listed = "string_agg([{}][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind)".format(names)
+    return f"""
+with t as (select doc_id, coalesce(text, '') as t, source, lang from documents
+), m as ({found}
+), e as (select *, unnest(range(1, len(w) + 1)) as i from m
+), p as (select *, sum(length(g[i]) + length(w[i])) over (partition by doc_id, kind order by i) as stop, length(w[i]) as n, v[i] as value from e
+), s as (select doc_id, source, lang, kind, cast(stop - n as bigint) as start, cast(stop as bigint) as stop, value from p where length(value) >= least
+), o as (select value, count(distinct coalesce('=' || source, 'null')) as owners, count(distinct coalesce('=' || source, 'null') || '/' || coalesce('=' || lang, 'null')) as repos from s group by value
+), j as (select s.*, owners, repos, owners >= {secret_scan.COPIED_OWNERS} or repos >= {secret_scan.COPIED_REPOS} as copied from s join o using (value)
+), a as (
+  select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+    coalesce({listed} filter (where kind < {secret_scan.BASE}), '') as base, {listed} as spans, count(*) filter (where not copied) as n_live, count(*) filter (where copied) as n_copied,
+    string_agg(owners || '/' || repos, ',' order by start, kind) as holders
+  from j group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied, coalesce(holders, '') as holders
+from documents left join a using (doc_id)
+"""
+
+
+ORACLES["op1_secret_scan"] = _secrets_sql()
+
 #: A conversation whose texts look like other templates' control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
