@@ -135,3 +135,27 @@ def audit_sketch(exact: DataFrame, estimate: DataFrame) -> DataFrame:
     d = exact.join(e, F.col("k") == F.col("ek"), "full").select((F.coalesce("estimate", F.lit(0)) - F.coalesce("n", F.lit(0))).alias("d"), F.coalesce("n", F.lit(0)).alias("n"))
     over, under = F.sum(F.greatest(F.col("d"), F.lit(0))), F.sum(F.greatest(-F.col("d"), F.lit(0)))
     return d.agg(F.count(F.lit(1)).alias("keys"), over.alias("over"), under.alias("under"), F.max(F.abs("d")).alias("max_error"), F.sum("n").alias("total"))
+
+
+def projection_watermark(done: DataFrame, shards: int = 64) -> DataFrame:
+    """One row: the last day up to which, from the first on, every shard of every day is done. done: day, shard."""
+    whole = done.select("day", "shard").distinct().groupBy("day").agg((F.count(F.lit(1)) >= shards).alias("whole"))
+    order = Window.orderBy("day")  # one row a day
+    held = whole.withColumn("gap", F.coalesce(F.col("day") - F.lag("day").over(order) > 1, F.lit(False)) | ~F.col("whole"))
+    sound = held.withColumn("lost", F.max(F.col("gap").cast("int")).over(order))
+    return sound.agg(F.max(F.when(F.col("lost") == 0, F.col("day"))).alias("day"))
+
+
+def days_to_seal(seen: DataFrame, sealed: DataFrame, latest: int, most: int = 4) -> DataFrame:
+    """(day, place): the days of a sealing pass, in order: those seen up to the latest sealable day that are not sealed, most at most."""
+    open_days = seen.select("day").distinct().join(sealed.select("day"), "day", "left_anti").where(F.col("day") <= latest)
+    first = open_days.orderBy("day").limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("day")))
+
+
+def loss_account(offered: DataFrame, kept: DataFrame, by: str = "source") -> DataFrame:
+    """(by, offered, kept, lost) of a bounded queue: what came in against what came out."""
+    a = offered.groupBy(by).agg(F.count(F.lit(1)).alias("offered"))
+    b = kept.groupBy(F.col(by).alias("of")).agg(F.count(F.lit(1)).alias("kept"))
+    joined = a.join(b, F.col(by).eqNullSafe(F.col("of")), "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return joined.select(by, "offered", "kept", (F.col("offered") - F.col("kept")).alias("lost"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import analysis, catalog, state
+from ..operators import analysis, catalog, cuckoo, heat, state
 from ..sources import codecs, readers
 from .adapters import OBS, observations
 from .registry import query
@@ -241,3 +241,28 @@ def _(read):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["o_orderkey", "shared"])
 
     return read("orders").select(K(), "o_orderstatus").mapInArrow(both, "o_orderkey long, shared long")
+
+
+@query("cuckoo_new_keys", f"with {OBS} select distinct actor from obs where actor not in (select actor from obs where source = 'view' and actor % 3 <> 0)")
+def _(read):
+    o = observations(read("events"))
+    known = o.where("source = 'view' and actor % 3 <> 0")
+    return cuckoo.new_keys(o, known, "actor", cuckoo.filters(known, "actor", 8), 8).select("actor")
+
+
+@query("projection_watermark", f"""with {OBS}, d as (select day, count(distinct event_id % 16) >= 16 as whole from obs group by day), g as (select *, not whole or coalesce(day - lag(day) over (order by day) > 1, false) as gap from d)
+select max(day) as day from (select *, max(cast(gap as integer)) over (order by day) as lost from g) where lost = 0""")
+def _(read):
+    return heat.projection_watermark(observations(read("events")).select("day", (F.col("event_id") % 16).alias("shard")), 16)
+
+
+@query("days_to_seal", f"with {OBS} select day, row_number() over (order by day) as place from (select distinct day from obs where day <= 19750 and day % 5 <> 0 order by day limit 4)")
+def _(read):
+    o = observations(read("events"))
+    return heat.days_to_seal(o, o.where("day % 5 = 0").select("day").distinct(), 19750)
+
+
+@query("loss_account", f"with {OBS} select source, count(*) as offered, count(*) filter (where event_id % 10 <> 3) as kept, count(*) filter (where event_id % 10 = 3) as lost from obs group by source")
+def _(read):
+    o = observations(read("events"))
+    return heat.loss_account(o, o.where("event_id % 10 <> 3"))
