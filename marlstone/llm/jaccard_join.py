@@ -100,6 +100,10 @@ def _minhashes(s: np.ndarray) -> list[int]:
         return _finish(least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]).view(np.int64).tolist()
 
 
+#: Where a document stands: the hash of its file's path, and its row there.
+_AT = "struct<path: bigint, row: bigint>"
+
+
 class SetFiles:
     """Reads sets by their place: file, start, length."""
 
@@ -117,9 +121,9 @@ class SetFiles:
 
 
 def sign(docs: DataFrame, uri: str) -> DataFrame:
-    """(doc_id, said, n, node, file, chunk, start) of each document: said is a hash of the text; the last four are null for
-    the empty set. Each attempt of a task writes its sets to a file of its own."""
-    names, most, most_nodes = ["doc_id", "said", "n", "node", "file", "chunk", "start"], CHUNK_SHINGLES, CHUNK_NODES
+    """(doc_id, said, at, n, node, file, chunk, start) of each document (doc_id, text, at): said is a hash of the text; the last four are
+    null for the empty set. Each attempt of a task writes its sets to a file of its own."""
+    names, most, most_nodes = ["doc_id", "said", "at", "n", "node", "file", "chunk", "start"], CHUNK_SHINGLES, CHUNK_NODES
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,12 +152,12 @@ def sign(docs: DataFrame, uri: str) -> DataFrame:
                     size += len(s)
                 node.append(v), chunks.append(seen[v][0]), starts.append(seen[v][1])
             own = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None if v is None else file for v in node], pa.int64()), pa.array(chunks, pa.int32()), pa.array(starts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *own], names)
         if out is not None:
             out.close()
 
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"))
-    return held.mapInArrow(run, "doc_id long, said long, n long, node long, file long, chunk int, start long")
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("said"), "at")
+    return held.mapInArrow(run, f"doc_id long, said long, at {_AT}, n long, node long, file long, chunk int, start long")
 
 
 def _in_order(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -541,12 +545,12 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, said, n_shingles, n_links, label, component_id) of each document; label is null for one without copy or link."""
+def _grouped(docs: DataFrame, at: F.Column | None = None) -> DataFrame:
+    """(doc_id, said, at, n_shingles, n_links, label, component_id) of each document; label is null for one without copy or link."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     uri = store.new_dir(spark, "sets")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.lit(None) if at is None else at).cast(_AT).alias("at"))
     signed = store.materialise(sign(slim, uri), "nodes")
     place = F.min(F.struct("file", "chunk", "start", "n")).alias("place")
     reps = signed.where(F.col("node").isNotNull()).groupBy("node").agg(place, F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
@@ -583,7 +587,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     store.remove(spark, uri)
     out = signed.join(ids, F.col("node") == F.col("of"), "left")
     n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    return out.select("doc_id", "said", F.col("n").alias("n_shingles"), n_links, "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "said", "at", F.col("n").alias("n_shingles"), n_links, "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
@@ -609,19 +613,66 @@ def _unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _write_lists(rows: DataFrame, uri: str) -> DataFrame:
+    """Write one file for each path of rows (at): the sorted numbers of its rows; gives (path, n)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches: Iterator) -> Iterator:
+        def one(own: list[tuple]) -> Iterator:
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            fs, path = store.filesystem(f"{uri}/{own[0][0]}.rows")
+            fs.create_dir(posixpath.dirname(path), recursive=True)
+            draft = f"{path}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(draft) as out:
+                out.write(np.array([r for _, r in own], "<i8").tobytes())
+            fs.move(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([own[0][0]], pa.int64()), pa.array([len(own)], pa.int64())], ["path", "n"])
+
+        yield from by_first(batches, one)
+
+    return rows.select("at.path", "at.row").repartition(n, "path").sortWithinPartitions("path", "row").mapInArrow(write, "path long, n long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest (doc_id, hash of the text). Documents with an empty set
-    all stay; of that document's repeated rows one stays. Columns may bear any name."""
-    rows = store.materialise(_grouped(docs).where(F.col("label").isNotNull()).select("doc_id", "said", "label"), "grouped")
-    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "said")).alias("first")).withColumnRenamed("label", "l")
-    grouped = rows.join(first, F.col("label") == F.col("l"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("said").eqNullSafe(F.col("first.said"))
-    told = grouped.groupBy("doc_id", "said").agg(F.max(chosen).alias("stays"), F.count(F.lit(1)).alias("times"))
-    i, h = _unused(docs, "own_id", "own_said")
-    told = store.materialise(told.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("said").alias(h), "stays"), "told")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h))
-    kept = docs.join(told.select(i, h), same, "left_anti")
-    repeated = told.where("stays").select(i, h)
-    if repeated.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """docs with one document of each component: that with the smallest (doc_id, hash of the text), of its repeated rows one.
+    Documents with an empty set all stay. Columns may bear any name.
+
+    Rows are known by their file and their number in it, so the rows that go are listed by file, and every task that reads a part of
+    docs looks its file's list up: no text is shuffled. A table that is not read from files is written first.
+    """
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = store.materialise(docs, "docs")
+    meta = docs.metadataColumn("_metadata")
+    at = F.struct(F.xxhash64(meta["file_path"]).alias("path"), meta["row_index"].alias("row"))
+    rows = store.materialise(_grouped(docs, at).where(F.col("label").isNotNull()).select("doc_id", "said", "at", "label"), "grouped")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "said", "at")).alias("first")).withColumnRenamed("label", "l")
+    gone = rows.join(first, F.col("label") == F.col("l")).where(F.col("at") != F.col("first.at"))
+    uri = store.new_dir(spark, "gone")
+    store.drop(store.materialise(_write_lists(gone, uri), "gone-lists"), rows)
+    names, (p, r) = docs.columns, _unused(docs, "own_path", "own_row")
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        path, lost = None, np.zeros(0, "<i8")
+        for batch in batches:
+            own, number = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy()
+            ok = np.ones(len(own), bool)
+            for x in np.unique(own).tolist():
+                if x != path:
+                    fs, name = store.filesystem(f"{uri}/{x}.rows")
+                    path, lost = x, np.zeros(0, "<i8")
+                    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                        with fs.open_input_file(name) as f:
+                            lost = np.frombuffer(f.read(), "<i8")
+                if len(lost):
+                    k = np.minimum(np.searchsorted(lost, number), len(lost) - 1)
+                    ok &= (own != x) | (lost[k] != number)
+            yield batch.select(list(range(len(names)))).filter(pa.array(ok))
+
+    placed = docs.select("*", at["path"].alias(p), at["row"].alias(r))
+    return placed.mapInArrow(keep, docs.schema)

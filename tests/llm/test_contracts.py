@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("marlstone.llm")
 
@@ -389,6 +390,17 @@ def test_equal_empty_rows_stay_and_names_may_clash(spark):
     assert none.columns == docs.columns and none.count() == 0
 
 
+def test_rows_that_go_are_told_by_their_file(spark, tmp_path):
+    """Several files with the same rows in each; of all copies one row stays, wherever it is."""
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "", "z"), (4, "other words that stand for themselves", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    for k in range(3):
+        df.withColumn("doc_id", F.col("doc_id") + 10 * (2 - k)).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    kept = jaccard_join.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+    assert kept.columns == df.columns
+    same(map(tuple, kept.collect()), [(1, "a b c d e f g", "x"), (3, "", "z"), (13, "", "z"), (23, "", "z"), (4, rows[3][1], "w")])
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark)
     kept = jaccard_join.keep_one(docs)
