@@ -10,6 +10,9 @@ chunk's n-grams from it. So look-ups are shuffled to the part that owns the key,
   successors made monotone by their context's rank (Elias-Fano), and each one's smoothed probability as one byte, quantised in
   the logarithm.
 
+An n-gram that holds a shorter one of which the whole corpus has a single occurrence, in a training text, is known to occur once
+without being sent, so it is neither sent nor stored: levels above the first hold n-grams whose parts occur twice or more.
+
 Levels are memory-mapped where the shared folder is a mounted one. A query finds the context's rank, takes the pointers'
 range and searches the successor in it. Probabilities are Dirichlet-smoothed from order to order:
 p(w | h) = (c(h, w) + MASS * p(w | shorter h)) / (c(h) + MASS), the shorter one as quantised in its level, and at the bottom
@@ -248,38 +251,60 @@ class Chunk:
         self.grams[k] = _mix(hashes[self.context[k]], self.words[self.word[k]])
         self.hashes = hashes
 
-    def counts(self, k: int) -> np.ndarray:
-        return np.bincount(self.of[k], weights=self.train, minlength=len(self.grams[k])).astype(np.int64)
-
-    def dealt(self, k: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order in which order k's n-grams are sent, what tells them, bounds of the parts)."""
-        value = self.words if k == 1 else _value(self.hashes[self.context[k]], self.words[self.word[k]])
-        part = (_finish(self.grams[k]) % np.uint64(parts)).astype(np.int64)
+    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each n-gram is in training texts, and in others."""
+        n = len(self.grams[k])
+        train = np.bincount(self.of[k], weights=self.train, minlength=n).astype(np.int64)
+        return train, np.bincount(self.of[k], minlength=n) - train
+
+    def lower(self, k: int) -> np.ndarray:
+        """The next shorter n-gram that ends with the same word, of each n-gram of order k: any token that ends one ends the other."""
+        first = np.zeros(len(self.grams[k]), np.int64)
+        first[self.of[k]] = self.of[k - 1]
+        return first
+
+    def dealt(self, k: int, parts: int, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which n-grams of order k are sent, in order; what tells them; bounds of the parts)."""
+        i = np.flatnonzero(sent)
+        value = self.words[i] if k == 1 else _value(self.hashes[self.context[k][i]], self.words[self.word[k][i]])
+        part = (_finish(self.grams[k][i]) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((value, part))
-        return order, value[order], np.searchsorted(part[order], np.arange(parts + 1))
+        return i[order], value[order], np.searchsorted(part[order], np.arange(parts + 1))
 
 
 class Scores:
-    """What a chunk knows of its n-grams from the answers of the levels so far: counts, and probabilities as codes or exact."""
+    """What a chunk knows of its n-grams from the answers of the levels so far: counts, probabilities, and which are alone, that
+    is, have one occurrence in all, and that in a training text."""
 
     def __init__(self, chunk: Chunk, answers: list[tuple], parts: int, totals: tuple[int, int, int]):
         """answers: (order, found, code) in order of parts."""
         self.chunk, (total, vocabulary, self.texts) = chunk, totals
-        self.count, self.p = {}, {}
-        for k in sorted({a[0] for a in answers}):
+        self.count, self.p, self.alone = {}, {}, {}
+        for k in range(1, max([a[0] for a in answers], default=0) + 1):
             chunk.order(k)
-            order, _, _ = chunk.dealt(k, parts)
+            sent = self.sent(k)
+            order, _, _ = chunk.dealt(k, parts, sent)
             own = [a for a in answers if a[0] == k]
-            count = np.zeros(len(order), np.int64)
-            count[order] = np.concatenate([unplanes(a[1]) for a in own]) if own else 0
-            self.count[k] = count
+            # What was not sent occurs once.
+            count, alone = (~sent).astype(np.int64), ~sent
+            found = np.concatenate([unplanes(a[1]) for a in own]).astype(np.int64) if own else np.zeros(0, np.int64)
+            count[order], alone[order] = found >> 1, (found & 1).astype(bool)
+            self.count[k], self.alone[k] = count, alone
             if k == 1:
                 self.p[1] = (count + 1) / (total + vocabulary + 1)
                 continue
-            code = np.zeros(len(order), np.uint8)
-            code[order] = np.concatenate([unplanes(a[2]) for a in own])
-            context, below = self.context(k), self.below(k)
-            self.p[k] = np.where(count > 0, _decode(code), MASS * below / (context + MASS))
+            code = np.zeros(len(sent), np.uint8)
+            code[order] = np.concatenate([unplanes(a[2]) for a in own]) if own else 0
+            seen = (np.where(sent, 0, count) + MASS * self.below(k)) / (self.context(k) + MASS)
+            self.p[k] = np.where(sent & (count > 0), _decode(code), seen)
+
+    def sent(self, k: int) -> np.ndarray:
+        """Which n-grams of order k are sent: those of which no shorter part is alone."""
+        if k == 1:
+            return np.ones(len(self.chunk.words), bool)
+        alone = self.alone[k - 1]
+        context = np.append(alone, False)[self.chunk.context[k]] if k > 2 else alone[self.chunk.context[k]]
+        return ~(context | alone[self.chunk.lower(k)])
 
     def context(self, k: int) -> np.ndarray:
         """How often the context of each n-gram of order k was seen."""
@@ -293,9 +318,7 @@ class Scores:
 
     def below(self, k: int) -> np.ndarray:
         """The probability of the last word of each n-gram of order k in the next shorter context, as far as levels hold it."""
-        first = np.zeros(len(self.chunk.grams[k]), np.int64)
-        first[self.chunk.of[k]] = self.chunk.of[k - 1]  # any token that ends it ends the shorter one too
-        return self.p[k - 1][first]
+        return self.p[k - 1][self.chunk.lower(k)]
 
 
 def _chunks(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
@@ -308,8 +331,8 @@ def _chunks(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
 
 
 def send(chunks: DataFrame, answers: list[DataFrame], k: int, uri: str, parts: int, totals: tuple[int, int, int]) -> DataFrame:
-    """(part, key, value, times, context, below): each chunk's distinct n-grams of order k by part, with training counts, counts of
-    their contexts and the codes of their shorter probabilities."""
+    """(part, key, value, times, others, context, below): each chunk's distinct n-grams of order k by part, with counts in training and
+    other texts, counts of their contexts and the codes of their shorter probabilities."""
 
     def one(rows: list[tuple]) -> Iterator:
         import pyarrow as pa
@@ -318,18 +341,18 @@ def send(chunks: DataFrame, answers: list[DataFrame], k: int, uri: str, parts: i
         chunk = Chunk(uri, key, own)
         scores = Scores(chunk, [(r[1], r[3], r[4]) for r in rows[1:]], parts, totals)
         chunk.order(k)
-        order, value, cuts = chunk.dealt(k, parts)
-        columns = [chunk.counts(k)[order]]
+        order, value, cuts = chunk.dealt(k, parts, scores.sent(k))
+        columns = [c[order] for c in chunk.counts(k)]
         if k > 1:
             columns += [scores.context(k)[order], _code(scores.below(k))[order]]
         some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
         cut = lambda x, f: [f(x[cuts[p] : cuts[p + 1]]) for p in some]
         made = [cut(value, squeeze), *(cut(c.astype(np.uint64), planes) for c in columns)]
-        made += [[None] * len(some)] * (4 - len(made))
+        made += [[None] * len(some)] * (5 - len(made))
         kind = pa.struct([("file", pa.int64()), ("start", pa.int64())])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key] * len(some), kind), *(pa.array(m, pa.binary()) for m in made)], ["part", "key", "value", "times", "context", "below"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key] * len(some), kind), *(pa.array(m, pa.binary()) for m in made)], ["part", "key", "value", "times", "others", "context", "below"])
 
-    return _chunks(chunks, answers).mapInArrow(lambda batches: by_first(batches, one), f"part int, key {_KEY}, value binary, times binary, context binary, below binary")
+    return _chunks(chunks, answers).mapInArrow(lambda batches: by_first(batches, one), f"part int, key {_KEY}, value binary, times binary, others binary, context binary, below binary")
 
 
 class Level:
@@ -403,22 +426,23 @@ def answer(sent: DataFrame, k: int, uri: str) -> DataFrame:
 
         part = rows[0][0]
         each = [unsqueeze(r[2]) for r in rows]
-        times = np.concatenate([unplanes(r[3]) for r in rows]).astype(np.int64)
+        times, others = (np.concatenate([unplanes(r[c]) for r in rows]).astype(np.int64) for c in (3, 4))
         value, first, of = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
         total = np.bincount(of, weights=times, minlength=len(value)).astype(np.int64)
+        alone = (total == 1) & (np.bincount(of, weights=others, minlength=len(value)) == 0)
         seen, ends = total > 0, 0
         if k == 1:
             told, ends = total[seen], int(total[value == _END].sum())
         else:
-            context, below = (np.concatenate([unplanes(r[c]) for r in rows])[first] for c in (4, 5))
+            context, below = (np.concatenate([unplanes(r[c]) for r in rows])[first] for c in (5, 6))
             told = _code((total + MASS * _decode(below)) / (context.astype(np.float64) + MASS))[seen]
         _write_level(uri, k, part, value[seen], told)
-        level, total = Level(uri, k, part), total[seen]
+        level, total, told = Level(uri, k, part), total[seen], (total[seen] << 1) | alone[seen]
         found, code = [], []
         for x in each:
             i = level.find(x)
             at = np.maximum(i, 0)
-            found.append(planes(np.where(i >= 0, (level.counts if k == 1 else total)[at], 0).astype(np.uint64) if len(total) else np.zeros(len(x), np.uint64)))
+            found.append(planes(np.where(i >= 0, told[at], 0).astype(np.uint64) if len(total) else np.zeros(len(x), np.uint64)))
             code.append(None if k == 1 else planes(np.where(i >= 0, level.codes[at], 0).astype(np.uint64) if len(total) else np.zeros(len(x), np.uint64)))
         n, kind = len(rows), pa.struct([("file", pa.int64()), ("start", pa.int64())])
         own = [None] * n
