@@ -37,7 +37,7 @@ from .words import _finish, windows, word_hashes, words
 WORDS = 5
 MINHASHES = 6
 #: What one task holds at a time. These bound memory; none bounds what is found.
-CHUNK_SHINGLES, CHUNK_NODES, PART_SHINGLES = 2_000_000, 20_000, 4_000_000
+CHUNK_SHINGLES, CHUNK_NODES, PART_SHINGLES = 1_000_000, 20_000, 4_000_000
 CELL_NODES, CELL_SHINGLES, LIST_NODES = 1024, 4_000_000, 4096
 _BLOCK = 64
 _KEY_BITS = 48

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Pieces kept per worker in each of two generations. Bounds memory, not results.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Marks that may end a word; the pre-tokenizer parts them from its letters.
 _MARKS = frozenset(".,!?;:")
 #: Below this code point all versions of Unicode since 7.0 have the same letters.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Word hashes kept per worker; beyond it the cache is emptied. Bounds memory, not results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def words(text: str | None) -> list[bytes]:
