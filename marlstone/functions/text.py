@@ -88,11 +88,15 @@ def fix_encoding(raw: Column) -> Column:
     return F.when(valid, F.trim(said)).otherwise(F.trim(F.pandas_udf(gbk, "string")(F.when(~valid, raw))))
 
 
-def human_size(c: Column) -> Column:
-    """Units of 1024 with one decimal; bytes without."""
-    step = lambda k, unit: F.concat(F.format_string("%.1f", F.round(c / float(1024**k), 1)), F.lit(f" {unit}"))
+def human_size(c: Column, largest: str = "TB") -> Column:
+    """Units of 1024 up to the largest, with one decimal; bytes without."""
+    units = ["KB", "MB", "GB", "TB"]
+    units = units[: units.index(largest) + 1]
+    step = lambda k: F.concat(F.format_string("%.1f", F.round(c / float(1024**k), 1)), F.lit(f" {units[k - 1]}"))
     chain = F.when(c.isNull() | (c <= 0), "0 B").when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-    return chain.when(c < 1024**2, step(1, "KB")).when(c < 1024**3, step(2, "MB")).when(c < 1024**4, step(3, "GB")).otherwise(step(4, "TB"))
+    for k in range(1, len(units)):
+        chain = chain.when(c < 1024 ** (k + 1), step(k))
+    return chain.otherwise(step(len(units)))
 
 
 def relative_time(seconds: Column) -> Column:

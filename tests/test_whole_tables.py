@@ -92,3 +92,16 @@ def test_all_labels_are_judgements(spark):
     sql = f"""with h as (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from '{SF}/documents.parquet')
     select lang, count(*) filter (where rank <= 20) / count(*) from h join '{SF}/labels.parquet' using (doc_id) group by lang"""
     assert got == pytest.approx(dict(duckdb.sql(sql).fetchall()), abs=1e-7)
+
+
+def test_sizes_beyond_a_terabyte(spark, tmp_path):
+    """Keys of larger tables: the query ends at GB as its SQL does, the function goes on to TB."""
+    keys = [0, 1, 12, 13, 12_239, 396_324, 396_325, 899_999, 8_999_999]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    want = dict(con.execute(registry.ORACLES["str_human_size"]).fetchall())
+    got = {r.o_orderkey: r["size"] for r in registry.QUERIES["str_human_size"](spark, str(tmp_path)).collect()}
+    assert got == want and got[396_325] == "1024.0 GB"
+    sizes = spark.createDataFrame([(1024**4 - 1,), (1024**4,), (1024**5,)], "n long").select(text.human_size(F.col("n")).alias("size"))
+    assert [r["size"] for r in sizes.collect()] == ["1024.0 GB", "1.0 TB", "1024.0 TB"]
