@@ -9,7 +9,8 @@
    matrices for a block of members), so a cluster yields counts and a spanning forest and never its pairs.
 4. Lists: prefix filtering over nodes of different clusters. In any total order of shingles, sets with Jaccard >= 3/4
    share one of their first n - ceil(3n/4) + 1 shingles. Index lists are cut to blocks by size and position, and a block
-   whose bound on the overlap is too small is skipped whole. Lists of very common shingles are split into cells.
+   whose bound on the overlap is too small is skipped whole. Lists of very common shingles are split into cells. A pair is
+   compared in one list only, that of the least shingle its prefixes share, so lists too yield counts and forests and never pairs.
 5. Links are contracted to components.
 
 Shingles are counted by the first 48 bits of their hashes: equal ones count too often at worst, which weakens the pruning
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ WORDS = 5
 MINHASHES = 6
 #: What one task holds at a time. These bound memory; none bounds what is found.
 CHUNK_SHINGLES, CHUNK_NODES, PART_SHINGLES = 1_000_000, 20_000, 4_000_000
-CELL_NODES, CELL_SHINGLES, LIST_NODES = 1024, 4_000_000, 4096
+CELL_NODES, CELL_SHINGLES, LIST_NODES, PAIR_SHINGLES = 1024, 4_000_000, 4096, 2_000_000
 _BLOCK = 64
 _KEY_BITS = 48
 
@@ -226,11 +227,13 @@ _ENTRY = np.dtype([("t", "<u8"), ("p", "<u4"), ("c", "u1")])
 
 def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFrame:
     """Nodes that can link: node, file, start, n, copies, mins, central (share of shared shingles, and how common they
-    are), entries (shared shingles of the prefix in order of rarity, with places and counts)."""
-    fields = "node long, file long, start long, n long, copies long, mins array<long>, central double, entries binary"
+    are), entries (shared shingles of the prefix in order of rarity, with places and counts), and the place of the node's record: file,
+    start and shingles. A record is the place of the set and then the entries' shingles in order; each attempt of a task
+    writes its records to a file of its own."""
+    fields = "node long, file long, start long, n long, copies long, mins array<long>, central double, entries binary, record_file long, record_start long, record_n long"
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def pick(rows: list[tuple], read: SetFiles) -> Iterator:
+    def pick(rows: list[tuple], read: SetFiles, write: Callable[[np.ndarray], int], own_file: int) -> Iterator:
         """rows of one chunk: (chunk, file, part, block, held), the chunk's own first."""
         import pyarrow as pa
         import zstandard
@@ -251,15 +254,32 @@ def alive(chunks: DataFrame, counts: DataFrame, uri: str, parts: int) -> DataFra
             first = np.lexsort((s, c))[: n - -(-3 * n // 4) + 1]
             e = np.empty(len(first), _ENTRY)
             e["t"], e["p"], e["c"] = s[first], np.arange(len(first)), c[first]
+            e = e[e["c"] > 1]
             central = float(shared[k] / n + 1e-4 * np.log(c).mean())
-            out.append((x["node"], file, x["start"], n, x["copies"], _minhashes(s), central, e[e["c"] > 1].tobytes()))
+            record = write(np.concatenate([np.array([file, x["start"]], "<u8"), np.sort(e["t"])]))
+            out.append((x["node"], file, x["start"], n, x["copies"], _minhashes(s), central, e.tobytes(), own_file, record, len(e)))
         if out:
-            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.float64(), pa.binary())
+            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.float64(), pa.binary()) + (pa.int64(),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator) -> Iterator:
-        read = SetFiles(uri)
-        yield from by_first(batches, lambda rows: pick(rows, read))
+        from pyspark import TaskContext
+
+        read, own_file, out, at = SetFiles(uri), TaskContext.get().taskAttemptId(), None, 0
+
+        def write(record: np.ndarray) -> int:
+            nonlocal out, at
+            if out is None:
+                fs, path = store.filesystem(f"{uri}/{own_file}.sets")
+                fs.create_dir(posixpath.dirname(path), recursive=True)
+                out = fs.open_output_stream(path)
+            out.write(record.tobytes())
+            at += len(record)
+            return at - len(record)
+
+        yield from by_first(batches, lambda rows: pick(rows, read, write, own_file))
+        if out is not None:
+            out.close()
 
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct("file", "chunk").alias("key")
@@ -370,10 +390,12 @@ def within_clusters(live: DataFrame, labels: DataFrame, uri: str) -> DataFrame:
     return dealt.mapInArrow(run, "node long, others long, root long")
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of one index list that may link: by blocks of the list in order of size and position."""
+def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of one index list that may link, of different groups and, where a list has two sides, of different sides: by blocks of
+    the list in order of size and position."""
     order = np.lexsort((pos, n))
-    n, pos, group = n[order], pos[order], group[order]
+    n, pos, group, side = n[order], pos[order], group[order], side[order]
+    two = len(side) > 0 and side.min() != side.max()
     starts = np.arange(0, len(n), _BLOCK)
     low_n, high_n = n[starts], np.maximum.reduceat(n, starts)
     most_left = np.maximum.reduceat(n - pos, starts)
@@ -386,21 +408,52 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tu
         for b in blocks[reach]:
             j = np.arange(max(i + 1, b * _BLOCK), min((b + 1) * _BLOCK, len(n)))
             j = j[(n[j] <= top) & (group[j] != group[i])]
+            if two:
+                j = j[side[j] != side[i]]
             j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= least_overlap(n[i], n[j])]
             if len(j):
                 yield np.full(len(j), order[i]), order[j]
 
 
-#: An index entry: shingle, place in the prefix, and of the node its set's size and place, copies, id and cluster.
-_POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("n", "<u4"), ("copies", "<i8"), ("file", "<i8"), ("start", "<i8"), ("node", "<i8"), ("label", "<i8")])
+#: An index entry: shingle, place in the prefix, and of the node its set's size, copies, record, id and cluster.
+_POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("n", "<u4"), ("copies", "<i8"), ("record_file", "<i8"), ("record_start", "<i8"), ("record_n", "<u4"), ("node", "<i8"), ("label", "<i8")])
 
 
-def _links_of(e: np.ndarray, read: SetFiles) -> Iterator:
-    """Record batches of the links that the index lists in e make: a, b, copies_a, copies_b. Lists of one cluster make none.
-    Sets are read and compared here, so a pair that does not link goes no further."""
+def common(x: np.ndarray, y: np.ndarray, sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(how many shingles the sets of each pair share, the least of these). Sets are sorted and not empty; pairs are in order of x."""
+    many, least = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
+    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        probe, each = sets[int(x[a])], [sets[k] for k in y[a:b].tolist()]
+        every = np.concatenate(each)
+        starts = np.cumsum([0] + [len(s) for s in each[:-1]])
+        hit = probe[np.minimum(np.searchsorted(probe, every), len(probe) - 1)] == every
+        many[a:b] = np.add.reduceat(hit.astype(np.int64), starts)
+        least[a:b] = np.minimum.reduceat(np.where(hit, every, np.uint64((1 << 64) - 1)), starts)
+    return many, least
+
+
+def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root, the least member of each one's component, after the links (x, y)."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _links_of(e: np.ndarray, read: SetFiles, side: np.ndarray | None = None) -> Iterator:
+    """One record batch, node, others, root as within_clusters has them, of the links that the index lists in e make. Lists of one cluster make
+    none. A pair belongs to the list of the least shingle that both prefixes hold, and is left to it by all others: so its link
+    is counted once, in whichever task that list is."""
     import pyarrow as pa
 
-    e = e[np.argsort(e["t"], kind="stable")]
+    order = np.argsort(e["t"], kind="stable")
+    e, side = e[order], np.zeros(len(e), np.int64) if side is None else side[order]
     if not len(e):
         return
     cuts = np.flatnonzero(np.concatenate([[True], e["t"][1:] != e["t"][:-1]]))
@@ -409,33 +462,41 @@ def _links_of(e: np.ndarray, read: SetFiles) -> Iterator:
     # One entry for each node, in order of id: pairs are pairs of these.
     _, first, of = np.unique(e["node"], return_index=True, return_inverse=True)
     own = e[first]
-
-    def out(a, b):
-        x, y = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.minimum(x, y) * len(own) + np.maximum(x, y))
-        x, y = both // len(own), both % len(own)
-        ok, at, probe = np.zeros(len(x), bool), -1, None
-        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-            if i != at:
-                at, probe = i, read(int(own["file"][i]), int(own["start"][i]), int(own["n"][i]))
-            s = read(int(own["file"][j]), int(own["start"][j]), int(own["n"][j]))
-            ok[k] = linked(len(np.intersect1d(probe, s, True)), len(probe), len(s))
-        x, y = own[x[ok]], own[y[ok]]
-        columns = x["node"], y["node"], x["copies"], y["copies"]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["a", "b", "copies_a", "copies_b"])
-
-    a, b, size = [], [], 0
+    others, root = np.zeros(len(own), np.int64), np.arange(len(own))
+
+    def link(a, b, t):
+        nonlocal root
+        x, y, t = np.concatenate(a), np.concatenate(b), np.concatenate(t)
+        by = np.argsort(x, kind="stable")
+        x, y, t = x[by], y[by], t[by]
+        records = {k: read(int(own["record_file"][k]), int(own["record_start"][k]), 2 + int(own["record_n"][k])) for k in np.unique([x, y]).tolist()}
+        here = common(x, y, {k: r[2:] for k, r in records.items()})[1] == t
+        x, y = x[here], y[here]
+        sets = {k: read(int(records[k][0]), int(records[k][1]), int(own["n"][k])) for k in np.unique([x, y]).tolist()}
+        ok = linked(common(x, y, sets)[0], own["n"][x].astype(np.int64), own["n"][y].astype(np.int64))
+        x, y = x[ok], y[ok]
+        np.add.at(others, x, own["copies"][y])
+        np.add.at(others, y, own["copies"][x])
+        root = _join(root, x, y)
+
+    a, b, t, size = [], [], [], 0
     for x, y in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
         l = e[x:y]
-        for i, j in list_pairs(l["n"].astype(np.int64), l["p"].astype(np.int64), l["label"]):
+        n = l["n"].astype(np.int64)
+        for i, j in list_pairs(n, l["p"].astype(np.int64), l["label"], side[x:y]):
             a.append(of[x:y][i])
             b.append(of[x:y][j])
-            size += len(i)
-            if size > 500_000:
-                yield out(a, b)
-                a, b, size = [], [], 0
+            t.append(l["t"][j])
+            size += int(n[i[0]] + n[j].sum())
+            if size > PAIR_SHINGLES:
+                link(a, b, t)
+                a, b, t, size = [], [], [], 0
     if a:
-        yield out(a, b)
+        link(a, b, t)
+    some = np.flatnonzero(others)
+    if len(some):
+        node = np.ascontiguousarray(own["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(others[some]), pa.array(node[root[some]])], ["node", "others", "root"])
 
 
 def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
@@ -482,9 +543,10 @@ def postings(live: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
 
 
 def across_clusters(packed: DataFrame, uri: str) -> DataFrame:
-    """The links (a, b, copies_a, copies_b) of nodes of different clusters; packed is written."""
+    """(node, others, root) as within_clusters has them, of the links between clusters; packed is written. Parts of a node's count are to
+    be added up."""
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = "a long, b long, copies_a long, copies_b long"
+    fields = "node long, others long, root long"
 
     def opened(raw: bytes) -> np.ndarray:
         import zstandard
@@ -500,10 +562,12 @@ def across_clusters(packed: DataFrame, uri: str) -> DataFrame:
         yield from _links_of(np.concatenate([opened(x[1]) for x in rows]), read)
 
     def of_cell(rows: list[tuple], read: SetFiles) -> Iterator:
-        e = np.zeros(len(rows), _POSTING)
-        for f, column in zip(_POSTING.names[1:], list(zip(*rows))[1:]):
+        cell, e = rows[0][0], np.zeros(len(rows), _POSTING)
+        e["t"] = np.int64(cell["t"]).view(np.uint64)
+        _, *columns, side = zip(*rows)
+        for f, column in zip(_POSTING.names[1:], columns):
             e[f] = column
-        yield from _links_of(e, read)
+        yield from _links_of(e, read, np.array(side))  # two blocks meet here, and the pairs of each in its own cell
 
     def by(of):
         def run(batches: Iterator) -> Iterator:
@@ -520,8 +584,8 @@ def across_clusters(packed: DataFrame, uri: str) -> DataFrame:
     dealt = hot.join(mixed, F.col("t") == F.col("of")).withColumn("x", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.struct("t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("cell")
-    dealt = dealt.select(cell, *_POSTING.names[1:]).repartition(n, "cell").sortWithinPartitions("cell")
-    return made.unionByName(dealt.mapInArrow(by(of_cell), fields)).distinct()
+    dealt = dealt.select(cell, *_POSTING.names[1:], "x").repartition(n, "cell").sortWithinPartitions("cell")
+    return made.unionByName(dealt.mapInArrow(by(of_cell), fields))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -573,10 +637,9 @@ def _grouped(docs: DataFrame, at: F.Column | None = None) -> DataFrame:
     store.drop(labels, packed)
 
     # Components and counts. Only nodes with copies or links are told apart from the rest.
-    joined = near.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(far.select("a", "b"))
-    groups = components(joined)
-    counted = near.select("node", "others").unionByName(far.select(F.col("a").alias("node"), F.col("copies_b").alias("others")))
-    counted = counted.unionByName(far.select(F.col("b").alias("node"), F.col("copies_a").alias("others"))).groupBy("node").agg(F.sum("others").alias("others"))
+    found = near.unionByName(far)
+    groups = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    counted = found.groupBy("node").agg(F.sum("others").alias("others"))
     g, c = groups.withColumnRenamed("node", "g"), counted.withColumnRenamed("node", "c")
     some = reps.join(g, F.col("node") == F.col("g"), "left").where("copies > 1 or g is not null").join(c, F.col("node") == F.col("c"), "left")
     some = store.materialise(some.select("node", "doc_id", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "grouped-nodes")

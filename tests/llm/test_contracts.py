@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("marlstone.llm")
 
 from marlstone.llm import (  # noqa: E402
-    chat_format, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, queries, secret_scan, token_ids, token_store, warc,
+    chat_format, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, queries, secret_scan, store, token_ids, token_store, warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -380,6 +380,52 @@ def test_large_groups_and_a_common_passage(spark, monkeypatch, small):
     assert got == {i: (len(s), top(i), links[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_links_between_clusters_make_no_row_a_pair(spark, monkeypatch, small):
+    """Every node its own cluster, so that all links are found in lists: the rows follow the nodes, and no link is lost or counted twice."""
+    if small:
+        monkeypatch.setattr(jaccard_join, "LIST_NODES", 16)
+    rng, rows = np.random.default_rng(11), []
+    base = [f"x{i}" for i in range(300)]
+    made = [near(rng, base, i % 7) for i in range(300)]
+    docs = [(i, t) for i, t in enumerate(made + made[:40] + [f"alone{i} a b c d e" for i in range(20)])]
+    spread = lambda f: lambda *a: rows.append(store.materialise(f(*a), "counted")) or rows[-1]
+    monkeypatch.setattr(jaccard_join, "clusters", lambda live: store.materialise(live.select("node", F.col("node").alias("label")), "clusters"))
+    monkeypatch.setattr(jaccard_join, "across_clusters", spread(jaccard_join.across_clusters))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.group_documents(df).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in docs]
+    linked = [[4 * len(a & b) >= 3 * len(a | b) for b in sets] for a in sets]
+    group = {d: c for d, _, c in components(docs)}
+    assert got == {i: (group[i], sum(x) - 1) for i, x in enumerate(linked)}
+    pairs = sum(map(sum, linked)) // 2
+    assert pairs > 20_000 and (small or rows[0].count() < pairs // 10)
+
+
+def test_lists_in_many_steps_find_each_link_once(monkeypatch):
+    """The links of lists are the same however many pairs are held at a time; blocks of a split list meet across only."""
+    rng = np.random.default_rng(2)
+    common = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(common, 38, replace=False), rng.integers(0, 1 << 63, k % 8).astype(np.uint64)])) for k in range(60)]
+    entries, files = [], {}
+    for k, s in enumerate(sets):
+        prefix = s[: len(s) - -(-3 * len(s) // 4) + 1]  # any order common to all will do
+        files[0, 1000 * k] = s
+        files[1, 1000 * k] = np.concatenate([np.array([0, 1000 * k], np.uint64), prefix])
+        entries += [(t, p, len(s), 1 + k % 3, 1, 1000 * k, len(prefix), k, k) for p, t in enumerate(prefix)]
+    e = np.array(entries, jaccard_join._POSTING)
+    read = lambda file, start, n: files[file, start][:n]
+    want = [[i != j and jaccard_join.linked(len(np.intersect1d(a, b)), len(a), len(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    total = lambda who: {i: n for i in range(60) if (n := sum(1 + j % 3 for j in who(i) if want[i][j]))}
+    for held in (1, 3000, 10_000_000):
+        monkeypatch.setattr(jaccard_join, "PAIR_SHINGLES", held)
+        (out,) = jaccard_join._links_of(e, read)
+        assert dict(zip(out["node"].to_pylist(), out["others"].to_pylist())) == total(lambda i: range(60))
+        (out,) = jaccard_join._links_of(e, read, e["node"] % 2)
+        assert dict(zip(out["node"].to_pylist(), out["others"].to_pylist())) == total(lambda i: range(1 - i % 2, 60, 2))
+    assert set(out["root"].to_pylist()) == {0}
+
+
 def test_equal_empty_rows_stay_and_names_may_clash(spark):
     rows = [(1, "", "a", "x"), (1, "", "a", "x"), (2, None, "b", "y"), (3, "a b c d e f", "c", "z"), (3, "a b c d e f", "c", "z"), (4, "a b c d e f", "d", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, own_id string, label string")
