@@ -39,7 +39,7 @@ WORDS = 5
 MINHASHES = 6
 #: What one task holds at a time. These bound memory; none bounds what is found.
 CHUNK_SHINGLES, CHUNK_NODES, PART_SHINGLES = 1_000_000, 20_000, 4_000_000
-CELL_NODES, CELL_SHINGLES, LIST_NODES, PAIR_SHINGLES = 1024, 4_000_000, 4096, 2_000_000
+CELL_NODES, CELL_SHINGLES, LIST_NODES, PAIR_SHINGLES, COUNT_KEYS = 1024, 4_000_000, 4096, 2_000_000, 500_000
 _BLOCK = 64
 _KEY_BITS = 48
 
@@ -199,6 +199,24 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, 128 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
+def times_of(each: list[np.ndarray]) -> list[np.ndarray]:
+    """In how many of all these ascending keys each one is, as classes: by ranges of keys, so that few are sorted at a time."""
+    out = [np.empty(len(x), np.uint8) for x in each]
+    low, high = min(int(x[0]) for x in each), max(int(x[-1]) for x in each)
+    steps = -(-sum(map(len, each)) // COUNT_KEYS)
+    edges = np.array([low + (high - low) * k // steps for k in range(1, steps)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in each]
+    for k in range(steps):
+        some = np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(each, cuts)])
+        _, inverse, times = np.unique(some, return_inverse=True, return_counts=True)
+        found, at = _classes(times)[inverse], 0
+        for x, c in zip(out, cuts):
+            n = int(c[k + 1] - c[k])
+            x[c[k] : c[k + 1]] = found[at : at + n]
+            at += n
+    return out
+
+
 def shingle_counts(keys: DataFrame) -> DataFrame:
     """(file, chunk, part, block): in how many sets each key of shingle_keys is, in the same order, as a byte."""
 
@@ -206,14 +224,8 @@ def shingle_counts(keys: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        each = [unsqueeze(x[3]) for x in rows]
-        every = np.concatenate(each)
-        _, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
-        found, at, blocks = _classes(times)[inverse], 0, []
         small = zstandard.ZstdCompressor(level=1)
-        for x in each:
-            blocks.append(small.compress(found[at : at + len(x)].tobytes()))
-            at += len(x)
+        blocks = [small.compress(x.tobytes()) for x in times_of([unsqueeze(x[3]) for x in rows])]
         part, file, chunk, _ = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], ["file", "chunk", "part", "block"])
 

@@ -4,42 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Word hashes kept per worker; beyond it the cache is emptied. Bounds memory, not results.
-CACHE_WORDS = 300_000
-
-
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, as UTF-8: bytes.lower and bytes.split treat just these."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHashes:
-    """64-bit hashes of words, cached per worker."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        try:
-            return np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-        except KeyError:
-            digest = xxhash.xxh64_intdigest
-            for w in ws:
-                if w not in cache:
-                    cache[w] = digest(w)
-            return np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-
-
-_shared = WordHashes()
-
-
 def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return _shared(ws)
+    """64-bit hashes of words. A word is hashed in less time than it is found in a table of words."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
 
 
 def _finish(x: np.ndarray) -> np.ndarray:

@@ -402,6 +402,19 @@ def test_links_between_clusters_make_no_row_a_pair(spark, monkeypatch, small):
     assert pairs > 20_000 and (small or rows[0].count() < pairs // 10)
 
 
+def test_keys_are_counted_by_ranges(monkeypatch):
+    rng = np.random.default_rng(6)
+    each = [np.sort(rng.integers(0, top, n).astype(np.uint64)) for n, top in ((1, 5), (400, 90), (3000, 1 << 48), (700, 300))] + [np.full(500, 7, np.uint64)]
+    each[2][:200] = each[1][:200]
+    each[2].sort()
+    times = Counter(np.concatenate(each).tolist())
+    for held in (1, 100, 1_000_000):
+        monkeypatch.setattr(jaccard_join, "COUNT_KEYS", held)
+        for x, got in zip(each, jaccard_join.times_of(each), strict=True):
+            assert got.tolist() == jaccard_join._classes(np.array([times[k] for k in x.tolist()])).tolist()
+    assert [len(x) for x in jaccard_join.times_of(each[:1])] == [1]
+
+
 def test_lists_in_many_steps_find_each_link_once(monkeypatch):
     """The links of lists are the same however many pairs are held at a time; blocks of a split list meet across only."""
     rng = np.random.default_rng(2)
