@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         enc, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pylist())):
                 ids += tail
                 n = len(ids) // 4
                 first = n % capacity or min(n, capacity)

@@ -154,7 +154,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, uri: str, end: int = END,
                 fs.create_dir(posixpath.dirname(path), recursive=True)
                 out = fs.open_output_stream(path)
             starts, sizes, sums = [], [], []
-            for x in enc.encode(batch.column(1).to_pylist()):
+            for x in enc.stream(batch.column(1).to_pylist()):
                 ids = np.frombuffer(x, "<u4").astype(f"<u{WIDTH}").tobytes() + tail
                 out.write(ids)
                 starts.append(at), sizes.append(len(ids) // WIDTH), sums.append(zlib.crc32(ids))
